@@ -44,8 +44,8 @@ def canonical(df: DataFrame, column: str, cast: str | None = None) -> Column:
         value = value.cast(cast)
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
         value = value.cast("decimal(18,2)")
-    elif isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
-        value = F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    elif isinstance(kind, T.TimestampType):
+        value = F.to_utc_timestamp(value, F.current_timezone()).cast("timestamp_ntz")
     if isinstance(kind, T.StringType):
         value = F.replace(value, F.lit("|"), F.lit("\\|"))
     return F.coalesce(value.cast("string"), F.lit(NULL_MARK))
@@ -58,6 +58,12 @@ def row_digest(
     return F.md5(F.concat_ws("|", *[canonical(df, c, casts.get(c)) for c in columns]))
 
 
+def compact(texts: Sequence[Column]) -> Column:
+    """The distinct non-NULL texts, in order. Unlike a higher-order filter, this stays inside
+    generated code, and so do the expressions that make the texts."""
+    return F.array_except(F.array(*texts), F.array(F.lit(None).cast("string")))
+
+
 def same(left: Sequence[Column], right: Sequence[Column]) -> Column:
     """All pairs equal, NULL counting as a value."""
     test = F.lit(True)

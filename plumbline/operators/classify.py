@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.timeline import HOT_ROWS, Timeline
+from plumbline.functions.values import compact
 from plumbline.sources.relations import relation
 
 HOLE = "HOLE"
@@ -104,8 +105,8 @@ def holes(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def _matches(rules: Sequence[Rule], field: str) -> Column:
-    return F.array_compact(
-        F.array(*[F.when(F.expr(r.predicate), F.lit(getattr(r, field))) for r in _ordered(rules)])
+    return compact(
+        [F.when(F.expr(r.predicate), F.lit(getattr(r, field))) for r in _ordered(rules)]
     )
 
 
@@ -118,7 +119,7 @@ def conflicts(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """EC-04. Rows on which two matching rules differ in disposition. Order still decides."""
     return (
         matches(df, rules)
-        .withColumn("_said", F.array_distinct(_matches(rules, "disposition")))
+        .withColumn("_said", _matches(rules, "disposition"))
         .where(F.size("_said") > 1)
         .drop("_said")
     )

@@ -71,8 +71,10 @@ def stage_digests(
         )
         for stage, columns in stages.items()
     ]
-    return df.select(*key, F.explode(F.array_compact(F.array(*entries))).alias("_e")).select(
-        *key, "_e.stage_ord", "_e.digest"
+    return (
+        df.select(*key, F.explode(F.array(*entries)).alias("_e"))
+        .where(F.col("_e").isNotNull())
+        .select(*key, "_e.stage_ord", "_e.digest")
     )
 
 

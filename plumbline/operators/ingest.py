@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-from plumbline.functions.values import guarded_cast, row_digest
+from plumbline.functions.values import compact, guarded_cast, row_digest
 
 ERRORS = "errors"
 DISPOSITION = "disposition"
@@ -91,7 +91,7 @@ def cast_fields(df: DataFrame, schema: StructType) -> DataFrame:
     return df.select(
         *kept,
         *[value.alias(name) for name, value in casts.items()],
-        F.array_compact(F.array(*codes)).alias(ERRORS),
+        compact(codes).alias(ERRORS),
     )
 
 
