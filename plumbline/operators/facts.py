@@ -76,23 +76,30 @@ def fact_snapshot(
     stands for a member with no version yet."""
     first, last = F.last_day(F.lit(lo).cast("date")), F.last_day(F.lit(hi).cast("date"))
 
-    def month_ends(start: Column, stop: Column) -> Column:
-        months = F.sequence(F.trunc(start, "month"), F.trunc(stop, "month"), F.expr("interval 1 month"))
-        return F.explode(F.transform(months, lambda m: F.last_day(m)))
+    def months(start: Column, stop: Column) -> Column:
+        return F.explode(
+            F.sequence(F.trunc(start, "month"), F.trunc(stop, "month"), F.expr("interval 1 month"))
+        )
 
     # A version counts at a month end e when valid_from <= e < valid_to, e at midnight.
     covered = (
         hist.withColumn("_start", F.greatest(F.col("valid_from").cast("date"), first))
         .withColumn("_stop", F.least(F.col("valid_to").cast("date"), last))
         .where(F.col("_start") <= F.col("_stop"))
-        .select(key, attr, "valid_from", "valid_to", month_ends(F.col("_start"), F.col("_stop")).alias("period_end"))
+        .select(
+            key, attr, "valid_from", "valid_to",
+            months(F.col("_start"), F.col("_stop")).alias("_month"),
+        )
+        .withColumn("period_end", F.last_day("_month"))
         .where(
             (F.col("valid_from") <= F.col("period_end").cast("timestamp_ntz"))
             & (F.col("period_end").cast("timestamp_ntz") < F.col("valid_to"))
         )
         .select(key, "period_end", attr)
     )
-    grid = members.select(key, month_ends(first, last).alias("period_end"))
+    grid = members.select(key, months(first, last).alias("_month")).select(
+        key, F.last_day("_month").alias("period_end")
+    )
     return grid.join(covered, [key, "period_end"], "left").withColumn(
         attr, F.coalesce(attr, F.lit(unknown))
     )
