@@ -3,8 +3,10 @@
 A plain ``Window.partitionBy(key)`` sends every row of a key to one task. Here a key with
 more than ``hot_rows`` rows is cut into consecutive time slices; the window then runs per
 ``(key, slice)`` and one carried value per slice stitches the slices together. All other
-keys stay in one slice and pay only the count that finds the hot ones. When no key is hot,
-adaptive execution sees the empty list and drops the stitching branches.
+keys stay in one slice.
+
+Rows per key are counted first, in a job of its own (one narrow scan, combined before the
+shuffle). Where no key is hot the plan is the plain window and nothing more.
 
 The list of hot keys is broadcast. Each of its rows stands for more than ``hot_rows`` input
 rows, so it holds at most ``rows / hot_rows`` entries of a few dozen bytes: 200,000 entries
@@ -19,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from plumbline.sources.shared import cut_lineage
+
 HOT_ROWS = 5_000_000
 SLICE = "_slice"
 # A hot key gets this many slices per hot_rows rows, as time is rarely filled evenly.
@@ -57,8 +61,10 @@ def hot_keys(df: DataFrame, key: Sequence[str], order: str, hot_rows: int) -> Da
 class Timeline:
     """Rows of each key in the order of ``order`` (its first column is a time or number).
 
-    ``order`` must be a total order within a key. ``hot_rows=None`` says the groups are
-    known to be small, and leaves the windows unsplit.
+    ``order`` must be a total order within a key. ``counted`` is a cheaper relation with at
+    least as many rows per key to find the hot keys in, such as the input that ``df``
+    aggregates. ``hot_rows=None`` says the groups are known to be small, and leaves the
+    windows unsplit.
     """
 
     def __init__(
@@ -67,22 +73,22 @@ class Timeline:
         key: Sequence[str],
         order: Sequence[str],
         hot_rows: int | None = HOT_ROWS,
+        counted: DataFrame | None = None,
     ):
-        self.key, self.order, self.split = list(key), list(order), hot_rows is not None
-        if self.split:
-            hot = hot_keys(df, self.key, self.order[0], hot_rows)
-            df = (
-                df.join(F.broadcast(hot), self.key, "left")
-                .withColumn(
-                    SLICE,
-                    F.coalesce(
-                        F.width_bucket(position(df, self.order[0]), "_lo", "_hi", "_parts"),
-                        F.lit(0),
-                    ).cast("bigint"),
-                )
-                .drop("_lo", "_hi", "_parts")
-            )
-        self.frame = df
+        self.key, self.order, self.split, self.frame = list(key), list(order), False, df
+        if hot_rows is None:
+            return
+        source = df if counted is None else counted
+        hot = cut_lineage(hot_keys(source, self.key, self.order[0], hot_rows))
+        if hot.isEmpty():
+            return
+        place = F.width_bucket(position(df, self.order[0]), "_lo", "_hi", "_parts")
+        self.split = True
+        self.frame = (
+            df.join(F.broadcast(hot), self.key, "left")
+            .withColumn(SLICE, F.coalesce(place, F.lit(0)).cast("bigint"))
+            .drop("_lo", "_hi", "_parts")
+        )
 
     def _with(self, frame: DataFrame) -> Timeline:
         other = object.__new__(Timeline)

@@ -39,10 +39,12 @@ def fact_line(
     dims: Mapping[str, tuple[DataFrame, str, str]],
     span_days: int | None = None,
     horizon: Column | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """DF-03. Transaction fact: the dimension version valid at ``ts`` and the surrogate key of
     every other dimension (``key column -> (dim, dim key, sk name)``); no row is lost."""
-    out = asof(lines, version_dim.withColumnRenamed("sk", "version_sk"), key, ts, span_days, horizon)
+    versions = version_dim.withColumnRenamed("sk", "version_sk")
+    out = asof(lines, versions, key, ts, span_days, horizon, counted=counted)
     out = out.withColumn("version_sk", F.coalesce("version_sk", F.lit(UNKNOWN_SK)))
     for column, (dim, dim_key, sk) in dims.items():
         out = resolve_fk(out, dim, column, dim_key, sk)

@@ -102,6 +102,32 @@ def first_divergence(actual: DataFrame, expected: DataFrame, key: Sequence[str])
     )
 
 
+def run_divergence(
+    digests: DataFrame, key: Sequence[str], runs: Sequence[str], control: str = CONTROL
+) -> DataFrame:
+    """``divergence`` of several runs held in one relation, each against the control run. A
+    digest that many runs share is counted once per run in one row, before the shuffle, so
+    comparing eight runs moves little more than comparing one."""
+    counts = digests.groupBy(*key, "stage_ord", "digest").agg(
+        F.count_if(F.col(RUN) == control).alias("_control"),
+        *[F.count_if(F.col(RUN) == r).alias(r) for r in runs],
+    )
+    differs = F.array(*[F.when(F.col(r) != F.col("_control"), F.lit(r)) for r in runs])
+    return (
+        counts.select(*key, "stage_ord", F.explode(differs).alias(RUN))
+        .where(F.col(RUN).isNotNull())
+        .select(RUN, *key, "stage_ord")
+        .distinct()
+    )
+
+
+def first_run_divergence(digests: DataFrame, key: Sequence[str], runs: Sequence[str]) -> DataFrame:
+    """GV-05 for several runs at once."""
+    return (
+        run_divergence(digests, key, runs).groupBy(RUN, *key).agg(F.min("stage_ord").alias("first_stage"))
+    )
+
+
 def blame(div: DataFrame, by: Sequence[str] = ("first_stage", "rule_id")) -> DataFrame:
     """GV-06. First-wrong counts per stage and rule."""
     return div.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))

@@ -49,7 +49,8 @@ def assign_sk(df: DataFrame, key: Sequence[str], sk: str = "sk", after: Column |
         "_part", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")
     )
     start = F.lit(0) if after is None else after
-    return placed.join(offsets, "_part").select(
+    # One row per partition: as small as the shuffle partition count.
+    return placed.join(F.broadcast(offsets), "_part").select(
         *key, (F.col("_id") - F.col("_first") + F.col("_offset") + 1 + start).alias(sk)
     )
 
@@ -95,7 +96,7 @@ def build_history(
     before the shuffle), states equal to the one before are dropped, and each version ends
     where the next begins."""
     states = collapse_ties(log, key, ts, tie, attrs)
-    timeline = Timeline(states, key, [ts], hot_rows).previous(attrs, "_before")
+    timeline = Timeline(states, key, [ts], hot_rows, counted=log).previous(attrs, "_before")
     unchanged = F.col("_before").isNotNull() & same(
         [F.col(a) for a in attrs], [F.col(f"_before.{a}") for a in attrs]
     )
@@ -166,6 +167,10 @@ def backdate(
     return apply_history(hist, log, late, key, ts, tie, attrs, hot_rows)
 
 
+# A key with more versions than this leaves the range join for the timeline.
+HOT_VERSIONS = 10_000
+
+
 def asof(
     fact: DataFrame,
     hist: DataFrame,
@@ -173,29 +178,65 @@ def asof(
     ts: str,
     span_days: int | None = None,
     horizon: Column | None = None,
-    within: Column | None = None,
+    hot_versions: int | None = HOT_VERSIONS,
+    hot_rows: int | None = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """IH-10. Each fact with the version valid at its time; version columns are NULL where
-    there is none.
+    there is none. Versions of one key must not overlap (IH-13 reports where they do).
 
-    A left equi-join on the key with the range as a residual test. A fact then meets every
-    version of its key, so for long histories ``span_days`` cuts time into spans and adds the
-    span to the join key; a version is repeated once per span it touches, up to ``horizon``
-    (the latest fact time). Adaptive execution splits the facts of a hot key.
+    A left equi-join on the key with the range as a residual test. A fact meets the versions
+    of its key, so ``span_days`` cuts time into spans and adds the span to the join key; a
+    version is repeated once per span it touches, up to ``horizon`` (the latest fact time).
+    Adaptive execution splits the facts of a hot key.
 
-    ``within`` replaces the half-open test, which only a fault should do.
+    Keys with more than ``hot_versions`` versions would still make facts meet too many. They
+    are counted first (in ``counted``, where a cheaper relation has at least as many rows per
+    key, such as the change log); their facts take the timeline of IH-11 instead, which is
+    linear. The list of such keys is broadcast: one entry per ``hot_versions`` rows at most.
     """
     key = list(key)
+    if hot_versions is None:
+        return _asof_range(fact, hist, key, ts, span_days, horizon)
+    source = hist if counted is None else counted
+    sizes = source.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = cut_lineage(sizes.where(F.col("_n") > hot_versions).select(*key))
+    if hot.isEmpty():
+        return _asof_range(fact, hist, key, ts, span_days, horizon)
+    hot = F.broadcast(hot)
+    rest = _asof_range(
+        fact.join(hot, key, "left_anti"), hist.join(hot, key, "left_anti"), key, ts, span_days, horizon
+    )
+    own = [c for c in hist.columns if c not in key]
+    known = asof_last(
+        fact.join(hot, key, "left_semi"),
+        hist.join(hot, key, "left_semi").withColumn("_begins", F.col("valid_from")),
+        key, ts, "_begins", "valid_to", own, hot_rows,
+    )
+    valid = F.col(ts) < F.col("valid_to")
+    return rest.unionByName(known.withColumns({c: F.when(valid, F.col(c)) for c in own}))
+
+
+def _asof_range(
+    fact: DataFrame,
+    hist: DataFrame,
+    key: list[str],
+    ts: str,
+    span_days: int | None,
+    horizon: Column | None,
+) -> DataFrame:
     own = [c for c in hist.columns if c not in key]
-    inside = within if within is not None else F.col(ts) < F.col("valid_to")
     versions = hist.select(*[F.col(k).alias(f"_h_{k}") for k in key], *own)
-    condition = (F.col("valid_from") <= F.col(ts)) & inside
+    condition = (F.col("valid_from") <= F.col(ts)) & (F.col(ts) < F.col("valid_to"))
     for k in key:
         condition = condition & (F.col(k) == F.col(f"_h_{k}"))
     if span_days is not None:
         if horizon is None:
             horizon = fact.agg(F.max(ts).alias("horizon")).scalar()
-        span = lambda at: F.floor(F.unix_date(at.cast("date")) / span_days)
+
+        def span(at: Column) -> Column:
+            return F.floor(F.unix_date(at.cast("date")) / span_days)
+
         versions = (
             versions.withColumn("_first", span(F.col("valid_from")))
             .withColumn("_last", span(F.least(F.col("valid_to"), horizon)))
@@ -236,7 +277,10 @@ def asof_last(
         .distinct()
         .select(*key, ts, F.lit(1).alias("_kind"), F.lit(None).cast(changes.schema["_state"].dataType).alias("_state"))
     )
-    timeline = Timeline(changes.unionByName(probes), key, [ts, "_kind"], hot_rows)
+    rows = log.select(*key, F.col(log_ts).alias(ts)).unionByName(fact.select(*key, ts))
+    timeline = Timeline(
+        changes.unionByName(probes), key, [ts, "_kind"], hot_rows, counted=rows
+    )
     known = timeline.last_known(F.col("_state"), "_known").rows()
     answers = known.where(F.col("_kind") == 1).select(*key, ts, "_known.*")
     return fact.join(answers, [*key, ts], "left")

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.history import asof
+
 UNKNOWN = "UNKNOWN"
 
 
@@ -44,18 +46,12 @@ def decode_at(
     df: DataFrame, ref: DataFrame, key: str, ts: str, meaning: str, default: str = UNKNOWN
 ) -> DataFrame:
     """RF-04. The meaning that was valid at the row's own time. ``ref`` holds half-open
-    ``[valid_from, valid_to)`` meanings per code."""
-    r = ref.select(F.col(key).alias("_code"), "valid_from", "valid_to", meaning)
+    ``[valid_from, valid_to)`` meanings per code: an as-of join (IH-10)."""
+    dated = ref.select(key, "valid_from", "valid_to", meaning)
     return (
-        df.join(
-            r,
-            (F.col(key) == F.col("_code"))
-            & (F.col("valid_from") <= F.col(ts))
-            & (F.col(ts) < F.col("valid_to")),
-            "left",
-        )
+        asof(df, dated, [key], ts)
         .withColumn(meaning, F.coalesce(meaning, F.lit(default)))
-        .drop("_code", "valid_from", "valid_to")
+        .drop("valid_from", "valid_to")
     )
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.classify import HOLE, rule_of
 from plumbline.operators.govern import (
-    CONTROL, RUN, accepted, active, divergence, first_divergence,
+    CONTROL, RUN, accepted, active, first_run_divergence, run_divergence,
 )
 from plumbline.plans.pipeline import (
     governed_run, line_digests, metric_digests, metric_stage, order_lines, present,
@@ -103,7 +103,6 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
     run = cut_lineage(governed_run(spark, sf, runs).select(*kept))
     p = present()
     each_run = F.explode(F.array(*[F.lit(r) for r in runs]))
-    each_fault = F.explode(F.array(*[F.lit(r) for r in faults]))
 
     ids = [r.rule_id for r in LINE_RULES] + [HOLE]
     null = F.col("price").isNull() | F.col("quantity").isNull() | F.col("l_shipdate").isNull()
@@ -153,26 +152,25 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
         replayed,
         {("stage", 4, "replay"): F.count_if(F.col("rule_id") != F.col("expected_rule_id"))},
     )
-    composed = _composed(spark, sf, run, runs, each_fault)
+    composed = _composed(spark, sf, run, faults, each_run)
     out = by_row
     for part in (by_key, by_pair, by_group, by_example, composed):
         out = out.unionByName(part)
     return out
 
 
-def _composed(spark, sf: str, run: DataFrame, runs, each_fault: Column) -> DataFrame:
-    digests = line_digests(run)
-    expected = digests.where(F.col(RUN) == CONTROL).withColumn(RUN, each_fault)
-    first = first_divergence(digests.where(F.col(RUN) != CONTROL), expected, [RUN, "record_key"])
-    facts = run.where(F.col(RUN) == CONTROL)
-    right = metric_digests(metric_stage(spark, sf, facts)).withColumn(RUN, each_fault)
-    tested = metric_digests(metric_stage(spark, sf, facts.withColumn(RUN, each_fault)))
-    own = divergence(tested, right, [RUN, "record_key"]).withColumnRenamed("stage_ord", "first_stage")
+def _composed(
+    spark: SparkSession, sf: str, run: DataFrame, faults: list[str], each_run: Column
+) -> DataFrame:
+    first = first_run_divergence(line_digests(run), ["record_key"], faults)
+    facts = run.where(F.col(RUN) == CONTROL).withColumn(RUN, each_run)
+    groups = metric_digests(metric_stage(spark, sf, facts))
+    own = run_divergence(groups, ["record_key"], faults).withColumnRenamed("stage_ord", "first_stage")
     wrong = (
         first.unionByName(own).groupBy(RUN, "first_stage").agg(F.count(F.lit(1)).alias("n"))
     )
     every = relation(
-        spark, "run string, first_stage int", [(r, s) for r in runs for s in range(1, 8)]
+        spark, "run string, first_stage int", [(r, s) for r in [CONTROL, *faults] for s in range(1, 8)]
     )
     return every.join(wrong, [RUN, "first_stage"], "left").select(
         RUN,

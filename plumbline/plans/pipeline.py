@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.timeline import Timeline
 from plumbline.operators.classify import rule_of
 from plumbline.operators.govern import CONTROL, RUN, active, inject, stage_digests
 from plumbline.operators.history import asof, assign_sk, build_history
@@ -83,7 +84,8 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
         .select("o_custkey", "l_shipdate", "price", "rule_id", "r_name")
     )
     placed = asof(
-        judged, customer_history(spark, sf), ["o_custkey"], "l_shipdate", SPAN_DAYS, last_ship(spark, sf)
+        judged, customer_history(spark, sf), ["o_custkey"], "l_shipdate", SPAN_DAYS,
+        last_ship(spark, sf), counted=table(spark, sf, "orders").select("o_custkey"),
     )
     return placed.groupBy(
         F.coalesce("r_name", F.lit(UNKNOWN)).alias("region"),
@@ -146,16 +148,20 @@ def governed_run(spark: SparkSession, sf: str, runs: Sequence[str] = (CONTROL,))
         "valid_to",
         F.col("o_orderpriority").alias("version"),
     )
-    within = F.col("l_shipdate") < F.col("valid_to")
-    closed = within | (active("F4") & (F.col("l_shipdate") == F.col("valid_to")))
-    three = (
-        asof(
-            three, hist, ["customer_key"], "l_shipdate", SPAN_DAYS, last_ship(spark, sf),
-            closed if wants("F4") else None,
+    if wants("F4"):
+        hist = Timeline(hist, ["customer_key"], ["valid_from"]).previous(["version"], "_ended").rows()
+    changes = table(spark, sf, "orders").select(F.col("o_custkey").alias("customer_key"))
+    three = asof(
+        three, hist, ["customer_key"], "l_shipdate", SPAN_DAYS, last_ship(spark, sf), counted=changes
+    ).withColumn("extra", F.lit(False))
+    if wants("F4"):
+        # Closed intervals: on the day a version begins, the one it ended matches as well.
+        both = active("F4") & F.col("_ended").isNotNull() & (F.col("valid_from") == F.col("l_shipdate"))
+        extra = F.when(both, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+        three = three.withColumn("extra", F.explode(extra)).withColumn(
+            "version", F.when(F.col("extra"), F.col("_ended.version")).otherwise(F.col("version"))
         )
-        .withColumn("priority", F.coalesce("version", F.lit(UNKNOWN)))
-        .withColumn("extra", F.coalesce(F.col("l_shipdate") >= F.col("valid_to"), F.lit(False)))
-    )
+    three = three.withColumn("priority", F.coalesce("version", F.lit(UNKNOWN)))
     # 4: event classification
     rules = rule_of(LINE_RULES)
     if wants("F5"):

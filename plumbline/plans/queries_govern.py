@@ -144,9 +144,8 @@ first AS (SELECT run, record_key, min(stage) AS first_stage
 
 
 def _all_faults(spark: SparkSession, sf: str) -> DataFrame:
-    actual = pipeline.line_digests(pipeline.governed_run(spark, sf, [ALL_FAULTS]))
-    expected = pipeline.line_digests(pipeline.governed_run(spark, sf, [CONTROL]))
-    return govern.first_divergence(actual.drop(RUN), expected.drop(RUN), ["record_key"])
+    digests = pipeline.line_digests(pipeline.governed_run(spark, sf, [CONTROL, ALL_FAULTS]))
+    return govern.first_run_divergence(digests, ["record_key"], [ALL_FAULTS]).drop(RUN)
 
 
 def gv_05(spark: SparkSession, sf: str) -> DataFrame:

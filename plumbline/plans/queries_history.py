@@ -150,7 +150,7 @@ def _probe_lines(spark: SparkSession, sf: str) -> DataFrame:
 def ih_10(spark: SparkSession, sf: str) -> DataFrame:
     placed = history.asof(
         _probe_lines(spark, sf), customer_history(spark, sf), ["o_custkey"], "l_shipdate",
-        SPAN_DAYS, last_ship(spark, sf),
+        SPAN_DAYS, last_ship(spark, sf), counted=_log(spark, sf),
     )
     return placed.select(
         "record_key", "o_custkey", F.coalesce("o_orderpriority", F.lit(UNKNOWN)).alias("priority")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructType
 
 from plumbline.operators import facts, metrics, warehouse
 from plumbline.operators.history import assign_sk
@@ -17,7 +17,13 @@ from plumbline.sources.tables import table
 QUERIES, ORACLE = {}, {}
 
 LOG = dict(key=["o_custkey"], ts="o_orderdate", tie="o_orderkey", attrs=["o_orderpriority"])
-PARTY = StructType.fromDDL("key bigint, name string, nation int, balance double")
+PARTY = (
+    StructType()
+    .add("key", LongType())
+    .add("name", StringType())
+    .add("nation", IntegerType())
+    .add("balance", DoubleType())
+)
 
 
 def _party(df: DataFrame, p: str, key: str) -> DataFrame:
@@ -158,7 +164,7 @@ def df_03(spark: SparkSession, sf: str) -> DataFrame:
             "l_partkey": (part, "p_partkey", "part_sk"),
             "l_suppkey": (supplier, "s_suppkey", "supplier_sk"),
         },
-        SPAN_DAYS, last_ship(spark, sf),
+        SPAN_DAYS, last_ship(spark, sf), counted=table(spark, sf, "orders").select("o_custkey"),
     )
     return fact.select(
         "record_key", "version_sk", "part_sk", "supplier_sk",

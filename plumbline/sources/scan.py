@@ -38,10 +38,13 @@ def write_stage(df: DataFrame, path: str, parts: Sequence[str]) -> DataFrame:
     repeating a write changes nothing. Returns the stored relation.
 
     ``df`` must not read ``path``: materialise it first (``sources.shared.cut_lineage``).
-    Rows reach the files from wherever they are; a large partition is written by many tasks.
+    Rows are rebalanced by partition before the write: adaptive execution merges small
+    partitions into one task and splits a hot one over many, so files come out near the
+    advisory size instead of one per task and partition.
     """
     (
-        df.write.mode("overwrite")
+        df.hint("rebalance", *parts)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*parts)
         .parquet(path)

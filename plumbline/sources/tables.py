@@ -29,5 +29,15 @@ LINE_COLUMNS = [part.split()[0] for part in SCHEMAS["lineitem"].split(", ")]
 LINE_CASTS = {"l_discount": "decimal(4,2)", "l_tax": "decimal(4,2)", "l_shipdate": "date"}
 
 
+# How many tasks a fact table's rows are dealt out to, where the session asks for it.
+SCAN_TASKS = "spark.plumbline.scan.tasks"
+FACT_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return scan(spark, f"{sf_dir}/{name}.parquet", SCHEMAS[name])
+    """A table by name. A file with one row group gives one task however many cores wait, so
+    a local session may set ``SCAN_TASKS`` to deal its rows out; a cluster reading many
+    splits leaves it unset and pays no shuffle. Filters and columns are pushed below it."""
+    df = scan(spark, f"{sf_dir}/{name}.parquet", SCHEMAS[name])
+    tasks = spark.conf.get(SCAN_TASKS, None)
+    return df.repartition(int(tasks), FACT_KEYS[name]) if tasks and name in FACT_KEYS else df
