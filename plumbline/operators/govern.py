@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.values import row_digest
+from plumbline.functions.values import row_fingerprint
 from plumbline.operators.classify import Rule, rule_of
 from plumbline.operators.verify import edge_equal
 
@@ -55,24 +55,29 @@ def curate(cex: DataFrame) -> DataFrame:
     return _one_per(cex, ["boundary_id"], F.min_by, F.struct("reviewed_at", "cex_id"))
 
 
-def stage_digests(
+def row_digests(
     df: DataFrame,
     key: Sequence[str],
     stages: Mapping[int, Sequence[str]],
     present: Mapping[int, Column] | None = None,
 ) -> DataFrame:
-    """The long form ``key, stage_ord, digest`` of a row that carries the outputs of several
-    stages, in one pass. ``present`` tells for a stage whether this row is one of its rows."""
+    """``key`` and ``digests``: for each stage the digest of the outputs the row carries for
+    it. ``present`` tells for a stage whether this row is one of its rows."""
     present = present or {}
     entries = [
         F.when(
             present.get(stage, F.lit(True)),
-            F.struct(F.lit(stage).alias("stage_ord"), row_digest(df, columns).alias("digest")),
+            F.struct(F.lit(stage).alias("stage_ord"), row_fingerprint(columns).alias("digest")),
         )
         for stage, columns in stages.items()
     ]
+    return df.select(*key, F.array(*entries).alias("digests"))
+
+
+def stage_digests(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The long form ``key, stage_ord, digest`` of ``row_digests``."""
     return (
-        df.select(*key, F.explode(F.array(*entries)).alias("_e"))
+        rows.select(*key, F.explode("digests").alias("_e"))
         .where(F.col("_e").isNotNull())
         .select(*key, "_e.stage_ord", "_e.digest")
     )
@@ -103,28 +108,46 @@ def first_divergence(actual: DataFrame, expected: DataFrame, key: Sequence[str])
 
 
 def run_divergence(
-    digests: DataFrame, key: Sequence[str], runs: Sequence[str], control: str = CONTROL
+    rows: DataFrame, key: Sequence[str], runs: Sequence[str], control: str = CONTROL
 ) -> DataFrame:
-    """``divergence`` of several runs held in one relation, each against the control run. A
-    digest that many runs share is counted once per run in one row, before the shuffle, so
-    comparing eight runs moves little more than comparing one."""
-    counts = digests.groupBy(*key, "stage_ord", "digest").agg(
+    """``divergence`` of several runs held in one relation, each against the control run.
+
+    ``rows`` are ``row_digests``. Rows equal in all stages are counted together first, for all
+    runs at once; where a run has as many of them as the control run they cancel and are
+    dropped. Only what is left, the rows a run changed, is opened into stages and compared.
+    """
+    counts = rows.groupBy(*key, "digests").agg(
         F.count_if(F.col(RUN) == control).alias("_control"),
         *[F.count_if(F.col(RUN) == r).alias(r) for r in runs],
     )
-    differs = F.array(*[F.when(F.col(r) != F.col("_control"), F.lit(r)) for r in runs])
+    surplus = F.array(
+        *[
+            F.when(
+                F.col(r) != F.col("_control"),
+                F.struct(F.lit(r).alias(RUN), (F.col(r) - F.col("_control")).alias("_surplus")),
+            )
+            for r in runs
+        ]
+    )
+    changed = (
+        counts.select(*key, "digests", F.explode(surplus).alias("_s"))
+        .where(F.col("_s").isNotNull())
+        .select(*key, "digests", "_s.*")
+    )
     return (
-        counts.select(*key, "stage_ord", F.explode(differs).alias(RUN))
-        .where(F.col(RUN).isNotNull())
+        stage_digests(changed, [RUN, *key, "_surplus"])
+        .groupBy(RUN, *key, "stage_ord", "digest")
+        .agg(F.sum("_surplus").alias("_left"))
+        .where(F.col("_left") != 0)
         .select(RUN, *key, "stage_ord")
         .distinct()
     )
 
 
-def first_run_divergence(digests: DataFrame, key: Sequence[str], runs: Sequence[str]) -> DataFrame:
+def first_run_divergence(rows: DataFrame, key: Sequence[str], runs: Sequence[str]) -> DataFrame:
     """GV-05 for several runs at once."""
     return (
-        run_divergence(digests, key, runs).groupBy(RUN, *key).agg(F.min("stage_ord").alias("first_stage"))
+        run_divergence(rows, key, runs).groupBy(RUN, *key).agg(F.min("stage_ord").alias("first_stage"))
     )
 
 

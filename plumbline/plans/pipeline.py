@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.timeline import Timeline
 from plumbline.operators.classify import rule_of
-from plumbline.operators.govern import CONTROL, RUN, active, inject, stage_digests
+from plumbline.operators.govern import CONTROL, RUN, active, inject, row_digests
 from plumbline.operators.history import asof, assign_sk, build_history
 from plumbline.operators.ingest import record_key
 from plumbline.operators.reference import UNKNOWN, decode_hierarchy, lookup
@@ -148,9 +148,15 @@ def governed_run(spark: SparkSession, sf: str, runs: Sequence[str] = (CONTROL,))
         "valid_to",
         F.col("o_orderpriority").alias("version"),
     )
+    changes = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("customer_key"), F.col("o_orderdate").alias("valid_from")
+    )
     if wants("F4"):
-        hist = Timeline(hist, ["customer_key"], ["valid_from"]).previous(["version"], "_ended").rows()
-    changes = table(spark, sf, "orders").select(F.col("o_custkey").alias("customer_key"))
+        hist = (
+            Timeline(hist, ["customer_key"], ["valid_from"], counted=changes)
+            .previous(["version"], "_ended")
+            .rows()
+        )
     three = asof(
         three, hist, ["customer_key"], "l_shipdate", SPAN_DAYS, last_ship(spark, sf), counted=changes
     ).withColumn("extra", F.lit(False))
@@ -187,7 +193,7 @@ def present() -> dict[int, Column]:
 
 
 def line_digests(run: DataFrame) -> DataFrame:
-    return stage_digests(run, [RUN, "record_key"], STAGE_COLUMNS, present())
+    return row_digests(run, [RUN, "record_key"], STAGE_COLUMNS, present())
 
 
 def metric_stage(spark: SparkSession, sf: str, facts: DataFrame) -> DataFrame:
@@ -218,11 +224,11 @@ def metric_stage(spark: SparkSession, sf: str, facts: DataFrame) -> DataFrame:
 
 
 def metric_digests(metrics: DataFrame) -> DataFrame:
-    """Stage 7 in the long form; its key is the metric group."""
+    """Stage 7; its key is the metric group."""
     group = F.concat_ws("|", "region", "rule_id", "priority")
     keyed = metrics.withColumn("record_key", group).withColumn(
         "discount", F.col("discount").cast("decimal(18,9)")
     )
-    return stage_digests(keyed, [RUN, "record_key"], {7: ["n_lines", "amount", "discount"]})
+    return row_digests(keyed, [RUN, "record_key"], {7: ["n_lines", "amount", "discount"]})
 
 
