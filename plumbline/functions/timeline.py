@@ -26,7 +26,7 @@ from plumbline.sources.shared import cut_lineage
 HOT_ROWS = 5_000_000
 SLICE = "_slice"
 # A hot key gets this many slices per hot_rows rows, as time is rarely filled evenly.
-SLICES_PER_QUOTA = 4
+SLICES_PER_QUOTA = 16
 
 
 def position(df: DataFrame, column: str) -> Column:

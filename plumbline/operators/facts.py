@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.timeline import HOT_ROWS, Timeline
-from plumbline.operators.history import asof, assign_sk, build_history, latest
+from plumbline.operators.history import asof, build_history, latest, number_rows
 from plumbline.operators.warehouse import UNKNOWN_SK, resolve_fk
 
 
 def dim_type1(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """DF-01. Current state per key with its surrogate key."""
-    return latest(df, key, order).join(assign_sk(df, key), list(key))
+    return number_rows(latest(df, key, order), key)
 
 
 def dim_type2(
@@ -27,8 +27,7 @@ def dim_type2(
 ) -> DataFrame:
     """DF-02. Every version with a surrogate key in the order of ``(key, valid_from)``."""
     hist = build_history(log, key, ts, tie, attrs, hot_rows)
-    version = [*key, "valid_from"]
-    return hist.join(assign_sk(hist, version), version)
+    return number_rows(hist, [*key, "valid_from"])
 
 
 def fact_line(

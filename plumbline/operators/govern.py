@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.values import row_fingerprint
 from plumbline.operators.classify import Rule, rule_of
 from plumbline.operators.verify import edge_equal
+from plumbline.sources.shared import checked_keys
 
 TRAIL = "trail"
 RUN = "run"
@@ -201,7 +202,7 @@ def revalidate(
 ) -> DataFrame:
     """GV-10. Recompute a stage for the affected keys only and keep the stored rest. Every key
     the change can add, alter or remove must be among ``keys``."""
-    key = list(key)
+    key, keys = list(key), checked_keys(keys.distinct())
     redone = stage(source.join(keys, key, "left_semi"))
     return stored.join(keys, key, "left_anti").unionByName(redone)
 

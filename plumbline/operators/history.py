@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.timeline import HOT_ROWS, Timeline
 from plumbline.functions.values import SHAPES, open_end, same
-from plumbline.sources.shared import cut_lineage
+from plumbline.sources.shared import checked_keys, cut_lineage
 
 
 def resolve_key(df: DataFrame, text: str, pattern: str, name: str = "resolved_key") -> DataFrame:
@@ -23,24 +23,22 @@ def resolve_key(df: DataFrame, text: str, pattern: str, name: str = "resolved_ke
     return df.withColumn(name, F.when(digits.rlike(SHAPES["bigint"]), digits.try_cast("bigint")))
 
 
-def assign_sk(df: DataFrame, key: Sequence[str], sk: str = "sk", after: Column | None = None):
-    """IH-02. Surrogate keys 1, 2, … in the order of the natural key, one per distinct key.
+def number_rows(
+    df: DataFrame, order: Sequence[str], sk: str = "sk", after: Column | None = None
+) -> DataFrame:
+    """Number the rows 1, 2, … (or from ``after`` + 1) in the order of ``order``, which must be
+    unique.
 
-    The distinct keys are range-partitioned and sorted, numbered inside each partition, and
-    shifted by the rows of the partitions before it. No window spans all rows; the only
-    unpartitioned one is over one count per partition. The placed keys are checkpointed, as a
-    second sampling of the ranges could place them differently.
+    Rows are range-partitioned and sorted, numbered inside each partition, and shifted by the
+    rows of the partitions before it. No window spans all rows; the only unpartitioned one is
+    over one count per partition. The placed rows are checkpointed, as a second sampling of
+    the ranges could place them differently.
     """
-    key = list(key)
     placed = cut_lineage(
-        df.select(*key)
-        .distinct()
-        .repartitionByRange(*key)
-        .sortWithinPartitions(*key)
-        .select(
-            *key,
-            F.spark_partition_id().alias("_part"),
-            F.monotonically_increasing_id().alias("_id"),
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumns(
+            {"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()}
         )
     )
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
@@ -51,10 +49,17 @@ def assign_sk(df: DataFrame, key: Sequence[str], sk: str = "sk", after: Column |
     start = F.lit(0) if after is None else after
     # One row per partition: as small as the shuffle partition count.
     return placed.join(F.broadcast(offsets), "_part").select(
-        *key, (F.col("_id") - F.col("_first") + F.col("_offset") + 1 + start).alias(sk)
+        *df.columns, (F.col("_id") - F.col("_first") + F.col("_offset") + 1 + start).alias(sk)
     )
 
 
+def assign_sk(
+    df: DataFrame, key: Sequence[str], sk: str = "sk", after: Column | None = None
+) -> DataFrame:
+    """IH-02. Surrogate keys in the order of the natural key, one per distinct key."""
+    return number_rows(df.select(*key).distinct(), key, sk, after)
+
+
 def extend_sk(dim: DataFrame, incoming: DataFrame, key: Sequence[str], sk: str = "sk") -> DataFrame:
     """IH-03. Keep every key already given; number unseen members after the highest one."""
     unseen = incoming.select(*key).join(dim, list(key), "left_anti")
@@ -123,7 +128,7 @@ def apply_history(
     """IH-06. Apply a batch of changes: rebuild the history of the keys it touches from the
     whole log and keep all others as they are. As the log decides, batch order does not."""
     key = list(key)
-    touched = batch.select(*key).distinct()
+    touched = checked_keys(batch.select(*key).distinct())
     full = log.unionByName(batch)
     rebuilt = build_history(full.join(touched, key, "left_semi"), key, ts, tie, attrs, hot_rows)
     return hist.join(touched, key, "left_anti").unionByName(rebuilt)
@@ -203,7 +208,7 @@ def asof(
     hot = cut_lineage(sizes.where(F.col("_n") > hot_versions).select(*key))
     if hot.isEmpty():
         return _asof_range(fact, hist, key, ts, span_days, horizon)
-    hot = F.broadcast(hot)
+    hot = F.broadcast(hot)  # at most rows / hot_versions keys
     rest = _asof_range(
         fact.join(hot, key, "left_anti"), hist.join(hot, key, "left_anti"), key, ts, span_days, horizon
     )

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Key lists up to this many rows are broadcast; a key is tens of bytes, so tens of megabytes.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -33,3 +37,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     row placement matters, change) the work above this point."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def checked_keys(keys: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A list of keys to filter a large relation by. It is stored and counted; up to
+    ``max_rows`` it is broadcast, so the large relation is not shuffled for it, and beyond
+    that the join shuffles both sides."""
+    stored = cut_lineage(keys)
+    return F.broadcast(stored) if stored.count() <= max_rows else stored
