@@ -15,6 +15,7 @@ for 10**12 rows at the default.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,10 +59,21 @@ def hot_keys(df: DataFrame, key: Sequence[str], order: str, hot_rows: int) -> Da
     )
 
 
+def join_on(left: DataFrame, right: DataFrame, on: Sequence[str], null_safe: bool) -> DataFrame:
+    """Left join by equal columns; with ``null_safe`` NULL equals NULL."""
+    if not null_safe:
+        return left.join(right, list(on), "left")
+    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    match = F.lit(True)
+    for c in on:
+        match = match & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return left.join(renamed, match, "left").drop(*[f"_r_{c}" for c in on])
+
+
 class Timeline:
     """Rows of each key in the order of ``order`` (its first column is a time or number).
 
-    ``order`` must be a total order within a key. ``counted`` is a cheaper relation with at
+    ``order`` must be a total order within a key, its first column not NULL. ``counted`` is a cheaper relation with at
     least as many rows per key to find the hot keys in, such as the input that ``df``
     aggregates. ``hot_rows=None`` says the groups are known to be small, and leaves the
     windows unsplit.
@@ -75,24 +87,30 @@ class Timeline:
         hot_rows: int | None = HOT_ROWS,
         counted: DataFrame | None = None,
     ):
-        self.key, self.order, self.split, self.frame = list(key), list(order), False, df
+        self.key, self.order, self.frame = list(key), list(order), df
+        self.split = self.null_safe = False
         if hot_rows is None:
             return
         source = df if counted is None else counted
         hot = cut_lineage(hot_keys(source, self.key, self.order[0], hot_rows))
         if hot.isEmpty():
             return
+        # NULL is one key, as in any window; the null-safe join is used only where it is hot.
+        missing = F.lit(False)
+        for k in self.key:
+            missing = missing | F.col(k).isNull()
+        self.null_safe = not hot.where(missing).isEmpty()
         place = F.width_bucket(position(df, self.order[0]), "_lo", "_hi", "_parts")
         self.split = True
         self.frame = (
-            df.join(F.broadcast(hot), self.key, "left")
+            join_on(df, F.broadcast(hot), self.key, self.null_safe)
             .withColumn(SLICE, F.coalesce(place, F.lit(0)).cast("bigint"))
             .drop("_lo", "_hi", "_parts")
         )
 
     def _with(self, frame: DataFrame) -> Timeline:
-        other = object.__new__(Timeline)
-        other.key, other.order, other.split, other.frame = self.key, self.order, self.split, frame
+        other = copy.copy(self)
+        other.frame = frame
         return other
 
     def where(self, condition: Column) -> Timeline:
@@ -101,11 +119,9 @@ class Timeline:
     def rows(self) -> DataFrame:
         return self.frame.drop(SLICE)
 
-    def _window(self, descending: bool = False) -> Window:
+    def _window(self) -> Window:
         part = [*self.key, SLICE] if self.split else self.key
-        return Window.partitionBy(*part).orderBy(
-            *[F.col(c).desc() if descending else F.col(c).asc() for c in self.order]
-        )
+        return Window.partitionBy(*part).orderBy(*self.order)
 
     def _stitch(
         self, name: str, local: Column, end: Column, carry: Column, combine: Column
@@ -122,7 +138,7 @@ class Timeline:
         )
         handed = ends.select(*self.key, SLICE, carry.alias("_carry"))
         return self._with(
-            frame.join(handed, [*self.key, SLICE], "left")
+            join_on(frame, handed, [*self.key, SLICE], self.null_safe)
             .withColumn(name, combine)
             .drop("_carry")
         )

@@ -6,7 +6,7 @@ attrs, is_current`` with half-open ``[valid_from, valid_to)``; the open end is 9
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -271,6 +271,9 @@ def asof_last(
     each pair takes the last change before it, and facts join back by equality. The work is
     linear in rows however long a key's history is."""
     key = list(key)
+    # A NULL key has no history, and facts without a key, however many, need no probe.
+    log = log.dropna(subset=key)
+    keyed = fact.select(*key, ts).dropna(subset=key)
     changes = collapse_ties(log, key, log_ts, tie, attrs).select(
         *key,
         F.col(log_ts).alias(ts),
@@ -278,11 +281,11 @@ def asof_last(
         F.struct(*attrs).alias("_state"),
     )
     probes = (
-        fact.select(*key, ts)
-        .distinct()
-        .select(*key, ts, F.lit(1).alias("_kind"), F.lit(None).cast(changes.schema["_state"].dataType).alias("_state"))
+        keyed.distinct()
+        .withColumn("_kind", F.lit(1))
+        .withColumn("_state", F.lit(None).cast(changes.schema["_state"].dataType))
     )
-    rows = log.select(*key, F.col(log_ts).alias(ts)).unionByName(fact.select(*key, ts))
+    rows = log.select(*key, F.col(log_ts).alias(ts)).unionByName(keyed)
     timeline = Timeline(
         changes.unionByName(probes), key, [ts, "_kind"], hot_rows, counted=rows
     )
@@ -340,8 +343,3 @@ def coalesce_history(
             (F.col("valid_to") == open_end()).alias("is_current"),
         )
     )
-
-
-def name_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    """Rename and keep only the given columns, in order."""
-    return df.select(*[F.col(old).alias(new) for old, new in names.items()])

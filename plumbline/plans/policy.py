@@ -37,11 +37,11 @@ EVENT_RULES = [
 
 # Code meanings.
 STATUS = [("F", "FILLED"), ("O", "OPEN"), ("P", "PENDING")]
-RETURN_FLAG = [("A", "ACCEPTED"), ("N", "NOT RETURNED"), ("R", "RETURNED")]
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 BANDS = [("LOW", 0.0, 10.0), ("MID", 10.0, 50.0), ("HIGH", 50.0, 100.0), ("TOP", 100.0, None)]
 
-# The faults of the comparison and the stage each belongs to.
+# The faults of the comparison and the stage each belongs to. A condition says
+# which rows a value fault changes; all rows of every table run through the pipeline.
 FAULTS = [
     Fault("F1", 1, "price", "price * 100", "l_orderkey % 97 = 0"),
     Fault("F2", 2, "status_meaning", "'FILLED'", "o_orderstatus = 'P'"),

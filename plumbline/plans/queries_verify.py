@@ -11,7 +11,7 @@ from plumbline.operators.govern import RUN, inject
 from plumbline.plans import inputs
 from plumbline.plans.pipeline import customer_history, keyed_lines, order_lines
 from plumbline.plans.policy import FAULT, LINE_RULES, STATUS
-from plumbline.plans.queries_classify import RULED, SAID
+from plumbline.plans.queries_classify import RULED
 from plumbline.plans.queries_history import FAULTY_SQL
 from plumbline.plans.queries_ingest import ORDER_FAULTS, NO_PENDING
 from plumbline.plans.sql import JOINED, KEYED, LINE_KEY

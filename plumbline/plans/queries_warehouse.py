@@ -10,7 +10,7 @@ from plumbline.operators import facts, metrics, warehouse
 from plumbline.operators.history import assign_sk
 from plumbline.operators.reference import UNKNOWN
 from plumbline.plans.pipeline import SPAN_DAYS, customer_history, keyed_lines, last_ship
-from plumbline.plans.sql import KEYED, OPEN_END
+from plumbline.plans.sql import KEYED
 from plumbline.plans.sql import history as history_sql
 from plumbline.sources.tables import table
 

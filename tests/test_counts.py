@@ -3,12 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import govern, history
+from plumbline.operators import classify, govern, history
 from plumbline.plans import arms, pipeline
-from plumbline.plans.policy import LINE_RULES, LINE_RULES_SWAPPED
+from plumbline.plans.policy import EVENT_RULES, LINE_RULES, LINE_RULES_SWAPPED
 from plumbline.plans.queries_history import day_versions
 from plumbline.plans.registry import QUERIES
 from plumbline.sources.shared import cut_lineage
+from plumbline.sources.tables import table
 
 COUNTS = {"ih_05": 1226, "ih_12": 148, "ih_14": 1226, "df_04": 1473, "wm_05": 2557, "flagship": 130}
 
@@ -37,6 +38,10 @@ def test_rule_counts(spark, sf):
     assert QUERIES["ec_04"](spark, sf).count() == 2226
 
 
+def test_event_hole(spark, sf):
+    assert classify.holes(table(spark, sf, "events"), EVENT_RULES).count() == 517
+
+
 def test_policy_diff_counts(spark, sf):
     moves = QUERIES["gv_07"](spark, sf).groupBy("old_rule", "new_rule").count().collect()
     assert {(r[0], r[1]): r[2] for r in moves} == {("HOLE", "R3"): 164, ("R4", "R3"): 118}

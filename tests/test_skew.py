@@ -63,6 +63,34 @@ def test_split_windows_equal_plain_windows(log, step):
     equal(split, plain)
 
 
+def test_a_hot_null_key_is_split_too(log):
+    unknown = log.withColumn("o_custkey", F.when(F.col("o_custkey") != 1, F.col("o_custkey")))
+    timeline = Timeline(unknown, ["o_custkey"], ORDER, HOT)
+    sizes = timeline.frame.where("o_custkey IS NULL").groupBy(SLICE).count()
+    assert sizes.count() > 10
+    step = lambda t: t.previous(["o_orderdate"], "x").running_sum(price(), "y").rows()
+    equal(step(timeline), step(Timeline(unknown, ["o_custkey"], ORDER, None)))
+
+
+def test_facts_without_a_key_have_no_version(spark, log):
+    hist = history.build_history(log, **ARGS, hot_rows=None)
+    facts_ = log.select(
+        "o_orderkey", "o_orderdate",
+        F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("o_custkey"),
+    )
+    for got in (
+        history.asof(facts_, hist, ["o_custkey"], "o_orderdate", 365),
+        history.asof(facts_, hist, ["o_custkey"], "o_orderdate", hot_versions=20, hot_rows=HOT),
+        history.asof_last(
+            facts_, log, ["o_custkey"], "o_orderdate", "o_orderdate", "o_orderkey",
+            ["o_orderpriority"], HOT,
+        ),
+    ):
+        assert got.count() == 1500
+        assert got.where("o_custkey IS NULL AND o_orderpriority IS NOT NULL").isEmpty()
+        assert got.where("o_custkey IS NOT NULL AND o_orderpriority IS NULL").isEmpty()
+
+
 def test_plain_running_sum_is_the_window(log):
     w = Window.partitionBy("o_custkey").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
     equal(
