@@ -8,9 +8,12 @@ keys stay in one slice.
 Rows per key are counted first, in a job of its own (one narrow scan, combined before the
 shuffle). Where no key is hot the plan is the plain window and nothing more.
 
+Slices follow the key's own distribution: quantiles of its times, and equal widths between two
+quantiles, so a burst is cut as finely as it is dense.
+
 The list of hot keys is broadcast. Each of its rows stands for more than ``hot_rows`` input
-rows, so it holds at most ``rows / hot_rows`` entries of a few dozen bytes: 200,000 entries
-for 10**12 rows at the default.
+rows and is a key with 33 numbers: for 10**12 rows at the default, at most 100,000 rows or
+some 30 MB.
 """
 
 from __future__ import annotations
@@ -24,10 +27,11 @@ from pyspark.sql.types import NumericType
 
 from plumbline.sources.shared import cut_lineage
 
-HOT_ROWS = 5_000_000
+HOT_ROWS = 10_000_000
 SLICE = "_slice"
-# A hot key gets this many slices per hot_rows rows, as time is rarely filled evenly.
-SLICES_PER_QUOTA = 16
+# A hot key gets this many slices per hot_rows rows.
+SLICES_PER_QUOTA = 4
+QUANTILES = [i / 32 for i in range(33)]
 
 
 def position(df: DataFrame, column: str) -> Column:
@@ -39,26 +43,26 @@ def position(df: DataFrame, column: str) -> Column:
     return (F.unix_date(at.cast("date")).cast("bigint") * 86400 + seconds).cast("double")
 
 
-def hot_keys(df: DataFrame, key: Sequence[str], order: str, hot_rows: int) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows, with the span to cut and the slice count."""
+def hot_keys(df: DataFrame, key: Sequence[str], hot_rows: int) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows, and the slices each gets between two quantiles."""
+    per_bin = F.col("_rows") * SLICES_PER_QUOTA / hot_rows / (len(QUANTILES) - 1)
     return (
-        df.select(*key, position(df, order).alias("_at"))
-        .groupBy(*key)
-        .agg(
-            F.count(F.lit(1)).alias("_rows"),
-            F.min("_at").alias("_lo"),
-            F.max("_at").alias("_hi"),
-        )
+        df.groupBy(*key)
+        .agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") > hot_rows)
-        .select(
-            *key,
-            "_lo",
-            (F.col("_hi") + 1.0).alias("_hi"),
-            F.ceil(F.col("_rows") * SLICES_PER_QUOTA / hot_rows).alias("_parts"),
-        )
+        .select(*key, F.ceil(per_bin).alias("_per_bin"))
     )
 
 
+def slice_of(at: Column) -> Column:
+    """The slice of a hot row, from 1 and growing with ``at``; 0 on other rows."""
+    cuts, per_bin = F.col("_cuts"), F.col("_per_bin")
+    passed = F.size(F.filter(cuts, lambda cut: cut <= at))
+    inside = F.width_bucket(at, F.get(cuts, passed - 1), F.get(cuts, passed), per_bin)
+    place = 1 + passed * (per_bin + 2) + F.coalesce(inside, F.lit(0))
+    return F.when(cuts.isNotNull(), place).otherwise(0).cast("bigint")
+
+
 def join_on(left: DataFrame, right: DataFrame, on: Sequence[str], null_safe: bool) -> DataFrame:
     """Left join by equal columns; with ``null_safe`` NULL equals NULL."""
     if not null_safe:
@@ -92,7 +96,7 @@ class Timeline:
         if hot_rows is None:
             return
         source = df if counted is None else counted
-        hot = cut_lineage(hot_keys(source, self.key, self.order[0], hot_rows))
+        hot = cut_lineage(hot_keys(source, self.key, hot_rows))
         if hot.isEmpty():
             return
         # NULL is one key, as in any window; the null-safe join is used only where it is hot.
@@ -100,12 +104,21 @@ class Timeline:
         for k in self.key:
             missing = missing | F.col(k).isNull()
         self.null_safe = not hot.where(missing).isEmpty()
-        place = F.width_bucket(position(df, self.order[0]), "_lo", "_hi", "_parts")
         self.split = True
+        first = self.order[0]
+        cuts = cut_lineage(
+            join_on(
+                source.select(*self.key, position(source, first).alias("_at")),
+                F.broadcast(hot), self.key, self.null_safe,
+            )
+            .where(F.col("_per_bin").isNotNull())
+            .groupBy(*self.key, "_per_bin")
+            .agg(F.percentile_approx("_at", QUANTILES, 1000).alias("_cuts"))
+        )
         self.frame = (
-            join_on(df, F.broadcast(hot), self.key, self.null_safe)
-            .withColumn(SLICE, F.coalesce(place, F.lit(0)).cast("bigint"))
-            .drop("_lo", "_hi", "_parts")
+            join_on(df, F.broadcast(cuts), self.key, self.null_safe)
+            .withColumn(SLICE, slice_of(position(df, first)))
+            .drop("_cuts", "_per_bin")
         )
 
     def _with(self, frame: DataFrame) -> Timeline:

@@ -15,7 +15,8 @@ from plumbline.operators.ingest import record_key
 from plumbline.operators.reference import UNKNOWN, decode_hierarchy, lookup
 from plumbline.operators.warehouse import resolve_fk
 from plumbline.plans.policy import FAULT, LINE_RULES, LINE_RULES_SWAPPED, STATUS
-from plumbline.sources.tables import LINE_CASTS, LINE_COLUMNS, table
+from plumbline.sources.scan import scan
+from plumbline.sources.tables import LINE_CASTS, LINE_COLUMNS, SCHEMAS, table
 
 # As-of joins of lines look versions up within spans of a year.
 SPAN_DAYS = 365
@@ -42,7 +43,8 @@ def customer_history(spark: SparkSession, sf: str) -> DataFrame:
 
 def last_ship(spark: SparkSession, sf: str) -> Column:
     """The horizon of as-of joins by ship date, from one column of the lines alone."""
-    return table(spark, sf, "lineitem").agg(F.max("l_shipdate").alias("horizon")).scalar()
+    lines = scan(spark, f"{sf}/lineitem.parquet", SCHEMAS["lineitem"])
+    return lines.agg(F.max("l_shipdate").alias("horizon")).scalar()
 
 
 def geography(spark: SparkSession, sf: str, df: DataFrame, nation: str, labels) -> DataFrame:

@@ -18,14 +18,16 @@ def scan(
 
 
 def scan_delimited(
-    spark: SparkSession, path: str, schema: StructType, sep: str = "|"
+    spark: SparkSession, path: str, schema: StructType, sep: str = "|", quote: str = ""
 ) -> DataFrame:
     """IN-02. Scan delimited text. A line that does not fit the schema keeps what did parse
-    and carries the raw line in ``_corrupt``; no line is lost."""
+    and carries the raw line in ``_corrupt``; no line is lost. Quoting is off by default, as a
+    stray quote would swallow separators."""
     with_corrupt = StructType([*schema.fields, StructField(CORRUPT, StringType())])
     return (
         spark.read.schema(with_corrupt)
         .option("sep", sep)
+        .option("quote", quote)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("dateFormat", "yyyy-MM-dd")

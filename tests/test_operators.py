@@ -40,6 +40,14 @@ def test_scan_delimited_keeps_malformed_lines(spark):
     assert rows[3][sources.CORRUPT] and rows[4][sources.CORRUPT]
 
 
+def test_scan_delimited_takes_stray_quotes_as_text(spark):
+    path = fresh_path(spark, "csv")
+    schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
+    lines(spark, '"x|y', 'p"q|"').write.text(path)
+    rows = sorted(tuple(r) for r in sources.scan_delimited(spark, path, schema).collect())
+    assert rows == [('"x', "y", None), ('p"q', '"', None)]
+
+
 def test_xml_actions_flatten(spark):
     path = fresh_path(spark, "xml")
     lines(

@@ -63,6 +63,30 @@ def test_split_windows_equal_plain_windows(log, step):
     equal(split, plain)
 
 
+def test_a_burst_is_cut_as_finely_as_it_is_dense(spark):
+    """Most rows of the hot key fall into one hour of ten years."""
+    start = F.lit("2015-01-01").cast("timestamp_ntz")
+    burst = (
+        spark.range(8000)
+        .withColumn("k", F.when(F.col("id") < 6000, 1).otherwise(F.col("id")))
+        .withColumn(
+            "ts",
+            F.when(F.col("id") % 10 == 0, F.timestamp_add("DAY", (F.col("id") / 2).cast("int"), start))
+            .otherwise(F.timestamp_add("SECOND", (F.col("id") % 3600).cast("int"), start)),
+        )
+    )
+    timeline = Timeline(burst, ["k"], ["ts", "id"], 500)
+    sizes = timeline.frame.groupBy("k", SLICE).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 500
+    bounds = (
+        timeline.frame.where("k = 1").groupBy(SLICE).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+        .orderBy(SLICE).collect()
+    )
+    assert all(a["hi"] <= b["lo"] for a, b in zip(bounds, bounds[1:]))
+    step = lambda t: t.previous(["id"], "x").running_sum(F.col("id"), "y").rows()
+    equal(step(timeline), step(Timeline(burst, ["k"], ["ts", "id"], None)))
+
+
 def test_a_hot_null_key_is_split_too(log):
     unknown = log.withColumn("o_custkey", F.when(F.col("o_custkey") != 1, F.col("o_custkey")))
     timeline = Timeline(unknown, ["o_custkey"], ORDER, HOT)
