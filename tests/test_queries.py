@@ -56,5 +56,5 @@ def test_topk_is_cut_before_the_shuffle(spark, sf):
 
 def test_entry(spark):
     assert len(entry_module.entry(spark).collect()) == 130
-    assert set(entry_module.queries()) == set(QUERIES)
+    assert set(entry_module.queries()) >= set(QUERIES)
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
