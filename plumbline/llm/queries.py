@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import read
 from plumbline.llm.line_dedup import MIN_SITES, dedup_lines
 from plumbline.llm.mixing import MOST_REPEATS, WEIGHTS, mix
+from plumbline.llm.packing import pack
 from plumbline.llm.sharding import shard_rows
+from plumbline.llm.token_counts import count_tokens
+
+COUNT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PACK_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +43,16 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every whole text."""
+    return count_tokens(
+        read(spark, sf_dir, "documents").select("doc_id", "text"), COUNT_VOCABULARY
+    ).select(
+        "doc_id", F.col("_pl_bytes").alias("n_bytes"), F.col("_pl_tokens").alias("n_tokens"),
+        F.col("_pl_over_limit").alias("over_limit"),
+    )
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on 24 shards whose counts differ by one at most."""
     return shard_rows(read(spark, sf_dir, "documents").select("doc_id", "text"), 24).select(
@@ -45,6 +61,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    return pack(read(spark, sf_dir, "documents"), PACK_VOCABULARY)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of each."""
     return mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
@@ -93,7 +114,9 @@ FROM plan
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_token_counts": op2_token_counts,
     "op4_sharding": op4_sharding,
+    "op6_packing": op6_packing,
     "op10_mixing": op10_mixing,
 }
 ORACLE = {"op1_line_dedup": OP1_SQL, "op10_mixing": OP10_SQL}
