@@ -10,6 +10,7 @@ from plumbline.llm.common import read
 from plumbline.llm.line_dedup import MIN_SITES, dedup_lines
 from plumbline.llm.mixing import MOST_REPEATS, WEIGHTS, mix
 from plumbline.llm.packing import pack
+from plumbline.llm.quality import classify_quality, held_out, train
 from plumbline.llm.sharding import shard_rows
 from plumbline.llm.token_counts import count_tokens
 
@@ -66,6 +67,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), PACK_VOCABULARY)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its quality score."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify_quality(docs, train(docs, read(spark, sf_dir, "labels"))).select(
+        "doc_id", held_out("doc_id").alias("held_out"),
+        F.col("_pl_score").alias("score"), F.col("_pl_predicted").alias("predicted"),
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of each."""
     return mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
@@ -117,6 +127,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op4_sharding": op4_sharding,
     "op6_packing": op6_packing,
+    "op7_quality": op7_quality,
     "op10_mixing": op10_mixing,
 }
 ORACLE = {"op1_line_dedup": OP1_SQL, "op10_mixing": OP10_SQL}
