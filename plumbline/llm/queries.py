@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import read
 from plumbline.llm.line_dedup import MIN_SITES, dedup_lines
 from plumbline.llm.mixing import MOST_REPEATS, WEIGHTS, mix
+from plumbline.llm.minhash import near_duplicates
 from plumbline.llm.packing import pack
 from plumbline.llm.quality import classify_quality, held_out, train
 from plumbline.llm.sharding import shard_rows
@@ -62,6 +63,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its group of near copies; the smallest id of a group is kept."""
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
     return pack(read(spark, sf_dir, "documents"), PACK_VOCABULARY)
@@ -126,6 +132,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_counts": op2_token_counts,
     "op4_sharding": op4_sharding,
+    "op5_minhash": op5_minhash,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
     "op10_mixing": op10_mixing,
