@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.ann import nearest
 from plumbline.llm.common import read
+from plumbline.llm.embedding_dedup import dedup_vectors
 from plumbline.llm.line_dedup import MIN_SITES, dedup_lines
 from plumbline.llm.mixing import MOST_REPEATS, WEIGHTS, mix
 from plumbline.llm.minhash import near_duplicates
@@ -55,6 +57,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links at cosine 0.98 within its label, and its component."""
+    return dedup_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on 24 shards whose counts differ by one at most."""
     return shard_rows(read(spark, sf_dir, "documents").select("doc_id", "text"), 24).select(
@@ -82,6 +89,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector."""
+    vectors = read(spark, sf_dir, "embeddings")
+    return nearest(vectors, F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)), 5)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of each."""
     return mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
@@ -131,10 +144,12 @@ FROM plan
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_sharding": op4_sharding,
     "op5_minhash": op5_minhash,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
+    "op9_ann": op9_ann,
     "op10_mixing": op10_mixing,
 }
 ORACLE = {"op1_line_dedup": OP1_SQL, "op10_mixing": OP10_SQL}
