@@ -16,6 +16,7 @@ from plumbline.llm.packing import pack
 from plumbline.llm.quality import classify_quality, held_out, train
 from plumbline.llm.sharding import shard_rows
 from plumbline.llm.token_counts import count_tokens
+from plumbline.llm.warc import BASE32_DIGITS, archive
 
 COUNT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 PACK_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -89,6 +90,29 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from a written archive."""
+    return archive(read(spark, sf_dir, "pages")).drop("intact")
+
+
+OP8_SQL = f"""
+WITH page AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+), named AS (
+  SELECT *, list_aggregate(list_transform(range(1, 41, 5), lambda pos:
+    list_aggregate(list_transform([15, 10, 5, 0], lambda bits:
+      substr('{BASE32_DIGITS}', ((('0x' || substr(hex, pos, 5))::INT >> bits) & 31) + 1, 1)
+    ), 'string_agg', '')), 'string_agg', '') AS digest,
+    max(page_id) OVER (PARTITION BY html) AS top
+  FROM page
+)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM named
+"""
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every fiftieth vector."""
     vectors = read(spark, sf_dir, "embeddings")
@@ -149,7 +173,8 @@ QUERIES = {
     "op5_minhash": op5_minhash,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
+    "op8_warc": op8_warc,
     "op9_ann": op9_ann,
     "op10_mixing": op10_mixing,
 }
-ORACLE = {"op1_line_dedup": OP1_SQL, "op10_mixing": OP10_SQL}
+ORACLE = {"op1_line_dedup": OP1_SQL, "op8_warc": OP8_SQL, "op10_mixing": OP10_SQL}
