@@ -37,13 +37,13 @@ def guarded_cast(text: Column, kind: T.DataType) -> Column:
 
 
 def canonical(df: DataFrame, column: str, cast: str | None = None) -> Column:
-    """One text per value, the same on every engine and every run."""
+    """One text per value, the same on every run. A double without a declared cast is written
+    in full, so no two values share a text; other engines may write it otherwise, so a digest
+    that they must repeat declares a cast for it."""
     value = F.col(column)
     kind = df.schema[column].dataType
     if cast is not None:
         value = value.cast(cast)
-    elif isinstance(kind, (T.DoubleType, T.FloatType)):
-        value = value.cast("decimal(18,2)")
     elif isinstance(kind, T.TimestampType):
         value = F.to_utc_timestamp(value, F.current_timezone()).cast("timestamp_ntz")
     if isinstance(kind, T.StringType):
@@ -74,6 +74,19 @@ def compact(texts: Sequence[Column]) -> Column:
     return F.array_except(F.array(*texts), F.array(F.lit(None).cast("string")))
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, key: Sequence[str], how: str) -> DataFrame:
+    """Join by ``key`` with NULL as a key like any other. The left key is kept; for a full join
+    it is taken from the side that has the row."""
+    key = list(key)
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in key}).withColumn("_r_row", F.lit(True))
+    match = same([F.col(k) for k in key], [F.col(f"_r_{k}") for k in key])
+    if how in ("left_semi", "left_anti"):
+        return left.join(renamed, match, how)
+    joined = left.withColumn("_l_row", F.lit(True)).join(renamed, match, how)
+    own = {k: F.when(F.col("_l_row"), F.col(k)).otherwise(F.col(f"_r_{k}")) for k in key}
+    return joined.withColumns(own).drop("_l_row", "_r_row", *[f"_r_{k}" for k in key])
+
+
 def same(left: Sequence[Column], right: Sequence[Column]) -> Column:
     """All pairs equal, NULL counting as a value."""
     test = F.lit(True)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.timeline import HOT_ROWS, Timeline
-from plumbline.operators.history import asof, build_history, latest, number_rows
+from plumbline.functions.values import join_null_safe
+from plumbline.operators.history import SPAN_DAYS, asof, build_history, latest, number_rows
 from plumbline.operators.warehouse import UNKNOWN_SK, resolve_fk
 
 
@@ -36,7 +37,7 @@ def fact_line(
     key: Sequence[str],
     ts: str,
     dims: Mapping[str, tuple[DataFrame, str, str]],
-    span_days: int | None = None,
+    span_days: int | None = SPAN_DAYS,
     horizon: Column | None = None,
     counted: DataFrame | None = None,
 ) -> DataFrame:
@@ -51,31 +52,35 @@ def fact_line(
 
 
 def fact_lifecycle(orders: DataFrame, lines: DataFrame) -> DataFrame:
-    """DF-04. Accumulating fact: one row per order with its milestones and lag in days. Lines
-    are aggregated before the join, to one row per order."""
+    """DF-04. Accumulating fact: one row per order with its milestones and lag in days; an order
+    without lines has no milestones yet. Lines are aggregated before the join, to one row per
+    order."""
     shipped = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.min("l_shipdate").alias("first_ship"),
         F.max("l_shipdate").alias("last_ship"),
         F.count(F.lit(1)).alias("n_lines"),
     )
-    return orders.join(shipped, "o_orderkey").select(
+    return orders.join(shipped, "o_orderkey", "left").select(
         "o_orderkey",
         F.col("o_orderdate").alias("ordered"),
         "first_ship",
         "last_ship",
-        "n_lines",
+        F.coalesce("n_lines", F.lit(0).cast("bigint")).alias("n_lines"),
         F.datediff("first_ship", "o_orderdate").alias("lag_days"),
         F.datediff("last_ship", "first_ship").alias("spread_days"),
     )
 
 
 def fact_snapshot(
-    hist: DataFrame, members: DataFrame, key: str, attr: str, lo: str, hi: str, unknown: str
+    hist: DataFrame, members: DataFrame, key: str, attr: str, lo: Column | str, hi: Column | str,
+    unknown: str,
 ) -> DataFrame:
-    """DF-05. State per key at each month end from ``lo`` to ``hi``. Every version lists the
+    """DF-05. State per key at each month end from ``lo`` to ``hi`` (dates, or scalars taken
+    from the data). Every version lists the
     month ends it covers and every member all month ends; the two meet by equality. ``unknown``
     stands for a member with no version yet."""
-    first, last = F.last_day(F.lit(lo).cast("date")), F.last_day(F.lit(hi).cast("date"))
+    bound = lambda at: F.last_day((at if isinstance(at, Column) else F.lit(at)).cast("date"))
+    first, last = bound(lo), bound(hi)
 
     def months(start: Column, stop: Column) -> Column:
         return F.explode(
@@ -172,8 +177,7 @@ def fact_trailing(
         .select(key, (F.col("_t") + span).alias("_t"), "_tail_hi", "_tail_lo")
     )
     extremes = (
-        own.join(whole, [key, "_cell"], "left")
-        .join(tails, [key, "_t"], "left")
+        join_null_safe(join_null_safe(own, whole, [key, "_cell"], "left"), tails, [key, "_t"], "left")
         .select(
             key,
             "_t",
@@ -181,7 +185,7 @@ def fact_trailing(
             F.least("_own_lo", "_mid_lo", "_tail_lo").alias("trailing_low"),
         )
     )
-    return df.withColumn("_t", micros(ts)).join(extremes, [key, "_t"], "left").drop("_t")
+    return join_null_safe(df.withColumn("_t", micros(ts)), extremes, [key, "_t"], "left").drop("_t")
 
 
 def micros(ts: str) -> Column:

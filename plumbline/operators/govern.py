@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.values import row_fingerprint
 from plumbline.operators.classify import Rule, rule_of
+from plumbline.functions.values import join_null_safe
 from plumbline.operators.verify import edge_equal
 from plumbline.sources.shared import checked_keys
 
@@ -48,7 +49,7 @@ def _one_per(df: DataFrame, by: Sequence[str], pick: Callable, order: Column) ->
 def accepted(cex: DataFrame, inputs: Sequence[str]) -> DataFrame:
     """GV-03. Accepted counterexamples; on the same input the latest review stands."""
     kept = cex.where(F.col("status") == "ACCEPTED")
-    return _one_per(kept, [*inputs, "boundary_id"], F.max_by, F.struct("reviewed_at", "cex_id"))
+    return _one_per(kept, inputs, F.max_by, F.struct("reviewed_at", "cex_id"))
 
 
 def curate(cex: DataFrame) -> DataFrame:
@@ -203,8 +204,8 @@ def revalidate(
     """GV-10. Recompute a stage for the affected keys only and keep the stored rest. Every key
     the change can add, alter or remove must be among ``keys``."""
     key, keys = list(key), checked_keys(keys.distinct())
-    redone = stage(source.join(keys, key, "left_semi"))
-    return stored.join(keys, key, "left_anti").unionByName(redone)
+    redone = stage(join_null_safe(source, keys, key, "left_semi"))
+    return join_null_safe(stored, keys, key, "left_anti").unionByName(redone)
 
 
 def same_as_full(sel: DataFrame, full: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.timeline import HOT_ROWS, Timeline
-from plumbline.functions.values import SHAPES, open_end, same
+from plumbline.functions.values import SHAPES, join_null_safe, open_end, same
 from plumbline.sources.shared import checked_keys, cut_lineage
 
 
@@ -61,8 +61,9 @@ def assign_sk(
 
 
 def extend_sk(dim: DataFrame, incoming: DataFrame, key: Sequence[str], sk: str = "sk") -> DataFrame:
-    """IH-03. Keep every key already given; number unseen members after the highest one."""
-    unseen = incoming.select(*key).join(dim, list(key), "left_anti")
+    """IH-03. Keep every key already given; number unseen members after the highest one. NULL
+    is a member like any other, and keeps its number too."""
+    unseen = join_null_safe(incoming.select(*key), dim.select(*key), key, "left_anti")
     top = dim.agg(F.coalesce(F.max(sk), F.lit(0)).alias("top")).scalar()
     return dim.select(*key, sk).unionByName(assign_sk(unseen, key, sk, after=top))
 
@@ -126,23 +127,25 @@ def apply_history(
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """IH-06. Apply a batch of changes: rebuild the history of the keys it touches from the
-    whole log and keep all others as they are. As the log decides, batch order does not."""
+    whole log and keep all others as they are. As the log decides, batch order does not. NULL
+    is a key like any other."""
     key = list(key)
     touched = checked_keys(batch.select(*key).distinct())
     full = log.unionByName(batch)
-    rebuilt = build_history(full.join(touched, key, "left_semi"), key, ts, tie, attrs, hot_rows)
-    return hist.join(touched, key, "left_anti").unionByName(rebuilt)
+    changed = join_null_safe(full, touched, key, "left_semi")
+    rebuilt = build_history(changed, key, ts, tie, attrs, hot_rows)
+    return join_null_safe(hist, touched, key, "left_anti").unionByName(rebuilt)
 
 
 def upsert(dim: DataFrame, batch: DataFrame, key: Sequence[str]) -> DataFrame:
     """IH-07. Type-1 upsert: a row of the batch replaces the row of its key, others stay.
-    ``batch`` holds one row per key (IH-04)."""
+    ``batch`` holds one row per key (IH-04); NULL is a key like any other."""
     key = list(key)
     attrs = [c for c in dim.columns if c not in key]
     old = dim.select(*key, F.struct(*attrs).alias("_old"))
     new = batch.select(*key, F.struct(*attrs).alias("_new"))
     return (
-        old.join(new, key, "full")
+        join_null_safe(old, new, key, "full")
         .select(*key, F.coalesce("_new", "_old").alias("_row"))
         .select(*key, "_row.*")
     )
@@ -174,6 +177,8 @@ def backdate(
 
 # A key with more versions than this leaves the range join for the timeline.
 HOT_VERSIONS = 10_000
+# Days that share a join key, unless the caller knows better.
+SPAN_DAYS = 365
 
 
 def asof(
@@ -181,14 +186,15 @@ def asof(
     hist: DataFrame,
     key: Sequence[str],
     ts: str,
-    span_days: int | None = None,
+    span_days: int | None = SPAN_DAYS,
     horizon: Column | None = None,
     hot_versions: int | None = HOT_VERSIONS,
     hot_rows: int | None = HOT_ROWS,
     counted: DataFrame | None = None,
 ) -> DataFrame:
     """IH-10. Each fact with the version valid at its time; version columns are NULL where
-    there is none. Versions of one key must not overlap (IH-13 reports where they do).
+    there is none. Where versions of a key overlap (IH-13 reports it), a fact is repeated with
+    each version valid at its time, whichever path it takes.
 
     A left equi-join on the key with the range as a residual test. A fact meets the versions
     of its key, so ``span_days`` cuts time into spans and adds the span to the join key; a
@@ -198,7 +204,8 @@ def asof(
     Keys with more than ``hot_versions`` versions would still make facts meet too many. They
     are counted first (in ``counted``, where a cheaper relation has at least as many rows per
     key, such as the change log); their facts take the timeline of IH-11 instead, which is
-    linear. The list of such keys is broadcast: one entry per ``hot_versions`` rows at most.
+    linear. A timeline knows one version at a time, so hot keys with overlapping or empty
+    versions stay with the range join. The list of hot keys is broadcast only where it is small.
     """
     key = list(key)
     if hot_versions is None:
@@ -208,7 +215,11 @@ def asof(
     hot = cut_lineage(sizes.where(F.col("_n") > hot_versions).select(*key))
     if hot.isEmpty():
         return _asof_range(fact, hist, key, ts, span_days, horizon)
-    hot = F.broadcast(hot)  # at most rows / hot_versions keys
+    overlapping = (
+        interval_faults(hist.join(hot, key, "left_semi"), key, hot_rows)
+        .where(F.col("fault").isin("OVERLAP", "EMPTY")).select(*key).distinct()
+    )
+    hot = checked_keys(hot.join(overlapping, key, "left_anti"))
     rest = _asof_range(
         fact.join(hot, key, "left_anti"), hist.join(hot, key, "left_anti"), key, ts, span_days, horizon
     )

@@ -7,13 +7,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructType
+from pyspark.sql.types import DataType, StringType, StructField, StructType
 
 from plumbline.functions.values import compact, guarded_cast, row_digest
 
 ERRORS = "errors"
 DISPOSITION = "disposition"
 ACCEPTED, QUARANTINED = "ACCEPTED", "QUARANTINED"
+UNROUTED = "UNROUTED"
+ARITY_OK = "arity_ok"
+CORRUPT_RECORD = "_corrupt_record"
 
 
 def split_line(df: DataFrame, col: str, sep: str, fields: Sequence[str]) -> DataFrame:
@@ -38,25 +41,31 @@ class Slot:
 
 
 def cut_fixed(df: DataFrame, col: str, layout: Sequence[Slot]) -> DataFrame:
-    """IN-04. Cut fixed-width records; blank fields and values that do not parse are NULL."""
+    """IN-04. Cut fixed-width records. A blank field is NULL; a value that does not parse is NULL
+    and leaves an error code in ``errors``."""
+    def text(slot: Slot) -> Column:
+        return F.nullif(F.trim(F.substring(F.col(col), slot.start, slot.width)), F.lit(""))
+
     def field(slot: Slot) -> Column:
-        text = F.trim(F.substring(F.col(col), slot.start, slot.width))
-        text = F.nullif(text, F.lit(""))
-        if slot.kind.simpleString() == "string":
-            return text.alias(slot.name)
-        return guarded_cast(text, slot.kind).alias(slot.name)
+        return text(slot) if slot.kind.simpleString() == "string" else guarded_cast(text(slot), slot.kind)
 
-    return df.select("*", *[field(slot) for slot in layout])
+    codes = [
+        F.when(text(slot).isNotNull() & field(slot).isNull(), F.lit(f"BAD:{slot.name}")) for slot in layout
+    ]
+    return df.select("*", *[field(slot).alias(slot.name) for slot in layout], compact(codes).alias(ERRORS))
 
 
 def route_records(
     df: DataFrame, col: str, tag: Column, layouts: Mapping[str, Sequence[Slot]]
 ) -> dict[str, DataFrame]:
     """IN-05. One relation per record type of a mixed file. Each is a filter over the scan
-    and parses only its own layout; nothing is cached, as the filter comes first."""
-    return {
+    and parses only its own layout; nothing is cached, as the filter comes first. Records of no
+    declared type come out as they are, under ``UNROUTED``, with an error code."""
+    routed = {
         name: cut_fixed(df.where(tag == name), col, layout) for name, layout in layouts.items()
     }
+    known = F.coalesce(tag.isin(*layouts), F.lit(False))
+    return routed | {UNROUTED: df.where(~known).withColumn(ERRORS, F.array(F.lit("BAD:tag")))}
 
 
 def flatten_record(
@@ -64,10 +73,22 @@ def flatten_record(
 ) -> DataFrame:
     """IN-06. Parse a nested JSON record and flatten it: struct fields become columns and,
     with ``each``, that array field becomes one row per element (a row with an empty array
-    is kept). Records read by ``format('xml')`` arrive as structs and skip the parse."""
+    is kept). Records read by ``format('xml')`` arrive as structs and skip the parse. A record
+    that is absent or does not parse leaves an error code in ``errors``."""
     parsed = df.schema[col].dataType
-    record = F.col(col) if isinstance(parsed, StructType) else F.from_json(F.col(col), schema)
-    flat = df.withColumn("_record", record).select(*df.columns, "_record.*")
+    wrong = F.when(F.col(col).isNull(), F.lit(f"MISSING:{col}"))
+    record = F.col(col)
+    if not isinstance(parsed, StructType):
+        wanted = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+        wanted = StructType([*wanted.fields, StructField(CORRUPT_RECORD, StringType())])
+        record = F.from_json(record, wanted, {"columnNameOfCorruptRecord": CORRUPT_RECORD})
+        wrong = wrong.when(F.col(f"_record.{CORRUPT_RECORD}").isNotNull(), F.lit(f"BAD:{col}"))
+    flat = (
+        df.withColumn("_record", record)
+        .withColumn(ERRORS, compact([wrong]))
+        .select(*df.columns, ERRORS, "_record.*")
+        .drop(CORRUPT_RECORD)
+    )
     if each is not None:
         flat = flat.withColumn(each, F.explode_outer(each))
         if isinstance(flat.schema[each].dataType, StructType):
@@ -77,7 +98,8 @@ def flatten_record(
 
 def cast_fields(df: DataFrame, schema: StructType) -> DataFrame:
     """IN-07. Cast text fields to the target types. A field that is absent or does not parse
-    becomes NULL and leaves an error code; a row never fails the job."""
+    becomes NULL and leaves an error code; a row never fails the job. Where ``split_line`` found
+    more or fewer fields than declared, that is an error of the row too."""
     casts = {f.name: guarded_cast(F.col(f.name), f.dataType) for f in schema.fields}
     codes = []
     for field in schema.fields:
@@ -87,7 +109,9 @@ def cast_fields(df: DataFrame, schema: StructType) -> DataFrame:
             F.lit(f"BAD:{field.name}"),
         )
         codes += [wrong] if field.nullable else [missing, wrong]
-    kept = [c for c in df.columns if c not in casts]
+    if ARITY_OK in df.columns:
+        codes.append(F.when(~F.col(ARITY_OK), F.lit("BAD:arity")))
+    kept = [c for c in df.columns if c not in casts and c != ARITY_OK]
     return df.select(
         *kept,
         *[value.alias(name) for name, value in casts.items()],
@@ -116,15 +140,16 @@ def normalize_text(df: DataFrame, rules: Sequence[TextRule]) -> DataFrame:
 
 def normalize_units(df: DataFrame, units: DataFrame, measure: str, unit: str = "unit") -> DataFrame:
     """IN-09. Bring ``measure`` to the contract's unit by an exact decimal factor. ``units``
-    holds ``(unit, to_unit, factor)``. An unknown unit gives NULL, not a guess."""
+    holds ``(unit, to_unit, factor)``. The product is exact to eight decimals of either side and
+    rounded once. An unknown unit gives NULL, not a guess."""
     factors = units.select(
-        F.col("unit").alias(unit), F.col("to_unit"), F.col("factor").cast("decimal(18,6)")
+        F.col("unit").alias(unit), F.col("to_unit"), F.col("factor").cast("decimal(16,8)")
     )
     return (
         df.join(factors, unit, "left")
         .withColumn(
             measure,
-            (F.col(measure).cast("decimal(18,2)") * F.col("factor")).cast("decimal(18,2)"),
+            (F.col(measure).cast("decimal(22,8)") * F.col("factor")).cast("decimal(18,2)"),
         )
         .withColumn(unit, F.col("to_unit"))
         .drop("to_unit", "factor")

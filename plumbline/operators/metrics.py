@@ -39,12 +39,13 @@ def metric_cube(
 
 
 def metric_change(
-    df: DataFrame, by: Sequence[str], period: str, value: str
+    df: DataFrame, by: Sequence[str], period: str, value: str, preceding: Column
 ) -> DataFrame:
-    """MT-03. A metric against its previous period. ``df`` is a metric already at the grain
-    ``(by, period)``, so a group is as long as there are periods."""
+    """MT-03. A metric against its previous period, which ``preceding`` computes from a row's
+    own; NULL where that period has no row. ``df`` is a metric already at the grain ``(by,
+    period)``, so a group is as long as there are periods."""
     w = Window.partitionBy(*by).orderBy(period)
-    before = F.lag(value).over(w)
+    before = F.when(F.lag(period).over(w) == preceding, F.lag(value).over(w))
     return df.withColumn("previous", before).withColumn("change", F.col(value) - F.col("previous"))
 
 

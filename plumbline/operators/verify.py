@@ -112,40 +112,61 @@ def edge_rows(a: DataFrame, b: DataFrame, q: DataFrame) -> DataFrame:
 
 
 def edge_measure(a: DataFrame, b: DataFrame, by: Sequence[str], m: str) -> DataFrame:
-    """VF-09. Groups in which the measure is not conserved. Both sides aggregate before they
-    meet; a group on one side only counts as not conserved."""
-    left = a.groupBy(*by).agg(F.sum(m).alias("before"), F.count(F.lit(1)).alias("_a"))
-    right = b.groupBy(*by).agg(F.sum(m).alias("after"), F.count(F.lit(1)).alias("_b"))
+    """VF-09. Groups in which the measure is not conserved. Both sides meet in one aggregate, in
+    which NULL is a group; a group on one side only counts as not conserved."""
+    before, after = F.col("_side") == 0, F.col("_side") == 1
     return (
-        left.join(right, list(by), "full")
-        .where(~F.col("before").eqNullSafe(F.col("after")) | F.col("_a").isNull() | F.col("_b").isNull())
+        _sides(a.select(*by, m), b.select(*by, m))
+        .groupBy(*by)
+        .agg(
+            F.sum(F.when(before, F.col(m))).alias("before"), F.sum(F.when(after, F.col(m))).alias("after"),
+            F.count_if(before).alias("_a"), F.count_if(after).alias("_b"),
+        )
+        .where(~F.col("before").eqNullSafe(F.col("after")) | (F.col("_a") == 0) | (F.col("_b") == 0))
         .drop("_a", "_b")
     )
 
 
+def _sides(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Both relations as one, ``_side`` 0 and 1."""
+    return a.withColumn("_side", F.lit(0)).unionByName(b.withColumn("_side", F.lit(1)))
+
+
+def _counted(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows per group on either side, in one pass over each; NULL is a group."""
+    return _sides(a.select(*by), b.select(*by)).groupBy(*by).agg(
+        F.count_if(F.col("_side") == 0).alias("_a"), F.count_if(F.col("_side") == 1).alias("_b")
+    )
+
+
 def edge_keys(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
     """VF-10. Keys lost or invented between two stages."""
-    key = list(key)
-    left, right = a.select(*key).distinct(), b.select(*key).distinct()
-    lost = left.join(right, key, "left_anti").withColumn("change", F.lit("LOST"))
-    invented = right.join(left, key, "left_anti").withColumn("change", F.lit("INVENTED"))
-    return lost.unionByName(invented)
+    change = F.when(F.col("_b") == 0, F.lit("LOST")).when(F.col("_a") == 0, F.lit("INVENTED"))
+    return (
+        _counted(a, b, list(key)).select(*key, change.alias("change")).where(F.col("change").isNotNull())
+    )
 
 
 def edge_fanout(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
-    """VF-11. Keys with more rows after than before. Counted per key before the join."""
-    before = a.groupBy(*key).agg(F.count(F.lit(1)).alias("n_before"))
-    after = b.groupBy(*key).agg(F.count(F.lit(1)).alias("n_after"))
-    return before.join(after, list(key)).where(F.col("n_after") > F.col("n_before"))
+    """VF-11. Keys with more rows after than before."""
+    return (
+        _counted(a, b, list(key))
+        .where((F.col("_a") > 0) & (F.col("_b") > F.col("_a")))
+        .select(*key, F.col("_a").alias("n_before"), F.col("_b").alias("n_after"))
+    )
 
 
 def edge_equal(a: DataFrame, b: DataFrame) -> DataFrame:
-    """VF-12. Rows by which two relations differ as bags; empty when they are equal."""
-    b = b.select(*a.columns)
+    """VF-12. Rows by which two relations differ as bags, each once with the number of its
+    surplus ``copies``; empty when they are equal. One pass over each."""
+    more = F.col("_a") > F.col("_b")
     return (
-        a.exceptAll(b)
-        .withColumn("side", F.lit("LEFT"))
-        .unionByName(b.exceptAll(a).withColumn("side", F.lit("RIGHT")))
+        _counted(a, b, a.columns)
+        .where(F.col("_a") != F.col("_b"))
+        .select(
+            *a.columns, F.when(more, F.lit("LEFT")).otherwise(F.lit("RIGHT")).alias("side"),
+            F.abs(F.col("_a") - F.col("_b")).alias("copies"),
+        )
     )
 
 

@@ -85,7 +85,7 @@ def gv_03(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ACCEPTED = """SELECT * FROM cex WHERE status = 'ACCEPTED' QUALIFY row_number() OVER (
-  PARTITION BY record_key, boundary_id ORDER BY reviewed_at DESC, cex_id DESC) = 1"""
+  PARTITION BY record_key ORDER BY reviewed_at DESC, cex_id DESC) = 1"""
 ORACLE["gv_03"] = f"""WITH {CEX}
 SELECT cex_id, boundary_id, record_key, expected_rule_id FROM ({ACCEPTED})"""
 

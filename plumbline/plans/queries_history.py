@@ -103,15 +103,15 @@ ORACLE["ih_06"] = FULL_HISTORY
 
 
 def ih_07(spark: SparkSession, sf: str) -> DataFrame:
-    first, second, _ = _batches(spark, sf)
+    first, second, third = _batches(spark, sf)
     state = lambda log: history.latest(log, ["o_custkey"], ["o_orderdate", "o_orderkey"]).select(
         "o_custkey", "o_orderkey", "o_orderpriority"
     )
-    return history.upsert(state(first), state(second), ["o_custkey"])
+    dim = history.upsert(state(first), state(second), ["o_custkey"])
+    return history.upsert(dim, state(third), ["o_custkey"])
 
 
-ORACLE["ih_07"] = """SELECT o_custkey, o_orderkey, o_orderpriority FROM orders
-WHERE year(o_orderdate) <= 2000 QUALIFY row_number() OVER (
+ORACLE["ih_07"] = """SELECT o_custkey, o_orderkey, o_orderpriority FROM orders QUALIFY row_number() OVER (
   PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"""
 
 

@@ -88,7 +88,7 @@ def in_05(spark: SparkSession, sf: str) -> DataFrame:
     routed = ingest.route_records(
         inputs.mixed_records(spark, sf), "line", F.substring("line", 1, 3), inputs.LAYOUTS
     )
-    typed = {tag: df.drop("line") for tag, df in routed.items()}
+    typed = {tag: df.drop("line", "errors") for tag, df in routed.items() if tag != ingest.UNROUTED}
     return unify(typed, "tag").withColumn("amount", F.col("amount").cast("double"))
 
 
@@ -105,18 +105,18 @@ def in_06(spark: SparkSession, sf: str) -> DataFrame:
         "record",
         "action string, items array<struct<k: bigint>>",
         each="items",
-    ).drop("record")
+    ).drop("record").withColumn("errors", F.concat_ws(",", "errors"))
 
 
 ORACLE["in_06"] = """SELECT event_id, event_type AS action,
-  CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events
-UNION ALL SELECT event_id, event_type, user_id FROM events"""
+  CAST(json_extract(props, '$.k') AS BIGINT) AS k, '' AS errors FROM events
+UNION ALL SELECT event_id, event_type, user_id, '' FROM events"""
 
 
 def _parsed_orders(spark: SparkSession, sf: str) -> DataFrame:
     fields = ingest.split_line(
         inputs.order_raw_lines(spark, sf), "line", "|", inputs.ORDER_FIELDS
-    ).drop("line", "arity_ok")
+    ).drop("line")
     return ingest.cast_fields(fields, inputs.ORDER_SCHEMA)
 
 
@@ -133,7 +133,7 @@ ORACLE["in_07"] = f"""WITH {ORDER_FAULTS}
 SELECT o_orderkey AS order_key, o_custkey AS cust_key, o_orderstatus AS status,
   CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS price,
   CASE WHEN NOT bad_date AND NOT short THEN strftime(o_orderdate, '%Y-%m-%d') END AS order_date,
-  CASE WHEN short THEN 'MISSING:order_date' WHEN bad_date THEN 'BAD:order_date' ELSE '' END AS errors
+  CASE WHEN short THEN 'MISSING:order_date,BAD:arity' WHEN bad_date THEN 'BAD:order_date' ELSE '' END AS errors
 FROM faulty"""
 
 
@@ -194,7 +194,7 @@ def in_11(spark: SparkSession, sf: str) -> DataFrame:
 ORACLE["in_11"] = f"""WITH {ORDER_FAULTS}
 SELECT o_orderkey AS order_key,
   CASE WHEN short OR bad_date THEN 'QUARANTINED' ELSE 'ACCEPTED' END AS disposition,
-  CASE WHEN short THEN 'MISSING:order_date' WHEN bad_date THEN 'BAD:order_date' ELSE '' END AS errors
+  CASE WHEN short THEN 'MISSING:order_date,BAD:arity' WHEN bad_date THEN 'BAD:order_date' ELSE '' END AS errors
 FROM faulty"""
 
 

@@ -37,16 +37,28 @@ def unit_fault(df: DataFrame) -> DataFrame:
     return inject(df.withColumn(RUN, F.lit("F1")), FAULT["F1"]).drop(RUN)
 
 
+# A target that expects money as decimals, a tax code, and no tax rate.
+OTHER_LINES = (
+    SCHEMAS["lineitem"]
+    .replace("l_extendedprice double", "l_extendedprice decimal(18,2)")
+    .replace("l_tax double", "l_taxcode string")
+)
+
+
 def vf_01(spark: SparkSession, sf: str) -> DataFrame:
-    # A target that expects money as decimals, a tax code, and no tax rate.
-    target = StructType.fromDDL(
-        SCHEMAS["lineitem"]
-        .replace("l_extendedprice double", "l_extendedprice decimal(18,2)")
-        .replace("l_tax double", "l_taxcode string")
-    )
+    target = StructType.fromDDL(OTHER_LINES)
     return verify.check_schema(spark.read.parquet(f"{sf}/lineitem.parquet"), target)
 
 
+WANTED = ", ".join("('{}', '{}')".format(*field.split()) for field in OTHER_LINES.split(", "))
+ORACLE["vf_01"] = f"""WITH have AS (SELECT column_name AS c, CASE column_type WHEN 'VARCHAR' THEN 'string'
+    WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS t
+  FROM (DESCRIBE lineitem)), want AS (SELECT * FROM (VALUES {WANTED}) AS v(c, t))
+SELECT coalesce(w.c, h.c) AS "column", CASE WHEN h.c IS NULL THEN 'MISSING' WHEN w.c IS NULL THEN 'EXTRA'
+    ELSE 'RETYPED' END AS problem, w.t AS expected, h.t AS found
+FROM want w FULL JOIN have h ON w.c = h.c WHERE w.t IS DISTINCT FROM h.t"""
+
+
 def vf_02(spark: SparkSession, sf: str) -> DataFrame:
     return verify.check_grain(table(spark, sf, "lineitem"), LINE_PAIR)
 
@@ -146,7 +158,7 @@ FROM ruled WHERE l_tax IN (0.07, 0.08) OR (l_tax = 0.06 AND rule_id <> 'HOLE')""
 
 def vf_08(spark: SparkSession, sf: str) -> DataFrame:
     raw = inputs.order_raw_lines(spark, sf)
-    fields = ingest.split_line(raw, "line", "|", inputs.ORDER_FIELDS).drop("line", "arity_ok")
+    fields = ingest.split_line(raw, "line", "|", inputs.ORDER_FIELDS).drop("line")
     good, bad = ingest.split_disposition(ingest.cast_fields(fields, inputs.ORDER_SCHEMA))
     return verify.edge_rows(raw, good, bad)
 
@@ -210,8 +222,8 @@ def vf_12(spark: SparkSession, sf: str) -> DataFrame:
 ORACLE["vf_12"] = f"""WITH {KEYED},
 a AS (SELECT record_key, l_orderkey, l_suppkey, CAST({PRICE} AS DOUBLE) AS price FROM keyed),
 b AS (SELECT record_key, l_orderkey, l_suppkey, CAST({F1_PRICE} AS DOUBLE) AS price FROM keyed)
-SELECT *, 'LEFT' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
-UNION ALL SELECT *, 'RIGHT' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)"""
+SELECT *, 'LEFT' AS side, count(*) AS copies FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY ALL
+UNION ALL SELECT *, 'RIGHT', count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY ALL"""
 
 
 def vf_13(spark: SparkSession, sf: str) -> DataFrame:

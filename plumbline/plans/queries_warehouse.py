@@ -192,23 +192,23 @@ def df_04(spark: SparkSession, sf: str) -> DataFrame:
 
 ORACLE["df_04"] = """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS ordered,
   strftime(min(l_shipdate), '%Y-%m-%d') AS first_ship, strftime(max(l_shipdate), '%Y-%m-%d') AS last_ship,
-  count(*) AS n_lines, CAST(date_diff('day', o_orderdate, min(l_shipdate)) AS INT) AS lag_days,
+  count(l_orderkey) AS n_lines, CAST(date_diff('day', o_orderdate, min(l_shipdate)) AS INT) AS lag_days,
   CAST(date_diff('day', min(l_shipdate), max(l_shipdate)) AS INT) AS spread_days
-FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderdate"""
-
-PERIODS = ("1995-01-01", "2001-12-31")
-
+FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderdate"""
 
 def df_05(spark: SparkSession, sf: str) -> DataFrame:
     members = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    dates = table(spark, sf, "orders")
+    bounds = [dates.agg(f("o_orderdate").alias("at")).scalar() for f in (F.min, F.max)]
     snap = facts.fact_snapshot(
-        customer_history(spark, sf), members, "o_custkey", "o_orderpriority", *PERIODS, UNKNOWN
+        customer_history(spark, sf), members, "o_custkey", "o_orderpriority", *bounds, UNKNOWN
     )
     return snap.withColumn("period_end", F.date_format("period_end", "yyyy-MM-dd"))
 
 
 ORACLE["df_05"] = f"""WITH {history_sql()}, periods AS (SELECT last_day(CAST(unnest(generate_series(
-  DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS DATE)) AS e)
+  (SELECT date_trunc('month', min(o_orderdate)) FROM orders),
+  (SELECT date_trunc('month', max(o_orderdate)) FROM orders), INTERVAL 1 MONTH)) AS DATE)) AS e)
 SELECT c_custkey AS o_custkey, strftime(e, '%Y-%m-%d') AS period_end,
   coalesce(o_orderpriority, 'UNKNOWN') AS o_orderpriority
 FROM customer CROSS JOIN periods
@@ -302,7 +302,10 @@ def mt_03(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_totalprice").cast("decimal(18,2)").alias("price"),
     )
     monthly = metrics.metric(orders, ["o_orderstatus", "month"], {"amount": F.sum("price")})
-    changed = metrics.metric_change(monthly, ["o_orderstatus"], "month", "amount")
+    month_before = F.date_format(
+        F.add_months(F.concat("month", F.lit("-01")).cast("date"), -1), "yyyy-MM"
+    )
+    changed = metrics.metric_change(monthly, ["o_orderstatus"], "month", "amount", month_before)
     return changed.withColumns(
         {c: F.col(c).cast("double") for c in ("amount", "previous", "change")}
     )
@@ -310,7 +313,9 @@ def mt_03(spark: SparkSession, sf: str) -> DataFrame:
 
 ORACLE["mt_03"] = """WITH monthly AS (SELECT o_orderstatus, strftime(o_orderdate, '%Y-%m') AS month,
   sum(CAST(o_totalprice AS DECIMAL(18,2))) AS amount FROM orders GROUP BY 1, 2),
-lagged AS (SELECT *, lag(amount) OVER (PARTITION BY o_orderstatus ORDER BY month) AS previous FROM monthly)
+lagged AS (SELECT m.*, p.amount AS previous FROM monthly m LEFT JOIN monthly p
+  ON p.o_orderstatus = m.o_orderstatus
+  AND p.month = strftime(CAST(m.month || '-01' AS DATE) - INTERVAL 1 MONTH, '%Y-%m'))
 SELECT o_orderstatus, month, CAST(amount AS DOUBLE) AS amount, CAST(previous AS DOUBLE) AS previous,
   CAST(amount - previous AS DOUBLE) AS change FROM lagged"""
 

@@ -8,18 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Key lists up to this many rows are broadcast; a key is tens of bytes, so tens of megabytes.
+# Key lists up to these bounds are broadcast.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder, from ``spark.checkpoint.dir``. Only where the
-    session names none (a bare local test) is a temporary folder set in its place."""
+    """The cluster's shared folder, from ``spark.checkpoint.dir``. Only a session with a local
+    master may name none: a temporary folder is then set in its place. On a cluster each
+    executor would write such a folder to its own disk, so a missing setting is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if root is None:
         root = context.getCheckpointDir()
     if root is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(root)
     elif context.getCheckpointDir() is None:
@@ -39,9 +43,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def checked_keys(keys: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A list of keys to filter a large relation by. It is stored and counted; up to
-    ``max_rows`` it is broadcast, so the large relation is not shuffled for it, and beyond
-    that the join shuffles both sides."""
+def checked_keys(
+    keys: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """A list of keys to filter a large relation by. It is stored and measured; up to
+    ``max_rows`` rows and ``max_bytes`` bytes it is broadcast, so the large relation is not
+    shuffled for it, and beyond that the join shuffles both sides."""
     stored = cut_lineage(keys)
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+    width = F.lit(0)
+    for c in stored.columns:
+        width = width + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 8
+    rows, size = stored.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(stored) if rows <= max_rows and size <= max_bytes else stored

@@ -26,7 +26,10 @@ SCHEMAS = {
 
 LINE_COLUMNS = [part.split()[0] for part in SCHEMAS["lineitem"].split(", ")]
 # Casts that make a line's digest canonical.
-LINE_CASTS = {"l_discount": "decimal(4,2)", "l_tax": "decimal(4,2)", "l_shipdate": "date"}
+LINE_CASTS = {
+    "l_quantity": "decimal(18,2)", "l_extendedprice": "decimal(18,2)", "l_discount": "decimal(4,2)",
+    "l_tax": "decimal(4,2)", "l_shipdate": "date",
+}
 
 
 # How many tasks a fact table's rows are dealt out to, where the session asks for it.

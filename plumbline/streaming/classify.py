@@ -24,9 +24,10 @@ def classify_arrivals(
 ) -> StreamingQuery:
     """Take every new text file of ``folder``, parse and classify its lines, append them to the
     Parquet folder ``target``, then stop. ``progress`` (a folder on shared storage) makes a
-    restart continue where the last run ended, each file counted once."""
+    restart continue where the last run ended, each file counted once. The raw line stays with
+    its row, so a quarantined one can be mended and sent again."""
     lines = spark.readStream.text(folder).withColumnRenamed("value", "line")
-    fields = split_line(lines, "line", sep, schema.fieldNames()).drop("line", "arity_ok")
+    fields = split_line(lines, "line", sep, schema.fieldNames())
     judged = classify(mark_disposition(cast_fields(fields, schema)).withColumnRenamed(
         "disposition", "parse_disposition"), rules)
     return (

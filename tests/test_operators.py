@@ -213,7 +213,7 @@ def test_every_table_keeps_its_schema(spark, sf):
 def test_edge_equal_counts_repeats(spark):
     a = relation(spark, "x int", [(1,), (1,), (2,)])
     b = relation(spark, "x int", [(1,), (2,), (2,)])
-    assert sorted(tuple(r) for r in verify.edge_equal(a, b).collect()) == [(1, "LEFT"), (2, "RIGHT")]
+    assert sorted(tuple(r) for r in verify.edge_equal(a, b).collect()) == [(1, "LEFT", 1), (2, "RIGHT", 1)]
 
 
 def test_edge_measure_sees_one_sided_groups(spark):
