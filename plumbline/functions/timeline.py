@@ -8,61 +8,37 @@ keys stay in one slice.
 Rows per key are counted first, in a job of its own (one narrow scan, combined before the
 shuffle). Where no key is hot the plan is the plain window and nothing more.
 
-Slices follow the key's own distribution: quantiles of its times, and equal widths between two
-quantiles, so a burst is cut as finely as it is dense.
+Slices are ranges of the whole order: the rows of hot keys are range-partitioned by key and order
+columns, so a burst, or any number of rows at one instant, is cut as finely as it is dense. Those
+rows are placed and stored once, as a second sampling of the ranges could place them differently.
 
-The list of hot keys is broadcast. Each of its rows stands for more than ``hot_rows`` input
-rows and is a key with 33 numbers: for 10**12 rows at the default, at most 100,000 rows or
-some 30 MB.
+The list of hot keys is broadcast where it is small. Each of its rows stands for more than
+``hot_rows`` input rows.
 """
 
 from __future__ import annotations
 
 import copy
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
-
-from plumbline.sources.shared import cut_lineage
+from plumbline.sources.shared import checked_keys, cut_lineage, store
 
 HOT_ROWS = 10_000_000
 SLICE = "_slice"
 # A hot key gets this many slices per hot_rows rows.
 SLICES_PER_QUOTA = 4
-QUANTILES = [i / 32 for i in range(33)]
-
-
-def position(df: DataFrame, column: str) -> Column:
-    """A number that grows with the ordering column, free of any session time zone."""
-    if isinstance(df.schema[column].dataType, NumericType):
-        return F.col(column).cast("double")
-    at = F.col(column).cast("timestamp_ntz")
-    seconds = F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
-    return (F.unix_date(at.cast("date")).cast("bigint") * 86400 + seconds).cast("double")
 
 
 def hot_keys(df: DataFrame, key: Sequence[str], hot_rows: int) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows, and the slices each gets between two quantiles."""
-    per_bin = F.col("_rows") * SLICES_PER_QUOTA / hot_rows / (len(QUANTILES) - 1)
+    """Keys with more than ``hot_rows`` rows, and their rows."""
     return (
-        df.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > hot_rows)
-        .select(*key, F.ceil(per_bin).alias("_per_bin"))
+        df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
     )
 
 
-def slice_of(at: Column) -> Column:
-    """The slice of a hot row, from 1 and growing with ``at``; 0 on other rows."""
-    cuts, per_bin = F.col("_cuts"), F.col("_per_bin")
-    passed = F.size(F.filter(cuts, lambda cut: cut <= at))
-    inside = F.width_bucket(at, F.get(cuts, passed - 1), F.get(cuts, passed), per_bin)
-    place = 1 + passed * (per_bin + 2) + F.coalesce(inside, F.lit(0))
-    return F.when(cuts.isNotNull(), place).otherwise(0).cast("bigint")
-
-
 def join_on(left: DataFrame, right: DataFrame, on: Sequence[str], null_safe: bool) -> DataFrame:
     """Left join by equal columns; with ``null_safe`` NULL equals NULL."""
     if not null_safe:
@@ -75,9 +51,9 @@ def join_on(left: DataFrame, right: DataFrame, on: Sequence[str], null_safe: boo
 
 
 class Timeline:
-    """Rows of each key in the order of ``order`` (its first column is a time or number).
+    """Rows of each key in the order of ``order``.
 
-    ``order`` must be a total order within a key, its first column not NULL. ``counted`` is a cheaper relation with at
+    ``order`` must be a total order within a key. ``counted`` is a cheaper relation with at
     least as many rows per key to find the hot keys in, such as the input that ``df``
     aggregates. ``hot_rows=None`` says the groups are known to be small, and leaves the
     windows unsplit.
@@ -97,7 +73,8 @@ class Timeline:
             return
         source = df if counted is None else counted
         hot = cut_lineage(hot_keys(source, self.key, hot_rows))
-        if hot.isEmpty():
+        total = hot.agg(F.sum("_rows")).first()[0]
+        if total is None:
             return
         # NULL is one key, as in any window; the null-safe join is used only where it is hot.
         missing = F.lit(False)
@@ -105,21 +82,17 @@ class Timeline:
             missing = missing | F.col(k).isNull()
         self.null_safe = not hot.where(missing).isEmpty()
         self.split = True
-        first = self.order[0]
-        cuts = cut_lineage(
-            join_on(
-                source.select(*self.key, position(source, first).alias("_at")),
-                F.broadcast(hot), self.key, self.null_safe,
-            )
-            .where(F.col("_per_bin").isNotNull())
-            .groupBy(*self.key, "_per_bin")
-            .agg(F.percentile_approx("_at", QUANTILES, 1000).alias("_cuts"))
-        )
-        self.frame = (
-            join_on(df, F.broadcast(cuts), self.key, self.null_safe)
-            .withColumn(SLICE, slice_of(position(df, first)))
-            .drop("_cuts", "_per_bin")
+        marked = join_on(df, checked_keys(hot), self.key, self.null_safe)
+        slices = math.ceil(total * SLICES_PER_QUOTA / hot_rows)
+        placed = store(
+            marked.where(F.col("_rows").isNotNull())
+            .repartitionByRange(slices, *self.key, *self.order)
+            .withColumn(SLICE, F.spark_partition_id() + 1)
+            .drop("_rows"),
+            "slices",
         )
+        rest = marked.where(F.col("_rows").isNull()).withColumn(SLICE, F.lit(0)).drop("_rows")
+        self.frame = placed.unionByName(rest)
 
     def _with(self, frame: DataFrame) -> Timeline:
         other = copy.copy(self)

@@ -46,9 +46,10 @@ def rules_relation(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
 
 
 def read_rules(table: DataFrame) -> list[Rule]:
-    """A rules relation as a policy; refuses a table beyond ``MAX_RULES``."""
-    rows = table.select("rule_id", "ord", "authority", "predicate", "reads", "disposition").take(
-        MAX_RULES + 1
+    """A rules relation as a policy, in its order; refuses a table beyond ``MAX_RULES``."""
+    rows = (
+        table.select("rule_id", "ord", "authority", "predicate", "reads", "disposition")
+        .orderBy("ord", "rule_id").take(MAX_RULES + 1)
     )
     if len(rows) > MAX_RULES:
         raise ValueError("too many rules for one expression; use classify_join")

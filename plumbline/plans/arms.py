@@ -24,7 +24,7 @@ from plumbline.plans.pipeline import (
 )
 from plumbline.plans.policy import FAULTS, LINE_RULES, LINE_RULES_SWAPPED, STATUS
 from plumbline.sources.relations import relation
-from plumbline.sources.shared import cut_lineage
+from plumbline.sources.shared import store
 
 RULE_INPUTS = ["l_shipdate", "o_orderdate", "l_returnflag", "l_linestatus", "l_discount"]
 # The plausible bounds of the stage contracts.
@@ -100,7 +100,7 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
         "quantity", "discount", "status_meaning", "customer_key", "priority", "rule_id",
         "customer_sk", "extra", "copy", "dropped",
     ]
-    run = cut_lineage(governed_run(spark, sf, runs).select(*kept))
+    run = store(governed_run(spark, sf, runs).select(*kept), "runs")
     p = present()
     each_run = F.explode(F.array(*[F.lit(r) for r in runs]))
 

@@ -112,7 +112,8 @@ STAGE_COLUMNS = {
 
 def governed_run(spark: SparkSession, sf: str, runs: Sequence[str] = (CONTROL,)) -> DataFrame:
     """Stages 1 to 6 for every named run in one plan. A run is a column, so all runs share
-    each scan and shuffle, and a fault is a condition on that column.
+    each scan and shuffle, and a fault is a condition on that column. Rows are repeated per run
+    after the as-of join, not before it.
 
     A row is one row of stage 5 and carries the outputs of all stages. ``extra`` marks a
     second version of one line (rows from stage 3 on), ``copy`` numbers the repeats a fan-out
@@ -130,20 +131,15 @@ def governed_run(spark: SparkSession, sf: str, runs: Sequence[str] = (CONTROL,))
         lines = lines.join(pairs, ["l_orderkey", "l_linenumber"])
     else:
         lines = lines.withColumn("_pairs", F.lit(1).cast("bigint"))
-    # 1: parsing and normalization
-    one = lines.select(
-        F.explode(F.array(*[F.lit(r) for r in runs])).alias(RUN),
-        "record_key", "l_orderkey", "l_linenumber", "_pairs", "l_shipdate", "o_orderdate",
-        "l_returnflag", "l_linestatus", "l_discount", "o_orderstatus", "o_custkey",
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("price"),
-        F.col("l_quantity").cast("decimal(18,2)").alias("quantity"),
-        F.col("l_discount").cast("decimal(4,2)").alias("discount"),
-    )
-    one = inject(one, FAULT["F1"])
-    # 2: reference interpretation
-    two = inject(one.withColumn("status_meaning", lookup(STATUS, "o_orderstatus")), FAULT["F2"])
-    # 3: identity and history
-    three = inject(two.withColumn("customer_key", F.col("o_custkey")), FAULT["F3"])
+    # Versions are looked up before rows are repeated per run: only the identity fault changes
+    # the key of that lookup, so only the rows it hits are looked up twice.
+    moved = FAULT["F3"]
+    hit = F.coalesce(F.expr(moved.condition), F.lit(False))
+    lines = lines.withColumns({"customer_key": F.col("o_custkey"), "_moved": F.lit(False)})
+    if wants("F3"):
+        lines = lines.unionByName(
+            lines.where(hit).withColumns({"customer_key": F.expr(moved.value), "_moved": F.lit(True)})
+        )
     hist = customer_history(spark, sf).select(
         F.col("o_custkey").alias("customer_key"),
         "valid_from",
@@ -159,9 +155,32 @@ def governed_run(spark: SparkSession, sf: str, runs: Sequence[str] = (CONTROL,))
             .previous(["version"], "_ended")
             .rows()
         )
-    three = asof(
-        three, hist, ["customer_key"], "l_shipdate", SPAN_DAYS, last_ship(spark, sf), counted=changes
-    ).withColumn("extra", F.lit(False))
+    known = asof(
+        lines, hist, ["customer_key"], "l_shipdate", SPAN_DAYS, last_ship(spark, sf), counted=changes
+    )
+    moving = [r for r in runs if r in (moved.fault_id, "ALL")]
+    named = lambda some: F.array(*[F.lit(r) for r in some]).cast("array<string>")
+    original_hit = F.coalesce(F.expr(moved.condition.replace("customer_key", "o_custkey")), F.lit(False))
+    own_runs = (
+        F.when(F.col("_moved"), named(moving))
+        .when(original_hit, named([r for r in runs if r not in moving]))
+        .otherwise(named(runs))
+    )
+    # 1: parsing and normalization
+    one = known.select(
+        F.explode(own_runs).alias(RUN),
+        "customer_key", "version", "valid_from", *(["_ended"] if wants("F4") else []),
+        "record_key", "l_orderkey", "l_linenumber", "_pairs", "l_shipdate", "o_orderdate",
+        "l_returnflag", "l_linestatus", "l_discount", "o_orderstatus", "o_custkey",
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("price"),
+        F.col("l_quantity").cast("decimal(18,2)").alias("quantity"),
+        F.col("l_discount").cast("decimal(4,2)").alias("discount"),
+    )
+    one = inject(one, FAULT["F1"])
+    # 2: reference interpretation
+    two = inject(one.withColumn("status_meaning", lookup(STATUS, "o_orderstatus")), FAULT["F2"])
+    # 3: identity and history
+    three = two.withColumn("extra", F.lit(False))
     if wants("F4"):
         # Closed intervals: on the day a version begins, the one it ended matches as well.
         both = active("F4") & F.col("_ended").isNotNull() & (F.col("valid_from") == F.col("l_shipdate"))

@@ -33,8 +33,13 @@ def _evidence_text():
     ).alias("evidence")
 
 
+def line_policy(spark: SparkSession) -> list[classify.Rule]:
+    """The line policy as a query gets it: read from a relation of rules."""
+    return classify.read_rules(classify.rules_relation(spark, LINE_RULES))
+
+
 def ec_01(spark: SparkSession, sf: str) -> DataFrame:
-    return classify.classify(order_lines(spark, sf), LINE_RULES).select(
+    return classify.classify(order_lines(spark, sf), line_policy(spark)).select(
         "record_key", "rule_id", "disposition", _evidence_text()
     )
 

@@ -15,7 +15,7 @@ from plumbline.plans.queries_classify import M1, M2, RULED, SAID
 from plumbline.plans.sql import JOINED, RULE, rule
 from plumbline.plans.sql import history as history_sql
 from plumbline.sources.relations import relation
-from plumbline.sources.shared import cut_lineage
+from plumbline.sources.shared import store
 from plumbline.sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -225,13 +225,14 @@ def _revalidation(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     customers = pipeline.geography(
         spark, sf, table(spark, sf, "customer"), "c_nationkey", ["r_name"]
     ).select(F.col("c_custkey").alias("customer_key"), F.col("r_name").alias("region"))
-    facts = cut_lineage(
+    facts = store(
         pipeline.governed_run(spark, sf)
         .join(customers, "customer_key", "left")
         .select(
             "record_key", F.coalesce("region", F.lit(UNKNOWN)).alias("region"), "rule_id",
             "priority", "price", *arms.RULE_INPUTS,
-        )
+        ),
+        "facts",
     )
     stored = _metric(facts)
     diff = govern.policy_diff(facts, LINE_RULES, LINE_RULES_NEXT)

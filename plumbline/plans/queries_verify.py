@@ -17,7 +17,7 @@ from plumbline.plans.queries_ingest import ORDER_FAULTS, NO_PENDING
 from plumbline.plans.sql import JOINED, KEYED, LINE_KEY
 from plumbline.plans.sql import history as history_sql
 from plumbline.sources.relations import relation
-from plumbline.sources.shared import cut_lineage
+from plumbline.sources.shared import store
 from plumbline.sources.tables import LINE_CASTS, LINE_COLUMNS, SCHEMAS, table
 
 QUERIES, ORACLE = {}, {}
@@ -229,7 +229,7 @@ UNION ALL SELECT *, 'RIGHT', count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT *
 def vf_13(spark: SparkSession, sf: str) -> DataFrame:
     """The gate of a clean run. Stage 1 is stored once, as the checks read it four times."""
     lines, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
-    keyed = cut_lineage(keyed_lines(spark, sf))
+    keyed = store(keyed_lines(spark, sf).select("record_key", *LINE_PAIR, "l_shipdate"), "keyed")
     joined = keyed.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     customer = table(spark, sf, "customer")
     check = verify.Check

@@ -104,7 +104,7 @@ def test_arms(spark, sf):
 
 def test_accepted_counterexamples_pass(spark, sf):
     kept = govern.accepted(arms.counterexamples(spark, sf), ["record_key"])
-    assert kept.count() == 8
+    assert kept.count() == 5
     assert govern.replay(kept, LINE_RULES).where(~F.col("passed")).isEmpty()
     failing = govern.replay(kept, LINE_RULES_SWAPPED).where(~F.col("passed"))
     assert "O12-in" in {r["cex_id"] for r in failing.collect()}

@@ -195,3 +195,15 @@ def test_surrogate_keys_are_dense_and_ordered(log):
     keys = history.assign_sk(log, ["o_custkey", "o_orderdate"]).orderBy("o_custkey", "o_orderdate")
     rows = [r["sk"] for r in keys.collect()]
     assert rows == list(range(1, len(rows) + 1))
+
+
+def test_a_hot_key_at_one_instant_is_cut(spark):
+    """All rows of the hot key share the first order column."""
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 4 > 0, 1).otherwise(F.col("id")).alias("k"),
+        F.lit("2020-01-01").cast("timestamp_ntz").alias("ts"), "id",
+    )
+    timeline = Timeline(rows, ["k"], ["ts", "id"], 100)
+    assert timeline.frame.where("k = 1").groupBy(SLICE).count().agg(F.max("count")).first()[0] <= 100
+    step = lambda t: t.previous(["id"], "x").running_sum(F.col("id"), "y").rows()
+    equal(step(timeline), step(Timeline(rows, ["k"], ["ts", "id"], None)))
