@@ -6,10 +6,10 @@ turns any number of checks into one small relation.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import astuple, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -181,6 +181,76 @@ class Check:
     key: tuple[str, ...]
 
 
+CONTRACT_SCHEMA = (
+    "stage int, scope string, check string, kind string, relation string, other string, "
+    "grain array<string>, reads array<string>, unit string, time_semantics string, rule_id string, "
+    "disposition string"
+)
+CONTRACT_FIELDS = ["grain", "unit", "time_semantics", "evidence", "rule_id", "disposition"]
+
+
+@dataclass(frozen=True)
+class Contract:
+    """One contract on a stage or an edge, as a row of data. ``kind`` is the check to run on
+    ``relation`` (and ``other``, where it compares two); ``grain`` names the columns that identify
+    a row, ``reads`` those the check looks at. ``unit`` and ``time_semantics`` say what values
+    mean, ``rule_id`` and ``disposition`` who decides on a violation and what becomes of it."""
+
+    stage: int
+    scope: str
+    check: str
+    kind: str
+    relation: str
+    other: str | None
+    grain: tuple[str, ...]
+    reads: tuple[str, ...]
+    unit: str | None
+    time_semantics: str | None
+    rule_id: str
+    disposition: str
+
+
+def contracts_relation(spark: SparkSession, contracts: Sequence[Contract]) -> DataFrame:
+    return relation(spark, CONTRACT_SCHEMA, [astuple(c) for c in contracts])
+
+
+# What a contract's ``kind`` runs. A check gets the relation, the other one, grain and reads.
+KINDS = {
+    "grain": lambda a, b, grain, reads: (check_grain(a, grain), grain),
+    "domain": lambda a, b, grain, reads: (check_domain(a, reads[0], b, reads[1]), reads[:1]),
+    "fk": lambda a, b, grain, reads: (check_fk(a, b, reads[0], reads[1]), reads[:1]),
+    "time": lambda a, b, grain, reads: (check_time(a, grain), [*grain, "fault"]),
+    "cause": lambda a, b, grain, reads: (check_cause(a, reads[0], reads[1]), grain),
+    "keys": lambda a, b, grain, reads: (edge_keys(a, b, grain), grain),
+    "fanout": lambda a, b, grain, reads: (edge_fanout(a, b, grain), grain),
+}
+
+
+def checks_of(contracts: DataFrame, frames: Mapping[str, DataFrame]) -> list[Check]:
+    """The checks that a relation of contracts asks for, over named relations."""
+    out = []
+    for c in contracts.orderBy("stage", "scope", "check").collect():
+        violations, key = KINDS[c.kind](frames[c.relation], frames.get(c.other), list(c.grain), list(c.reads))
+        out.append(Check(c.stage, c.scope, c.check, violations, tuple(key)))
+    return out
+
+
+def contract_gate(contracts: DataFrame, frames: Mapping[str, DataFrame]) -> DataFrame:
+    """VF-13 from data: one row per contract with its violations and what it carries: grain,
+    unit, time semantics, evidence (the columns it reads), rule id, and the disposition that its
+    violations get (``NONE`` where there are none)."""
+    carried = contracts.select(
+        "stage", "scope", "check", F.concat_ws(",", "grain").alias("grain"), "unit", "time_semantics",
+        F.concat_ws(",", "reads").alias("evidence"), "rule_id", F.col("disposition").alias("_said"),
+    )
+    return (
+        gate(checks_of(contracts, frames))
+        .join(F.broadcast(carried), ["stage", "scope", "check"])  # one row per contract
+        .withColumn("disposition", F.when(F.col("passed"), F.lit("NONE")).otherwise(F.col("_said")))
+        .drop("_said")
+    )
+
+
 def gate(checks: Sequence[Check]) -> DataFrame:
     """VF-13. One row per check. Each check becomes a single aggregate row before the union,
     so the gate stays small whatever fails."""

@@ -226,35 +226,44 @@ SELECT *, 'LEFT' AS side, count(*) AS copies FROM (SELECT * FROM a EXCEPT ALL SE
 UNION ALL SELECT *, 'RIGHT', count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY ALL"""
 
 
-def vf_13(spark: SparkSession, sf: str) -> DataFrame:
-    """The gate of a clean run. Stage 1 is stored once, as the checks read it four times."""
-    lines, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
-    keyed = store(keyed_lines(spark, sf).select("record_key", *LINE_PAIR, "l_shipdate"), "keyed")
-    joined = keyed.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    customer = table(spark, sf, "customer")
-    check = verify.Check
-    return verify.gate(
-        [
-            check(1, "stage", "grain_pair", verify.check_grain(lines, LINE_PAIR), tuple(LINE_PAIR)),
-            check(1, "stage", "grain_key", verify.check_grain(keyed, ["record_key"]), ("record_key",)),
-            check(
-                2, "stage", "domain",
-                verify.check_domain(orders, "o_orderstatus", _status_domain(spark, STATUS), "code"),
-                ("o_orderstatus",),
-            ),
-            check(3, "stage", "fk", verify.check_fk(orders, customer, "o_custkey", "c_custkey"), ("o_custkey",)),
-            check(
-                3, "stage", "time", verify.check_time(customer_history(spark, sf), ["o_custkey"]),
-                ("o_custkey", "fault"),
-            ),
-            check(
-                4, "stage", "cause", verify.check_cause(joined, "o_orderdate", "l_shipdate"),
-                ("record_key",),
-            ),
-            check(4, "edge", "keys", verify.edge_keys(keyed, joined, ["record_key"]), ("record_key",)),
-        ]
-    )
+# The contracts of the clean run.
+PAIR, LINE, CUST = ("l_orderkey", "l_linenumber"), ("record_key",), ("o_custkey",)
+CONTRACTS = [
+    verify.Contract(1, "stage", "grain_pair", "grain", "lines", None, PAIR, PAIR, None, None, "C1", "REVIEW"),
+    verify.Contract(1, "stage", "grain_key", "grain", "lines", None, LINE, LINE, None, None, "C2", "REJECT"),
+    verify.Contract(2, "stage", "domain", "domain", "orders", "status", ("o_orderkey",), ("o_orderstatus", "code"), "code", None, "C3", "QUARANTINE"),
+    verify.Contract(3, "stage", "fk", "fk", "orders", "customer", ("o_orderkey",), ("o_custkey", "c_custkey"), None, None, "C4", "QUARANTINE"),
+    verify.Contract(3, "stage", "time", "time", "history", None, CUST, ("valid_from", "valid_to", "is_current"), "day", "[valid_from, valid_to)", "C5", "REJECT"),
+    verify.Contract(4, "stage", "cause", "cause", "joined", None, LINE, ("o_orderdate", "l_shipdate"), "day", "o_orderdate <= l_shipdate", "C6", "REVIEW"),
+    verify.Contract(4, "edge", "keys", "keys", "lines", "joined", LINE, LINE, None, None, "C7", "REJECT"),
+]
+
 
+def vf_13(spark: SparkSession, sf: str) -> DataFrame:
+    """The gate of a clean run, driven by a relation of contracts. Stage 1 is stored once, as
+    several checks read it."""
+    orders = table(spark, sf, "orders")
+    lines = store(keyed_lines(spark, sf).select("record_key", *LINE_PAIR, "l_shipdate"), "keyed")
+    frames = {
+        "lines": lines,
+        "orders": orders,
+        "joined": lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")),
+        "customer": table(spark, sf, "customer"),
+        "status": _status_domain(spark, STATUS),
+        "history": customer_history(spark, sf),
+    }
+    return verify.contract_gate(verify.contracts_relation(spark, CONTRACTS), frames)
+
+
+def _text(value: str | None) -> str:
+    return "CAST(NULL AS VARCHAR)" if value is None else f"'{value}'"
+
+
+CARRIED = ", ".join(
+    f"({c.stage}, '{c.scope}', '{c.check}', '{','.join(c.grain)}', {_text(c.unit)}, "
+    f"{_text(c.time_semantics)}, '{','.join(c.reads)}', '{c.rule_id}', '{c.disposition}')"
+    for c in CONTRACTS
+)
 
 ORACLE["vf_13"] = f"""WITH {JOINED}, {history_sql()},
 pairs AS (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1),
@@ -272,6 +281,9 @@ UNION ALL SELECT 3, 'stage', 'time', count(*), min(CAST(o_custkey AS VARCHAR)) F
 UNION ALL SELECT 4, 'stage', 'cause', count(*), min(record_key) FROM early
 UNION ALL SELECT 4, 'edge', 'keys', count(*), min(record_key) FROM (
   SELECT record_key FROM keyed EXCEPT SELECT record_key FROM joined))
-SELECT *, violations = 0 AS passed FROM rows"""
+SELECT rows.*, violations = 0 AS passed, grain, unit, time_semantics, evidence, rule_id,
+  CASE WHEN violations = 0 THEN 'NONE' ELSE said END AS disposition
+FROM rows JOIN (VALUES {CARRIED}) AS c(stage, scope, chk, grain, unit, time_semantics, evidence, rule_id, said)
+  ON c.stage = rows.stage AND c.scope = rows.scope AND c.chk = rows.check"""
 
 QUERIES.update({n: f for n, f in list(globals().items()) if n.startswith("vf_")})

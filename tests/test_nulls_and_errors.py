@@ -156,3 +156,21 @@ def test_broadcasts_are_bounded_by_bytes(spark):
     assert hinted(shared.checked_keys(wide))
     assert not hinted(shared.checked_keys(wide, max_bytes=10_000))
     assert not hinted(shared.checked_keys(wide, max_rows=10))
+
+
+def test_contracts_from_a_relation_name_what_failed(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, None)], "k long, code string")
+    codes = spark.createDataFrame([("a",)], "legal string")
+    contract = lambda check, kind, other, grain, reads: verify.Contract(
+        1, "stage", check, kind, "rows", other, grain, reads, "code", None, f"rule-{check}", "QUARANTINE"
+    )
+    contracts = verify.contracts_relation(spark, [
+        contract("grain", "grain", None, ("k",), ("k",)),
+        contract("domain", "domain", "codes", ("k",), ("code", "legal")),
+        contract("same", "keys", "rows", ("k",), ("k",)),
+    ])
+    got = {r.check: r for r in verify.contract_gate(contracts, {"rows": rows, "codes": codes}).collect()}
+    assert {c: (r.violations, r.passed, r.disposition) for c, r in got.items()} == {
+        "grain": (1, False, "QUARANTINE"), "domain": (2, False, "QUARANTINE"), "same": (0, True, "NONE"),
+    }
+    assert got["domain"].evidence == "code,legal" and got["domain"].rule_id == "rule-domain"
