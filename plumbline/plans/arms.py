@@ -1,11 +1,14 @@
-"""Counterexamples, and the three ways of checking that GV-12 compares.
+"""Counterexamples, and the ways of checking that GV-12 compares.
 
 - ``native``: what a pipeline tool checks out of the box: not null, accepted values, unique,
   relationships.
 - ``stage``: each stage against its own contract: unit, domain, grain, time, cause,
   provenance, range, and a replay of the accepted counterexamples.
-- ``composed``: the first divergence of each record across all stages; stage 7 is recomputed
-  on expected input, so that it shows only a fault of its own.
+- ``composed``: contracts on the edges, read off the run alone: what a stage hands on against
+  what it was given (raw price, code meaning, source key), rows kept per key from stage to
+  stage, the metric against its own definition, and the replay.
+- ``ideal``: the first divergence of each record from the fault-free run, which no real check
+  has; stage 7 is recomputed on expected input, so that it shows only a fault of its own.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from plumbline.operators.classify import HOLE, rule_of
 from plumbline.operators.govern import (
     CONTROL, RUN, accepted, active, first_run_divergence, run_divergence,
 )
+from plumbline.operators.reference import lookup
 from plumbline.plans.pipeline import (
     governed_run, line_digests, metric_digests, metric_stage, order_lines, present,
 )
@@ -98,7 +102,7 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
     kept = [
         RUN, "record_key", "l_orderkey", "l_linenumber", "o_orderdate", "l_shipdate", "price",
         "quantity", "discount", "status_meaning", "customer_key", "priority", "rule_id",
-        "customer_sk", "extra", "copy", "dropped",
+        "customer_sk", "extra", "copy", "dropped", "raw_price", "o_orderstatus", "o_custkey",
     ]
     run = store(governed_run(spark, sf, runs).select(*kept), "runs")
     p = present()
@@ -118,6 +122,11 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
             ("stage", 3, "time"): F.count_if(p[3] & F.col("extra")),
             ("stage", 4, "cause"): F.count_if(p[1] & (F.col("l_shipdate") < F.col("o_orderdate"))),
             ("stage", 4, "provenance"): F.count_if(p[4] & ~F.col("rule_id").isin(*ids)),
+            ("composed", 1, "source_price"): F.count_if(p[1] & (F.col("price") != F.col("raw_price"))),
+            ("composed", 2, "source_meaning"): F.count_if(
+                p[2] & (F.col("status_meaning") != lookup(STATUS, "o_orderstatus"))
+            ),
+            ("composed", 3, "source_key"): F.count_if(p[1] & (F.col("customer_key") != F.col("o_custkey"))),
         },
     )
     keys = run.groupBy(RUN, "record_key").agg(
@@ -132,13 +141,21 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
             ("stage", 3, "grain"): repeated[3],
             ("stage", 5, "grain"): repeated[5],
             ("stage", 6, "grain"): repeated[6],
+            ("composed", 3, "fanout"): repeated[3],
+            ("composed", 5, "fanout"): F.count_if(F.col("n5") > F.col("n3")),
+            ("composed", 6, "lost"): F.count_if(F.col("n6") < F.col("n5")),
         },
     )
     pairs = run.groupBy(RUN, "l_orderkey", "l_linenumber").agg(F.count_if(p[5]).alias("n"))
     by_pair = _long(pairs, {("native", 5, "unique_pair"): F.count_if(F.col("n") > 1)})
     by_group = _long(
         metric_stage(spark, sf, run),
-        {("stage", 7, "range"): F.count_if(~F.col("discount").between(0, HIGHEST_DISCOUNT))},
+        {
+            ("stage", 7, "range"): F.count_if(~F.col("discount").between(0, HIGHEST_DISCOUNT)),
+            ("composed", 7, "definition"): F.count_if(
+                F.col("discount").cast("decimal(18,9)") != F.col("weighted").cast("decimal(18,9)")
+            ),
+        },
     )
     replayed = (
         accepted(counterexamples(spark, sf), ["record_key"])
@@ -150,16 +167,21 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
     )
     by_example = _long(
         replayed,
-        {("stage", 4, "replay"): F.count_if(F.col("rule_id") != F.col("expected_rule_id"))},
+        {
+            (arm, 4, "replay"): F.count_if(F.col("rule_id") != F.col("expected_rule_id"))
+            for arm in ("stage", "composed")
+        },
     )
-    composed = _composed(spark, sf, run, faults, each_run)
+    ideal = _ideal(spark, sf, run, faults, each_run)
     out = by_row
-    for part in (by_key, by_pair, by_group, by_example, composed):
+    for part in (by_key, by_pair, by_group, by_example, ideal):
         out = out.unionByName(part)
-    return out
+    # A run that lost every row reports nothing; each check then counts zero.
+    every = out.select("arm", "stage", "check").distinct().withColumn(RUN, each_run)
+    return every.join(out, [RUN, "arm", "stage", "check"], "left").fillna(0, "violations")
 
 
-def _composed(
+def _ideal(
     spark: SparkSession, sf: str, run: DataFrame, faults: list[str], each_run: Column
 ) -> DataFrame:
     first = first_run_divergence(line_digests(run), ["record_key"], faults)
@@ -174,7 +196,7 @@ def _composed(
     )
     return every.join(wrong, [RUN, "first_stage"], "left").select(
         RUN,
-        F.lit("composed").alias("arm"),
+        F.lit("ideal").alias("arm"),
         F.col("first_stage").alias("stage"),
         F.lit("first_divergence").alias("check"),
         F.coalesce("n", F.lit(0)).cast("bigint").alias("violations"),

@@ -112,6 +112,7 @@ two AS (SELECT run, record_key, l_orderkey, l_linenumber, l_shipdate, o_orderdat
     CAST(l_quantity AS DECIMAL(18,2)) AS quantity, CAST(l_discount AS DECIMAL(4,2)) AS discount,
     CASE o_orderstatus WHEN 'F' THEN 'FILLED' WHEN 'O' THEN 'OPEN' WHEN 'P'
       THEN CASE WHEN {on('F2')} THEN 'FILLED' ELSE 'PENDING' END END AS status_meaning,
+    CAST(l_extendedprice AS DECIMAL(18,2)) AS raw_price, o_orderstatus AS code, o_custkey AS source_key,
     o_custkey + CASE WHEN {on('F3')} AND o_custkey % 50 = 0 THEN 1 ELSE 0 END AS customer_key
   FROM joined CROSS JOIN runs),
 three AS (SELECT two.*, coalesce(o_orderpriority, 'UNKNOWN') AS priority,
@@ -290,6 +291,9 @@ own AS (SELECT count(*) AS n FROM (SELECT rule_id, priority, r_name FROM six
     HAVING CAST(CAST(sum(discount) AS DOUBLE) / count(*) AS DECIMAL(18,9))
       <> CAST(CAST(sum(price * discount) AS DOUBLE) / CAST(sum(price) AS DOUBLE) AS DECIMAL(18,9)))),
 kept AS ({ACCEPTED}),
+kept_rows AS (SELECT * FROM (SELECT run, record_key, count(*) AS n4 FROM four GROUP BY ALL)
+  JOIN (SELECT run, record_key, count(*) AS n5 FROM five GROUP BY ALL) USING (run, record_key)
+  LEFT JOIN (SELECT run, record_key, count(*) AS n6 FROM six GROUP BY ALL) USING (run, record_key)),
 replayed AS (SELECT run, expected_rule_id,
     CASE WHEN run = 'F5' THEN {rule('R2', 'R1')} ELSE {RULE} END AS got FROM kept CROSS JOIN runs),
 findings AS (
@@ -310,7 +314,16 @@ UNION ALL SELECT run, 'stage', 7, 'range', count(*) FILTER (discount NOT BETWEEN
 {_grain('stage', 3, 'grain', 'three', 'record_key')}
 {_grain('stage', 5, 'grain', 'five', 'record_key')}
 {_grain('stage', 6, 'grain', 'six', 'record_key')}
-UNION ALL SELECT runs.run, 'composed', s, 'first_divergence', (SELECT count(*) FROM first
+UNION ALL SELECT run, 'composed', 1, 'source_price', count(*) FILTER (price <> raw_price) FROM two GROUP BY run
+UNION ALL SELECT run, 'composed', 2, 'source_meaning', count(*) FILTER (status_meaning <> CASE code
+  WHEN 'F' THEN 'FILLED' WHEN 'O' THEN 'OPEN' ELSE 'PENDING' END) FROM two GROUP BY run
+UNION ALL SELECT run, 'composed', 3, 'source_key', count(*) FILTER (customer_key <> source_key) FROM two GROUP BY run
+{_grain('composed', 3, 'fanout', 'three', 'record_key')}
+UNION ALL SELECT run, 'composed', 4, 'replay', count(*) FILTER (got <> expected_rule_id) FROM replayed GROUP BY run
+UNION ALL SELECT run, 'composed', 5, 'fanout', count(*) FILTER (n5 > n4) FROM kept_rows GROUP BY run
+UNION ALL SELECT run, 'composed', 6, 'lost', count(*) FILTER (coalesce(n6, 0) < n5) FROM kept_rows GROUP BY run
+UNION ALL SELECT run, 'composed', 7, 'definition', CASE WHEN run = 'F8' THEN (SELECT n FROM own) ELSE 0 END FROM runs
+UNION ALL SELECT runs.run, 'ideal', s, 'first_divergence', (SELECT count(*) FROM first
   WHERE first.run = runs.run AND first_stage = s)
   + CASE WHEN runs.run = 'F8' AND s = 7 THEN (SELECT n FROM own) ELSE 0 END
   FROM runs CROSS JOIN range(1, 8) t(s)),

@@ -93,9 +93,9 @@ def test_fan_out_size(spark, sf):
 
 def test_arms(spark, sf):
     rows = {(r["fault"], r["arm"]): r for r in QUERIES["gv_12"](spark, sf).collect()}
-    assert len(rows) == 24
+    assert len(rows) == 32
     for (fault, arm), r in rows.items():
-        if arm == "composed":
+        if arm == "ideal":
             assert r["detected"] and r["located"], fault
             assert r["false_alarms"] == 0 and r["collateral"] == 0
     assert not rows["F2", "native"]["detected"] and not rows["F2", "stage"]["detected"]
