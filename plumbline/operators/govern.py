@@ -8,9 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.values import row_fingerprint
+from plumbline.functions.values import join_null_safe, row_fingerprint
 from plumbline.operators.classify import Rule, rule_of
-from plumbline.functions.values import join_null_safe
 from plumbline.operators.verify import edge_equal
 from plumbline.sources.shared import checked_keys
 
