@@ -9,12 +9,13 @@ a piece that finds no place is encoded again, so results never depend on them.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
-import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-CACHE = 400_000
+CACHE = 700_000
 LONGEST_CACHED = 48
 
 # The white space of Unicode, and the pre-token pattern of the byte vocabulary.
@@ -25,7 +26,13 @@ PRE_TOKEN = regex.compile(
     r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+"
     rf"| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
-PLAIN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+# Words of Latin letters and marks: each run of letters, and each of marks, is one pre-token. The
+# marks leave out what starts a contraction or a special string.
+LETTER, MARK = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff", r"!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~"
+PLAIN_PART = re.compile(f"[{LETTER}]+|[{MARK}]+")
+PLAIN_WORD = re.compile(f"[{LETTER}{MARK}]+").fullmatch
+# What str.split takes for white space though the vocabulary does not.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 def byte_letters() -> dict[int, str]:
@@ -109,11 +116,19 @@ class WordIds:
         self.words = Words()
 
     def encode_word(self, word: str) -> bytes:
-        if PLAIN_WORD(word):
-            ids = [t.id for t in self.tokenizer.model.tokenize(as_letters(word.lower()))]
-        else:
+        if not PLAIN_WORD(word):
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+        else:
+            parts = PLAIN_PART.findall(word)
+            if len(parts) > 1:
+                return b"".join(map(self.words.__getitem__, parts))
+            ids = [t.id for t in self.tokenizer.model.tokenize(as_letters(word.lower()))]
+        values = array("I", ids)
+        if sys.byteorder == "big":
+            values.byteswap()
+        return values.tobytes()
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, WORD.findall(text)))
+        if any(c in text for c in SEPARATORS):
+            return b"".join(map(self.words.__getitem__, WORD.findall(text)))
+        return b"".join(map(self.words.__getitem__, text.split()))
