@@ -26,7 +26,7 @@ one shingle; an empty table gives an empty result. Extra columns are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,10 +42,15 @@ THRESHOLD = 0.8
 BANDS, ROWS = 14, 4
 SAMPLES = BANDS * ROWS
 DF_BUCKETS = 1 << 18
-# Samples that must agree before a pair of step (4) is verified: 4.6 standard deviations below
-# the mean at the threshold.
+# Step (4) looks at agreeing samples before it verifies a pair: LEAST_AGREE of the samples above
+# and, of FINE further ones, first the number expected at the threshold, so that most of what
+# belongs together is united by few pairs, then that number less 4.6 standard deviations.
 LEAST_AGREE = 31
-BLOCK = 8192
+FINE = 256
+FINE_AGREE = (205, 176)
+# What rounding may take from an exact bound.
+ROUNDING = 1e-9
+BLOCK = 512
 CACHED = 200_000
 
 
@@ -66,7 +71,7 @@ def _gamma_draws() -> np.ndarray:
 class Shingler:
     """Weighted shingles and samples of texts."""
 
-    def __init__(self, idf: np.ndarray | None = None):
+    def __init__(self, idf: np.ndarray | None = None, first: int = 1, samples: int = SAMPLES):
         class Words(dict):
             def __missing__(self, word: str) -> int:
                 value = xxhash.xxh64_intdigest(word)
@@ -80,16 +85,15 @@ class Shingler:
             self.rate = gamma.astype(np.float32)
             self.inverse = (1 / gamma).astype(np.float32)
             self.log = np.log(gamma).astype(np.float32)
-            start = np.arange(1, SAMPLES + 1, dtype=np.uint64)
-            self.seeds = _mixed(start * np.uint64(0x9E3779B97F4A7C15))
+            start = np.arange(first, first + samples, dtype=np.uint64)
+            self.seeds = _mixed(start * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
-    def hashes(self, text: str) -> np.ndarray:
-        words = text.split()
+    def hashes(self, words: Collection[str]) -> np.ndarray:
         return np.fromiter(map(self.words.__getitem__, words), dtype=np.uint64, count=len(words))
 
     def weigh(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingles (ascending) and their weights."""
-        words = self.hashes(text)
+        words = self.hashes(text.split())
         n = len(words)
         if n == 0:
             return np.zeros(0, np.uint64), np.zeros(0)
@@ -105,16 +109,20 @@ class Shingler:
 
     def sample(self, shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Consistent weighted samples: for each, the shingle and level of the least value."""
-        least = np.full(SAMPLES, np.inf, np.float32)
-        out = np.zeros(SAMPLES, np.uint64)
-        columns = np.arange(SAMPLES)
+        count = len(self.seeds)
+        least = np.full(count, np.inf, np.float32)
+        out = np.zeros(count, np.uint64)
+        columns = np.arange(count)
         for at in range(0, len(shingles), BLOCK):
-            some = shingles[at : at + BLOCK]
+            some = _mixed(shingles[at : at + BLOCK])
             log_weight = np.log(weights[at : at + BLOCK]).astype(np.float32)[:, None]
-            draw = _mixed(some[:, None] ^ self.seeds[None, :])
-            bits = draw.view(np.uint16).reshape(len(some), SAMPLES, 4)
-            rate, beta = self.rate[bits[:, :, 0]], bits[:, :, 2] * np.float32(2.0**-16)
-            level = np.floor(log_weight * self.inverse[bits[:, :, 0]] + beta)
+            # Odd multipliers tell the samples apart; the low bits of the product are not used.
+            draw = some[:, None] * self.seeds[None, :]
+            draw ^= draw >> np.uint64(32)
+            draw *= np.uint64(0xD6E8FEB86659FD93)
+            bits = draw.view(np.uint16).reshape(len(some), count, 4)
+            rate, beta = self.rate[bits[:, :, 3]], bits[:, :, 2] * np.float32(2.0**-16)
+            level = np.floor(log_weight * self.inverse[bits[:, :, 3]] + beta)
             value = self.log[bits[:, :, 1]] - rate * (level - beta + np.float32(1))
             best = value.argmin(axis=0)
             lower = value[best, columns] < least
@@ -142,7 +150,7 @@ def inverse_frequencies(docs: DataFrame, text: str) -> np.ndarray:
         shingler, seen, total = Shingler(), np.zeros(DF_BUCKETS, np.int64), 0
         for batch in batches:
             for value in batch["text"]:
-                words = shingler.hashes(value)
+                words = shingler.hashes(set(value.split()))
                 seen[np.unique(words % np.uint64(DF_BUCKETS)).astype(np.int64)] += 1
                 total += 1
         used = np.flatnonzero(seen)
@@ -215,13 +223,47 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
     return pairs.join(right, "b").join(left, "a").mapInPandas(check, "a bigint, b bigint")
 
 
+def unshared(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """``(id, alone)``: the weight of a document's shingles that no other of ``texts`` has."""
+    shared = texts.sparkSession.sparkContext.broadcast(idf)
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler(shared.value)
+        for batch in batches:
+            for doc, text in zip(batch["id"], batch["text"]):
+                shingles, weights = shingler.weigh(text)
+                yield pd.DataFrame({"id": doc, "shingle": shingles.view(np.int64), "w": weights})
+
+    return (
+        texts.mapInPandas(weigh, "id bigint, shingle bigint, w double")
+        .groupBy("shingle")
+        .agg(F.min("id").alias("id"), F.max("id").alias("last"), F.max("w").alias("w"))
+        .where(F.col("id") == F.col("last"))
+        .groupBy("id").agg(F.sum("w").alias("alone"))
+    )
+
+
+def fine_samples(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """``(id, fine)``: FINE further samples per document, a byte each. Bytes may agree by chance,
+    so a pair never seems less alike than its samples are."""
+    shared = texts.sparkSession.sparkContext.broadcast(idf)
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler(shared.value, SAMPLES + 1, FINE)
+        for batch in batches:
+            fine = [shingler.sample(*shingler.weigh(t)).astype(np.uint8).view(np.int8) for t in batch["text"]]
+            yield pd.DataFrame({"id": batch["id"], "fine": fine})
+
+    return texts.mapInPandas(sign, "id bigint, fine array<tinyint>")
+
+
 def agreeing(a: str, b: str) -> F.Column:
     same = F.zip_with(F.col(a), F.col(b), lambda x, y: (x == y).cast("int"))
     return F.aggregate(same, F.lit(0), lambda s, v: s + v)
 
 
-def links(signed: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """All verified links that steps (3) and (4) need to join what is similar."""
+def linked(signed: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """The components ``(node, component)`` of all links that steps (3) and (4) find."""
     bands = signed.select("id", F.posexplode("bands").alias("band", "key"))
     bucket = ["band", "key"]
     leaders = stored(
@@ -241,38 +283,78 @@ def links(signed: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float
     near = stored(texts.join(wanted, "id", "left_semi"), "texts")
     first = stored(verified(stars, near, idf, threshold), "links")
 
-    known = components(first)
-    placed = stored(
-        members.join(known.withColumnRenamed("node", "id"), "id", "left").select(
-            *bucket, "id", F.coalesce("component", "id").alias("component")
-        ),
-        "placed",
-    )
-    apart = (
-        placed.groupBy(*bucket)
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where(F.col("low") != F.col("high"))
-        .select(*bucket)
-    )
-    open_rows = placed.join(apart, bucket, "left_semi").join(
-        signed.select("id", "weight", "samples"), "id"
+    # A pair's direction is free, so what was tried is kept both ways.
+    tried = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    known, profiles = components(first), None
+    for agree in FINE_AGREE:
+        placed = stored(
+            members.join(known.withColumnRenamed("node", "id"), "id", "left").select(
+                *bucket, "id", F.coalesce("component", "id").alias("component")
+            ),
+            "placed",
+        )
+        apart = (
+            placed.groupBy(*bucket)
+            .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+            .where(F.col("low") != F.col("high"))
+            .select(*bucket)
+        )
+        still = stored(placed.join(apart, bucket, "left_semi"), "apart")
+        if profiles is None:
+            open_ids = still.select("id").distinct()
+            open_texts = stored(near.join(open_ids, "id", "left_semi"), "open_texts")
+            # A shared weight is at most what a document shares with anything; where that is too
+            # little for the threshold, the document has no partner and needs no samples.
+            alone = F.coalesce("alone", F.lit(0.0))
+            able = stored(
+                signed.select("id", "weight", "samples").join(open_ids, "id", "left_semi")
+                .join(unshared(open_texts, idf), "id", "left")
+                .withColumn("common", F.col("weight") - alone).drop("alone")
+                .where(F.col("common") >= (threshold - ROUNDING) * F.col("weight")),
+                "able",
+            )
+            fine = fine_samples(open_texts.join(able.select("id"), "id", "left_semi"), idf)
+            profiles = stored(able.join(fine, "id"), "profiles")
+        pairs = stored(crossing(still, profiles, agree, threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.union(pairs).union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        known = merged(known, stored(verified(pairs, near, idf, threshold), "links"))
+    return known
+
+
+def merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``known`` after further ``links``. Only the components that links join are
+    looked at again, each as one node."""
+    of_a = known.select(F.col("node").alias("a"), F.col("component").alias("a_in"))
+    of_b = known.select(F.col("node").alias("b"), F.col("component").alias("b_in"))
+    ends = links.join(of_a, "a", "left").join(of_b, "b", "left").select(
+        F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b")
     )
-    open_rows = stored(open_rows, "open")
-    a, b = open_rows.alias("a"), open_rows.alias("b")
-    ratio = F.least("a.weight", "b.weight") / F.greatest("a.weight", "b.weight")
-    crossing = (
+    joined = components(ends)
+    moved = known.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    told = moved.select("node", F.coalesce("to", "component").alias("component"))
+    fresh = joined.join(known.select("node"), "node", "left_anti")
+    return stored(told.union(fresh.select("node", "component")), "components")
+
+
+def crossing(still: DataFrame, profiles: DataFrame, agree: int, threshold: float) -> DataFrame:
+    """Pairs of one bucket and two components that may reach the threshold and agree in at least
+    ``agree`` of the fine samples."""
+    least = threshold - ROUNDING
+    rows = stored(still.join(profiles, "id"), "open")
+    a, b = rows.alias("a"), rows.alias("b")
+    most = F.least("a.common", "b.common")
+    ratio = most / (F.col("a.weight") + F.col("b.weight") - most)
+    return (
         a.join(
             b,
             (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key"))
             & (F.col("a.component") < F.col("b.component"))
-            & (ratio >= threshold) & (agreeing("a.samples", "b.samples") >= LEAST_AGREE),
+            & (ratio >= least) & (agreeing("a.samples", "b.samples") >= LEAST_AGREE)
+            & (agreeing("a.fine", "b.fine") >= agree),
         )
         .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
         .distinct()
     )
-    tried = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    second = verified(crossing.join(tried, ["a", "b"], "left_anti"), near, idf, threshold)
-    return first.union(second)
 
 
 def near_duplicates(
@@ -295,7 +377,7 @@ def near_duplicates(
         "signed",
     )
     texts = rows.select("id", "text", *same).join(signed.select("id", *same), ["id", *same], "left_semi")
-    found = components(links(signed, texts.select("id", "text"), idf, threshold))
+    found = linked(signed, texts.select("id", "text"), idf, threshold)
     judged = (
         signed_rows.select("id", *same).join(classes, same)
         .join(found.withColumnRenamed("node", "first"), "first", "left")
