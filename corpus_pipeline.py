@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import read, stored
 from plumbline.llm.line_dedup import dedup_lines
-from plumbline.llm.minhash import near_duplicates
+from plumbline.llm.minhash import near_duplicates, text_key
 from plumbline.llm.mixing import mixed
 from plumbline.llm.packing import pack
 from plumbline.llm.quality import classify_quality, train
@@ -40,15 +40,23 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, and one row of each id."""
-    judged = stored(near_duplicates(docs.select("doc_id", "text")), "judged")
-    dropped = judged.where(~F.col("kept")).select("doc_id").distinct()
-    out = docs.join(checked_keys(dropped), "doc_id", "left_anti").select(*docs.columns)
-    known = judged.where(F.col("doc_id").isNotNull())
-    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return out
-    named = out.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.union(out.where(F.col("doc_id").isNull()))
+    """One document of each group of near copies, and one row of each id and text. Texts that
+    share an id are judged apart."""
+    name = ["doc_id", "_pl_h1", "_pl_h2"]
+    judged = stored(
+        near_duplicates(docs.select("doc_id", "text")).select(
+            "doc_id", F.col("text_h1").alias("_pl_h1"), F.col("text_h2").alias("_pl_h2"), "kept"
+        ),
+        "judged",
+    )
+    dropped = judged.where(~F.col("kept")).select(*name).distinct()
+    keyed = docs.withColumns(dict(zip(name[1:], text_key("text"))))
+    out = keyed.join(checked_keys(dropped), name, "left_anti")
+    known = judged.where("kept AND doc_id IS NOT NULL")
+    if not known.groupBy(*name).count().where("count > 1").isEmpty():
+        named = out.where(F.col("doc_id").isNotNull()).dropDuplicates(name)
+        out = named.unionByName(out.where(F.col("doc_id").isNull()))
+    return out.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,10 +5,11 @@ its inverse document frequency, the mean over its words of ``1 + ln((1 + N) / (1
 ln(1 + N)`` (from 1 to 2). Frequencies cover all documents and are kept per word-hash bucket, so
 the broadcast table has ``DF_BUCKETS`` numbers whatever the corpus. Two documents are linked when
 the weighted Jaccard similarity of their shingles is at least the threshold; groups are the
-connected components, named by their smallest id.
+connected components. A document is named by its id and its text's 128-bit hash, as one id may
+stand on several texts; a group has the name of its smallest document.
 
-Steps. (1) Equal texts fall into one class by a 128-bit hash; only one text of a class goes on.
-(2) Improved consistent weighted sampling gives ``BANDS * ROWS`` samples, each equal for two
+Steps. (1) Equal texts fall into one class by the hash; only one text of a class goes on, and
+classes are numbered in the order of their smallest names, so a node is one number. (2) Improved consistent weighted sampling gives ``BANDS * ROWS`` samples, each equal for two
 documents with their similarity as probability; bands of ``ROWS`` samples are bucket keys. (3) In
 each bucket every member is verified, on full texts, against the bucket's smallest id only; links
 give components. (4) Members of a bucket that lie in different components are compared with each
@@ -19,8 +20,8 @@ probability ``1 - (1 - 0.8**4)**14 = 0.9994``; the sample test of (4) misses it
 
 Only ids, hashes and samples are shuffled; texts move only for documents that share a bucket.
 
-Defined results: rows of one id and one text are treated alike; a null text or null id stands
-alone and is kept; texts without words are equal only to equal texts; fewer than five words make
+Defined results: rows of one id and one text are treated alike, and rows of one id with
+different texts are different documents; a null text or null id stands alone and is kept; texts without words are equal only to equal texts; fewer than five words make
 one shingle; an empty table gives an empty result. Extra columns are dropped.
 """
 
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import components, stored
+from plumbline.operators.history import number_rows
 from plumbline.sources.shared import checked_keys
 
 SHINGLE = 5
@@ -357,34 +359,50 @@ def crossing(still: DataFrame, profiles: DataFrame, agree: int, threshold: float
     )
 
 
+def text_key(text: str) -> list[F.Column]:
+    """``h1, h2``: 128 bits that name a text."""
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+
+
 def near_duplicates(
     docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, group_id, kept``. Of each group the smallest id is
-    kept."""
+    """One row per row of ``docs``: ``doc_id, group_id, kept``, and the hashes that complete the
+    names of its text (``text_h1, text_h2``) and of its group (``group_h1, group_h2``). Of each
+    group the smallest document is kept."""
     given = docs.select(
-        F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"),
-        F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"),
+        F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"), *text_key(text)
     )
     rows = given.where(F.col("id").isNotNull() & F.col("text").isNotNull())
     idf = inverse_frequencies(rows, "text")
     signed_rows = stored(signatures(rows, idf), "signatures")
     same = ["h1", "h2"]
-    classes = stored(signed_rows.groupBy(*same).agg(F.min("id").alias("first")), "classes")
-    one_each = (F.col("id") == F.col("first"))
+    firsts = signed_rows.groupBy(*same).agg(F.min("id").alias("first"))
+    classes = stored(number_rows(firsts, ["first", *same], "node"), "classes")
     signed = stored(
-        signed_rows.join(classes, same).where(one_each).drop("first").dropDuplicates(["id", *same]),
+        signed_rows.join(classes, same).where(F.col("id") == F.col("first"))
+        .select(F.col("node").alias("id"), "weight", "samples", "bands").dropDuplicates(["id"]),
         "signed",
     )
-    texts = rows.select("id", "text", *same).join(signed.select("id", *same), ["id", *same], "left_semi")
-    found = linked(signed, texts.select("id", "text"), idf, threshold)
+    texts = rows.withColumnRenamed("id", "first").join(classes, ["first", *same]).select(
+        F.col("node").alias("id"), "text"
+    )
+    found = linked(signed, texts, idf, threshold)
+    names = classes.select(
+        F.col("node").alias("component"), F.col("first").alias("group_id"),
+        F.col("h1").alias("group_h1"), F.col("h2").alias("group_h2"),
+    )
+    lead = (F.col("id") == F.col("first")) & F.coalesce(F.col("node") == F.col("component"), F.lit(True))
     judged = (
         signed_rows.select("id", *same).join(classes, same)
-        .join(found.withColumnRenamed("node", "first"), "first", "left")
-        .select("id", F.coalesce("component", "first").alias("group_id"))
+        .join(found.join(names, "component"), "node", "left")
+        .select(
+            F.col("id").alias("doc_id"), F.coalesce("group_id", "first").alias("group_id"), lead.alias("kept"),
+            F.col("h1").alias("text_h1"), F.col("h2").alias("text_h2"),
+            F.coalesce("group_h1", "h1").alias("group_h1"), F.coalesce("group_h2", "h2").alias("group_h2"),
+        )
     )
     alone = given.where(F.col("id").isNull() | F.col("text").isNull()).select(
-        "id", F.col("id").alias("group_id")
+        "id", "id", F.lit(True), *same, *same
     )
-    kept = F.coalesce(F.col("id") == F.col("group_id"), F.lit(True))
-    return judged.union(alone).select(F.col("id").alias("doc_id"), "group_id", kept.alias("kept"))
+    return judged.union(alone)

@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from plumbline.llm.line_dedup import dedup_lines
-from plumbline.llm.minhash import near_duplicates
+from plumbline.llm.minhash import near_duplicates, text_key
 from plumbline.llm.mixing import mix, mixed
 from plumbline.llm.packing import best_pattern, pack, plan
 from plumbline.llm.quality import classify_quality, fit, train
@@ -128,6 +129,27 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_duplicates(table(spark)).count() == 0
 
 
+def test_near_duplicates_of_texts_that_share_an_id(spark):
+    one, other, far, last = (" ".join(f"{c}{i}" for i in range(90)) for c in "abcd")
+    near = one.replace("a3 ", "new ")
+    docs = [(1, one), (2, near), (2, far), (3, other), (3, other), (3, last), (3, near), (4, far), (3, None)]
+    # Texts of one id are apart unless they are alike; near copies under one id are one group.
+    want = {
+        (1, one): (one, 1, True), (2, near): (one, 1, False), (3, near): (one, 1, False), (2, far): (far, 2, True),
+        (4, far): (far, 2, False), (3, other): (other, 3, True), (3, last): (last, 3, True), (3, None): (None, 3, True),
+    }
+    given = table(spark, *((d, t, "s") for d, t in docs))
+    text_of = {(r.h1, r.h2): r.text for r in given.select("text", *text_key("text")).collect()}
+    got = near_duplicates(given).collect()
+    named = [((r.doc_id, text_of[r.text_h1, r.text_h2]), (text_of[r.group_h1, r.group_h2], r.group_id, r.kept)) for r in got]
+    assert len(named) == len(docs) and dict(named) == want and set(named) == set(want.items())
+    out = corpus_pipeline.drop_near_duplicates(spark, given, "")
+    assert out.columns == given.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted((n for n, (_, _, kept) in want.items() if kept), key=repr)
+    hot = table(spark, *((7, f"only {i} of these words {i * i}", "s") for i in range(300)), (None, one, "s"), (None, one, "s"))
+    assert corpus_pipeline.drop_near_duplicates(spark, hot, "").count() == 302
+
+
 def check_packing(spark, docs, capacity, texts):
     library = Tokenizer.from_file(PACK_VOCABULARY)
     got = pack(docs, PACK_VOCABULARY, capacity, keep_ids=True).toPandas()
