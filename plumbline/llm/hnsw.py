@@ -175,6 +175,11 @@ class Graph:
             opened[active] = all_open[row, keep]
         return nodes, score
 
+    def best(self, q: np.ndarray, beam: int, k: int) -> np.ndarray:
+        """The ``k`` highest cosines that a beam finds per row of ``q``, highest first."""
+        score = self._beam(q, self.layers[0], self._entry(q), max(beam, k))[1]
+        return -np.sort(-score, axis=1)[:, :k]
+
     def within(self, q: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs ``(row of q, position)`` of the vectors found at a cosine of ``threshold`` or
         more; positions are in the order the vectors were given. The beam's finds are spread

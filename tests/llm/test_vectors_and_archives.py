@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.ann import Tree, nearest
 from plumbline.llm.common import components
-from plumbline.llm.embedding_dedup import dedup_vectors
+from plumbline.llm.embedding_dedup import dedup_vectors, search
 from plumbline.llm.hnsw import Graph
 from plumbline.llm.vectors import unit
 from plumbline.llm.warc import archive
@@ -67,6 +67,43 @@ def test_embedding_dedup_equals_brute_force(spark, shard_rows):
     assert dedup_vectors(table(spark, [])).count() == 0
 
 
+class Narrow(Graph):
+    """Finds no link of the last two vectors, and with ``short`` no near row by a small beam."""
+
+    short = False
+
+    def within(self, q, threshold, beam):
+        self.beams.append(beam)
+        row, node = super().within(q, threshold, beam)
+        seen = node < len(self.order) - 2
+        return row[seen], node[seen]
+
+    def best(self, q, beam, k):
+        return super().best(q, beam, k) - (self.short and beam < 256)
+
+
+def test_audit_sees_what_small_groups_miss():
+    rng = np.random.default_rng(4)
+    pair = rng.normal(size=16)
+    vectors = unit(np.concatenate([rng.normal(size=16) + 0.01 * rng.normal(size=(60, 16)), pair + 0.01 * rng.normal(size=(2, 16))]))
+    ids = np.arange(len(vectors))
+    graph = Narrow(ids, vectors)
+    graph.beams = []
+    links = search(graph, ids, np.ones(len(ids), int), ids, vectors, 0.98, 64)
+    links = links[links.b.isna()].set_index("a").n
+    want = (vectors @ vectors.T >= 0.98).sum(axis=1) - 1
+    assert want[-1] == 1 and links.reindex(ids, fill_value=0).tolist() == want.tolist()
+
+
+def test_audit_measures_queries_without_links():
+    vectors = unit(np.random.default_rng(6).normal(size=(300, 16)))
+    ids = np.arange(len(vectors))
+    graph = Narrow(ids, vectors)
+    graph.beams, graph.short = [], True
+    assert search(graph, ids, np.ones(300, int), ids + 1000, -vectors, 0.98, 64).empty
+    assert max(graph.beams) == 256
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100)] + [(500, 500 + i) for i in range(1, 50)] + [(900, 901), (901, 900), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
