@@ -108,7 +108,7 @@ def raw_segments(spark: SparkSession, path: str) -> DataFrame:
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
     """All segments with byte offsets and parsed headers.
-    ``digest`` is that of the payload where the segment is the whole record, else ``text`` is the
+    ``digest`` and ``octets`` are those of the payload where the segment is the whole record, else ``text`` is the
     segment itself."""
     at = F.instr("value", END)
     cut = raw_segments(spark, path).withColumn("header", F.when(at > 0, F.expr("left(value, instr(value, '\\r\\n\\r\\n') - 1)")))
@@ -128,6 +128,7 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
                 "told": F.replace(field("WARC-Payload-Digest"), F.lit("sha1:"), F.lit("")),
                 "length": field("WARC-Payload-Length").try_cast("bigint"),
                 "digest": F.when(F.col("whole"), base32_sha1(payload(body))),
+                "octets": F.when(F.col("whole"), F.octet_length(payload(body)).cast("bigint")),
                 "text": F.when(~F.col("whole"), F.col("value")),
             }
         )
@@ -173,14 +174,15 @@ def reachable(candidates: DataFrame) -> DataFrame:
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: ``page_id, payload_bytes, payload_digest, record_type, refers_to``,
-    and ``intact``: whether a response's payload has the digest and length its header tells."""
+    and ``intact``: whether a response's payload has the digest and length its header tells. Bytes
+    and digest of a response are measured on what was read; a revisit's are its header's."""
     found = segments(spark, path)
     candidates = found.where(F.col("content").isNotNull() & F.col("type").isNotNull())
     reached = reachable(candidates)
     records = candidates.join(reached, ["file", "at"], "left_semi")
     whole = records.where("whole").withColumn("real", F.col("digest"))
     # Records whose payload holds the magic: their segments are those up to the next record.
-    broken = records.where(~F.col("whole")).drop("text", "digest")
+    broken = records.where(~F.col("whole")).drop("text", "digest", "octets")
     upto = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = reached.withColumn("start", F.col("at"))
     owned = (
@@ -201,17 +203,23 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         .withColumn("value", F.array_join(F.col("parts.text"), MAGIC))
         .withColumn("block", F.expr("substring(value, instr(value, '\\r\\n\\r\\n') + 4)"))
         .withColumn("block", F.expr("left(block, length(block) - 4)"))
-        .select("file", F.col("start").alias("at"), base32_sha1(payload(F.col("block"))).alias("real"))
+        .select(
+            "file", F.col("start").alias("at"), base32_sha1(payload(F.col("block"))).alias("real"),
+            F.octet_length(payload(F.col("block"))).cast("bigint").alias("octets"),
+        )
     )
     mended = broken.join(rebuilt, ["file", "at"])
-    columns = ["id", "length", "told", "type", "refers", "real"]
+    columns = ["id", "length", "told", "type", "refers", "real", "octets"]
     everything = whole.select(*columns).union(mended.select(*columns))
     number = lambda c: F.when(F.col(c) != "null", F.col(c)).try_cast("bigint")
+    response = F.col("type") == "response"
+    as_told = (F.col("real") == F.col("told")) & (F.col("octets") == F.col("length"))
     return everything.select(
-        number("id").alias("page_id"), F.col("length").alias("payload_bytes"),
-        F.when(F.col("type") == "response", F.col("real")).otherwise(F.col("told")).alias("payload_digest"),
+        number("id").alias("page_id"),
+        F.when(response, F.col("octets")).otherwise(F.col("length")).alias("payload_bytes"),
+        F.when(response, F.col("real")).otherwise(F.col("told")).alias("payload_digest"),
         F.col("type").alias("record_type"), number("refers").alias("refers_to"),
-        ((F.col("type") != "response") | (F.col("real") == F.col("told"))).alias("intact"),
+        (~response | F.coalesce(as_told, F.lit(False))).alias("intact"),
     )
 
 

@@ -9,7 +9,7 @@ from plumbline.llm.common import components
 from plumbline.llm.embedding_dedup import dedup_vectors, search
 from plumbline.llm.hnsw import Graph
 from plumbline.llm.vectors import unit
-from plumbline.llm.warc import archive
+from plumbline.llm.warc import archive, read_archive, write_archive
 from tests.llm import brute
 
 SCHEMA = "vec_id long, embedding array<float>, label int, shard string, id string, dim string"
@@ -183,5 +183,19 @@ def test_archive_round_trip(spark, per_file, split, least):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+def test_payloads_are_measured(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "a", "seven é"), (2, "b", "x WARC/1.0\r\n y"), (3, "c", "as told")], "page_id long, url string, html string")
+    write_archive(pages.coalesce(1), str(tmp_path / "warc"))
+    (path,) = (tmp_path / "warc").glob("part-*")
+    data = path.read_bytes()
+    for told, false in ((b"Payload-Length: 8", b"Payload-Length: 9"), (b"Payload-Length: 14", b"Payload-Length: 15")):
+        assert data.count(told) == 1
+        data = data.replace(told, false)
+    (tmp_path / "damaged").mkdir()
+    (tmp_path / "damaged" / "part-0").write_bytes(data)
+    got = {r.page_id: (r.payload_bytes, r.intact) for r in read_archive(spark, str(tmp_path / "damaged")).collect()}
+    assert got == {1: (8, False), 2: (14, False), 3: (7, True)}
+
+
 def test_empty_archive(spark):
     assert archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
