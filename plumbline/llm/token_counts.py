@@ -1,8 +1,9 @@
-"""Token counts by a two-tier lookup on the map side.
+"""Token counts by lookups on the map side.
 
-The first tier is a compact hash table of frequent pre-token lengths, broadcast once: the
-vocabulary's own entries, at most as many as the vocabulary has, whatever the corpus. What
-misses it is encoded once and kept in the worker's caches. Texts stay in their tasks: there is
+A worker's cache holds the counts of whole white-space pieces. What misses it is split into
+pre-tokens, looked up in a compact hash table, broadcast once: the vocabulary's own entries, at
+most as many as the vocabulary has, whatever the corpus. What misses that as well is encoded
+once and kept in a second cache. Texts stay in their tasks: there is
 no shuffle, of pre-tokens or of anything else.
 
 Defined results: a null text counts as an empty one, with 0 bytes and 0 tokens; a text that
