@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.ann import nearest
+from plumbline.llm.bpe import DECODED, IDS, decode, encode
 from plumbline.llm.common import read
 from plumbline.llm.embedding_dedup import dedup_vectors
 from plumbline.llm.line_dedup import MIN_SITES, dedup_lines
@@ -14,12 +15,16 @@ from plumbline.llm.mixing import MOST_REPEATS, WEIGHTS, mix
 from plumbline.llm.minhash import near_duplicates
 from plumbline.llm.packing import pack
 from plumbline.llm.quality import classify_quality, held_out, train
+from plumbline.llm.resampling import BUCKETS, LEAST_WORDS, PERCENT, SEED, resample
 from plumbline.llm.sharding import shard_rows
+from plumbline.llm.span_crc import POLYNOMIAL
 from plumbline.llm.token_counts import count_tokens
 from plumbline.llm.warc import BASE32_DIGITS, archive
+from plumbline.llm.whitening import COUNT, DEVIATION, ERROR, EXPLAINED, WHITENED, whiten
 
 COUNT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 PACK_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,6 +170,85 @@ SELECT doc_id, size, source_size, target,
 FROM plan
 """
 
+
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their weight towards the benchmark texts, and a tenth of them drawn."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample(docs, read(spark, sf_dir, "benchmark").select("text")).select(
+        "doc_id", F.col("_pl_features").alias("n_features"), F.col("_pl_weight").alias("weight"),
+        F.col("_pl_score").alias("score"), F.col("_pl_rank").alias("rank"),
+    )
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE step AS (
+  SELECT b, b AS r, 0 AS k FROM range(256) t(b)
+  UNION ALL SELECT b, xor(r >> 1, CASE WHEN r & 1 = 1 THEN {POLYNOMIAL} ELSE 0 END), k + 1 FROM step WHERE k < 8
+), tables AS (
+  SELECT list(r ORDER BY b) AS t FROM step WHERE k = 8
+), word AS (
+  SELECT 0 AS side, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+  UNION ALL
+  SELECT 1, NULL, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark
+), spelt AS (
+  SELECT w, hex(encode(w)) AS hex FROM (SELECT DISTINCT w FROM word)
+), hashed AS (
+  SELECT w, xor(list_reduce(list_transform(range(1, length(hex) // 2 + 1), lambda i:
+      ('0x' || substr(hex, 2 * i - 1, 2))::BIGINT), lambda acc, x: xor(acc >> 8, t[xor(acc & 255, x) + 1]),
+      4294967295::BIGINT), 4294967295::BIGINT) % {BUCKETS} AS bucket
+  FROM spelt, tables
+), counted AS (
+  SELECT side, doc_id, bucket, count(*) AS n FROM word JOIN hashed USING (w) GROUP BY ALL
+), buckets AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 1), 0)::DOUBLE AS t
+  FROM counted GROUP BY bucket
+), totals AS (
+  SELECT sum(s) AS all_s, sum(t) AS all_t FROM buckets
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * (all_s + {BUCKETS}) / ((s + 1) * (all_t + {BUCKETS}))))::BIGINT AS gain
+  FROM buckets, totals
+), weighed AS (
+  SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS total
+  FROM counted JOIN gains USING (bucket) WHERE side = 0 GROUP BY doc_id
+), scored AS (
+  SELECT d.doc_id, coalesce(n_features, 0) AS n_features,
+    coalesce(total // n_features - CASE WHEN total < 0 AND total % n_features <> 0 THEN 1 ELSE 0 END, 0) AS weight,
+    ('0x' || substr(sha256('{SEED}:' || d.doc_id), 1, 8))::BIGINT AS h
+  FROM documents d LEFT JOIN weighed USING (doc_id)
+), noisy AS (
+  SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM scored
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n
+  FROM noisy WHERE n_features >= {LEAST_WORDS}
+)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score,
+  CASE WHEN place <= {PERCENT} * n // 100 THEN place END AS rank
+FROM noisy LEFT JOIN ranked USING (doc_id)
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole vectors on their eight leading components, at unit variance."""
+    rows = whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    each = F.posexplode(F.arrays_zip(F.col(WHITENED).alias("w"), F.col(EXPLAINED).alias("e"))).alias("at", "one")
+    return rows.select("vec_id", COUNT, DEVIATION, ERROR, each).select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.col(COUNT).alias("n"), F.col(DEVIATION).alias("deviation"),
+        F.col("one.w").alias("whitened"), F.col("one.e").alias("explained"), F.col(ERROR).alias("identity_error"),
+    )
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole texts, encoded and decoded again."""
+    tokens = decode(encode(read(spark, sf_dir, "documents").select("doc_id", "text"), RANKS).drop("text"), RANKS)
+    return tokens.select(
+        "doc_id", F.size(IDS).cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col(IDS).cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(DECODED, 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_counts": op2_token_counts,
@@ -176,5 +260,8 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_ann": op9_ann,
     "op10_mixing": op10_mixing,
+    "op11_resampling": op11_resampling,
+    "op12_whitening": op12_whitening,
+    "op13_byte_bpe": op13_byte_bpe,
 }
-ORACLE = {"op1_line_dedup": OP1_SQL, "op8_warc": OP8_SQL, "op10_mixing": OP10_SQL}
+ORACLE = {"op1_line_dedup": OP1_SQL, "op8_warc": OP8_SQL, "op10_mixing": OP10_SQL, "op11_resampling": OP11_SQL}
