@@ -14,13 +14,13 @@ from tests.llm import brute
 @pytest.fixture(scope="module")
 def texts(sf):
     con = duckdb.connect()
-    for name in "documents embeddings pages labels".split():
+    for name in "documents embeddings pages labels benchmark".split():
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{TESTDATA}/sf0.001/{name}.parquet')")
     return con
 
 
 def test_all_are_registered():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry_module.queries())
     assert set(ORACLE) <= set(entry_module.oracle_sql())
 
