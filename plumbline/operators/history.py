@@ -82,10 +82,10 @@ def latest(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame
 def collapse_ties(
     log: DataFrame, key: Sequence[str], ts: str, tie: str, attrs: Sequence[str]
 ) -> DataFrame:
-    """One state per key and instant: the one with the highest ``tie``."""
+    """One state per key and instant: the one with the highest ``tie``, a NULL tie being lowest."""
     return (
         log.groupBy(*key, ts)
-        .agg(F.max_by(F.struct(*attrs), tie).alias("_state"))
+        .agg(F.max_by(F.struct(*attrs), F.struct(tie)).alias("_state"))
         .select(*key, ts, "_state.*")
     )
 

@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 from plumbline.functions.timeline import Timeline
 from plumbline.functions.values import open_end
 from plumbline.operators import history
+from plumbline.operators.history_store import HistoryStore
 from plumbline.operators.reference import UNKNOWN
 from plumbline.plans import inputs
 from plumbline.plans.pipeline import SPAN_DAYS, customer_history, keyed_lines, last_ship
 from plumbline.plans.sql import HISTORY_OUT, KEYED, OPEN_END
 from plumbline.plans.sql import history as history_sql
-from plumbline.sources.shared import cut_lineage
+from plumbline.sources.shared import fresh_path
 from plumbline.sources.tables import table
 
 QUERIES, ORACLE = {}, {}
 
 LOG = dict(key=["o_custkey"], ts="o_orderdate", tie="o_orderkey", attrs=["o_orderpriority"])
+# Buckets of the stored history: the given tables are small.
+STORE_BUCKETS = 8
 
 
 def _log(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,11 +95,22 @@ def ih_05(spark: SparkSession, sf: str) -> DataFrame:
 ORACLE["ih_05"] = FULL_HISTORY
 
 
+LOG_SCHEMA = "o_custkey bigint, o_orderkey bigint, o_orderdate timestamp_ntz, o_orderpriority string"
+
+
+def _store(spark: SparkSession, first: DataFrame, *later: DataFrame) -> DataFrame:
+    """The history after several batches, kept in a store of its own."""
+    store = HistoryStore(
+        spark, fresh_path(spark, "history"), ("o_custkey",), "o_orderdate", "o_orderkey",
+        ("o_orderpriority",), LOG_SCHEMA, STORE_BUCKETS,
+    ).build(first, "batch-0")
+    for at, batch in enumerate(later, 1):
+        store.apply(batch, f"batch-{at}")
+    return store.history()
+
+
 def ih_06(spark: SparkSession, sf: str) -> DataFrame:
-    first, second, third = _batches(spark, sf)
-    hist = cut_lineage(history.build_history(first, **LOG))
-    hist = cut_lineage(history.apply_history(hist, first, second, **LOG))
-    return _out(history.apply_history(hist, first.unionByName(second), third, **LOG))
+    return _out(_store(spark, *_batches(spark, sf)))
 
 
 ORACLE["ih_06"] = FULL_HISTORY
@@ -131,9 +145,7 @@ closed AS (SELECT h.o_custkey, valid_from, least(valid_to, coalesce(end_ts, vali
 
 def ih_09(spark: SparkSession, sf: str) -> DataFrame:
     first, late, third = _batches(spark, sf)
-    known = first.unionByName(third)
-    hist = cut_lineage(history.build_history(known, **LOG))
-    return _out(history.backdate(hist, known, late, **LOG))
+    return _out(_store(spark, first.unionByName(third), late))
 
 
 ORACLE["ih_09"] = FULL_HISTORY
