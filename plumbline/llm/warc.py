@@ -25,6 +25,8 @@ empty archive and an empty result. Extra columns are dropped.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,13 +45,29 @@ HEX_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 BASE32_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is named. Under a condition
+    Spark shares no subexpression, but a lambda's argument is a value."""
+    return F.transform(F.array(value), use)[0]
+
+
 def base32_sha1(text: Column) -> Column:
     """The SHA-1 of the text's UTF-8 bytes: five hexadecimal digits are four of base 32."""
-    digest = F.sha1(text.cast("binary"))
-    parts = [
-        F.lpad(F.conv(F.substring(digest, at, 5), 16, 32), 4, "0") for at in range(1, 41, 5)
-    ]
-    return F.translate(F.concat(*parts), HEX_DIGITS, BASE32_DIGITS)
+    def spelt(digest: Column) -> Column:
+        parts = [
+            F.lpad(F.conv(F.substring(digest, at, 5), 16, 32), 4, "0") for at in range(1, 41, 5)
+        ]
+        return F.translate(F.concat(*parts), HEX_DIGITS, BASE32_DIGITS)
+
+    return bound(F.sha1(text.cast("binary")), spelt)
+
+
+def measured(block: Column) -> Column:
+    """Digest and octets of a block's payload."""
+    return bound(
+        payload(block),
+        lambda own: F.struct(base32_sha1(own).alias("digest"), F.octet_length(own).cast("bigint").alias("octets")),
+    )
 
 
 def write_archive(pages: DataFrame, path: str, least: int = 0, records_per_file: int = RECORDS_PER_FILE) -> None:
@@ -127,12 +145,11 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
                 "refers": F.regexp_extract(field("WARC-Refers-To"), "<urn:page:(.*)>", 1),
                 "told": F.replace(field("WARC-Payload-Digest"), F.lit("sha1:"), F.lit("")),
                 "length": field("WARC-Payload-Length").try_cast("bigint"),
-                "digest": F.when(F.col("whole"), base32_sha1(payload(body))),
-                "octets": F.when(F.col("whole"), F.octet_length(payload(body)).cast("bigint")),
+                "own": F.when(F.col("whole"), measured(body)),
                 "text": F.when(~F.col("whole"), F.col("value")),
             }
         )
-        .drop("value", "header")
+        .drop("value", "header").select("*", "own.*").drop("own")
     )
     kept = stored(parsed, "segments")
     step = F.col("size") + len(MAGIC)
@@ -151,7 +168,7 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
 
 def payload(block: Column) -> Column:
     """A block without its HTTP header."""
-    return F.substring(block, F.instr(block, END) + F.lit(len(END)), F.length(block))
+    return bound(block, lambda b: F.substring(b, F.instr(b, END) + F.lit(len(END)), F.length(b)))
 
 
 def reachable(candidates: DataFrame) -> DataFrame:
@@ -203,10 +220,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         .withColumn("value", F.array_join(F.col("parts.text"), MAGIC))
         .withColumn("block", F.expr("substring(value, instr(value, '\\r\\n\\r\\n') + 4)"))
         .withColumn("block", F.expr("left(block, length(block) - 4)"))
-        .select(
-            "file", F.col("start").alias("at"), base32_sha1(payload(F.col("block"))).alias("real"),
-            F.octet_length(payload(F.col("block"))).cast("bigint").alias("octets"),
-        )
+        .select("file", F.col("start").alias("at"), measured(F.col("block")).alias("own"))
+        .select("file", "at", F.col("own.digest").alias("real"), "own.octets")
     )
     mended = broken.join(rebuilt, ["file", "at"])
     columns = ["id", "length", "told", "type", "refers", "real", "octets"]
