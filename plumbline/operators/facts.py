@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.timeline import HOT_ROWS, Timeline
 from plumbline.functions.values import join_null_safe
-from plumbline.operators.history import SPAN_DAYS, asof, build_history, latest, number_rows
+from plumbline.operators.history import build_history, latest, number_rows
+from plumbline.operators.intervals import asof
 from plumbline.operators.warehouse import UNKNOWN_SK, resolve_fk
 
 
@@ -37,14 +38,12 @@ def fact_line(
     key: Sequence[str],
     ts: str,
     dims: Mapping[str, tuple[DataFrame, str, str]],
-    span_days: int | None = SPAN_DAYS,
-    horizon: Column | None = None,
     counted: DataFrame | None = None,
 ) -> DataFrame:
     """DF-03. Transaction fact: the dimension version valid at ``ts`` and the surrogate key of
     every other dimension (``key column -> (dim, dim key, sk name)``); no row is lost."""
     versions = version_dim.withColumnRenamed("sk", "version_sk")
-    out = asof(lines, versions, key, ts, span_days, horizon, counted=counted)
+    out = asof(lines, versions, key, ts, counted=counted)
     out = out.withColumn("version_sk", F.coalesce("version_sk", F.lit(UNKNOWN_SK)))
     for column, (dim, dim_key, sk) in dims.items():
         out = resolve_fk(out, dim, column, dim_key, sk)

@@ -175,98 +175,6 @@ def backdate(
     return apply_history(hist, log, late, key, ts, tie, attrs, hot_rows)
 
 
-# A key with more versions than this leaves the range join for the timeline.
-HOT_VERSIONS = 10_000
-# Days that share a join key, unless the caller knows better.
-SPAN_DAYS = 365
-
-
-def asof(
-    fact: DataFrame,
-    hist: DataFrame,
-    key: Sequence[str],
-    ts: str,
-    span_days: int | None = SPAN_DAYS,
-    horizon: Column | None = None,
-    hot_versions: int | None = HOT_VERSIONS,
-    hot_rows: int | None = HOT_ROWS,
-    counted: DataFrame | None = None,
-) -> DataFrame:
-    """IH-10. Each fact with the version valid at its time; version columns are NULL where
-    there is none. Where versions of a key overlap (IH-13 reports it), a fact is repeated with
-    each version valid at its time, whichever path it takes.
-
-    A left equi-join on the key with the range as a residual test. A fact meets the versions
-    of its key, so ``span_days`` cuts time into spans and adds the span to the join key; a
-    version is repeated once per span it touches, up to ``horizon`` (the latest fact time).
-    Adaptive execution splits the facts of a hot key.
-
-    Keys with more than ``hot_versions`` versions would still make facts meet too many. They
-    are counted first (in ``counted``, where a cheaper relation has at least as many rows per
-    key, such as the change log); their facts take the timeline of IH-11 instead, which is
-    linear. A timeline knows one version at a time, so hot keys with overlapping or empty
-    versions stay with the range join. The list of hot keys is broadcast only where it is small.
-    """
-    key = list(key)
-    if hot_versions is None:
-        return _asof_range(fact, hist, key, ts, span_days, horizon)
-    source = hist if counted is None else counted
-    sizes = source.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = cut_lineage(sizes.where(F.col("_n") > hot_versions).select(*key))
-    if hot.isEmpty():
-        return _asof_range(fact, hist, key, ts, span_days, horizon)
-    overlapping = (
-        interval_faults(hist.join(hot, key, "left_semi"), key, hot_rows)
-        .where(F.col("fault").isin("OVERLAP", "EMPTY")).select(*key).distinct()
-    )
-    hot = checked_keys(hot.join(overlapping, key, "left_anti"))
-    rest = _asof_range(
-        fact.join(hot, key, "left_anti"), hist.join(hot, key, "left_anti"), key, ts, span_days, horizon
-    )
-    own = [c for c in hist.columns if c not in key]
-    known = asof_last(
-        fact.join(hot, key, "left_semi"),
-        hist.join(hot, key, "left_semi").withColumn("_begins", F.col("valid_from")),
-        key, ts, "_begins", "valid_to", own, hot_rows,
-    )
-    valid = F.col(ts) < F.col("valid_to")
-    return rest.unionByName(known.withColumns({c: F.when(valid, F.col(c)) for c in own}))
-
-
-def _asof_range(
-    fact: DataFrame,
-    hist: DataFrame,
-    key: list[str],
-    ts: str,
-    span_days: int | None,
-    horizon: Column | None,
-) -> DataFrame:
-    own = [c for c in hist.columns if c not in key]
-    versions = hist.select(*[F.col(k).alias(f"_h_{k}") for k in key], *own)
-    condition = (F.col("valid_from") <= F.col(ts)) & (F.col(ts) < F.col("valid_to"))
-    for k in key:
-        condition = condition & (F.col(k) == F.col(f"_h_{k}"))
-    if span_days is not None:
-        if horizon is None:
-            horizon = fact.agg(F.max(ts).alias("horizon")).scalar()
-
-        def span(at: Column) -> Column:
-            return F.floor(F.unix_date(at.cast("date")) / span_days)
-
-        versions = (
-            versions.withColumn("_first", span(F.col("valid_from")))
-            .withColumn("_last", span(F.least(F.col("valid_to"), horizon)))
-            .where(F.col("_first") <= F.col("_last"))
-            .withColumn("_h_span", F.explode(F.sequence("_first", "_last")))
-            .drop("_first", "_last")
-        )
-        fact = fact.withColumn("_span", span(F.col(ts)))
-        condition = condition & (F.col("_span") == F.col("_h_span"))
-    return fact.join(versions, condition, "left").drop(
-        *[f"_h_{k}" for k in key], "_span", "_h_span"
-    )
-
-
 def asof_last(
     fact: DataFrame,
     log: DataFrame,

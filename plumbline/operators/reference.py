@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.history import asof
+from plumbline.operators.intervals import asof
 
 UNKNOWN = "UNKNOWN"
 

@@ -10,16 +10,13 @@ from pyspark.sql import functions as F
 from plumbline.functions.timeline import Timeline
 from plumbline.operators.classify import rule_of
 from plumbline.operators.govern import CONTROL, RUN, active, inject, row_digests
-from plumbline.operators.history import asof, assign_sk, build_history
+from plumbline.operators.history import assign_sk, build_history
 from plumbline.operators.ingest import record_key
+from plumbline.operators.intervals import asof
 from plumbline.operators.reference import UNKNOWN, decode_hierarchy, lookup
 from plumbline.operators.warehouse import resolve_fk
 from plumbline.plans.policy import FAULT, LINE_RULES, LINE_RULES_SWAPPED, STATUS
-from plumbline.sources.scan import scan
-from plumbline.sources.tables import LINE_CASTS, LINE_COLUMNS, SCHEMAS, table
-
-# As-of joins of lines look versions up within spans of a year.
-SPAN_DAYS = 365
+from plumbline.sources.tables import LINE_CASTS, LINE_COLUMNS, table
 
 
 def keyed_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,12 +38,6 @@ def customer_history(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def last_ship(spark: SparkSession, sf: str) -> Column:
-    """The horizon of as-of joins by ship date, from one column of the lines alone."""
-    lines = scan(spark, f"{sf}/lineitem.parquet", SCHEMAS["lineitem"])
-    return lines.agg(F.max("l_shipdate").alias("horizon")).scalar()
-
-
 def geography(spark: SparkSession, sf: str, df: DataFrame, nation: str, labels) -> DataFrame:
     return decode_hierarchy(
         df,
@@ -86,8 +77,8 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
         .select("o_custkey", "l_shipdate", "price", "rule_id", "r_name")
     )
     placed = asof(
-        judged, customer_history(spark, sf), ["o_custkey"], "l_shipdate", SPAN_DAYS,
-        last_ship(spark, sf), counted=table(spark, sf, "orders").select("o_custkey"),
+        judged, customer_history(spark, sf), ["o_custkey"], "l_shipdate",
+        counted=table(spark, sf, "orders").select("o_custkey"),
     )
     return placed.groupBy(
         F.coalesce("r_name", F.lit(UNKNOWN)).alias("region"),
@@ -155,9 +146,7 @@ def governed_run(spark: SparkSession, sf: str, runs: Sequence[str] = (CONTROL,))
             .previous(["version"], "_ended")
             .rows()
         )
-    known = asof(
-        lines, hist, ["customer_key"], "l_shipdate", SPAN_DAYS, last_ship(spark, sf), counted=changes
-    )
+    known = asof(lines, hist, ["customer_key"], "l_shipdate", counted=changes)
     moving = [r for r in runs if r in (moved.fault_id, "ALL")]
     named = lambda some: F.array(*[F.lit(r) for r in some]).cast("array<string>")
     original_hit = F.coalesce(F.expr(moved.condition.replace("customer_key", "o_custkey")), F.lit(False))

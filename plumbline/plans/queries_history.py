@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.timeline import Timeline
 from plumbline.functions.values import open_end
-from plumbline.operators import history
+from plumbline.operators import history, intervals
 from plumbline.operators.history_store import HistoryStore
 from plumbline.operators.reference import UNKNOWN
 from plumbline.plans import inputs
-from plumbline.plans.pipeline import SPAN_DAYS, customer_history, keyed_lines, last_ship
+from plumbline.plans.pipeline import customer_history, keyed_lines
 from plumbline.plans.sql import HISTORY_OUT, KEYED, OPEN_END
 from plumbline.plans.sql import history as history_sql
 from plumbline.sources.shared import fresh_path
@@ -160,9 +160,9 @@ def _probe_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ih_10(spark: SparkSession, sf: str) -> DataFrame:
-    placed = history.asof(
+    placed = intervals.asof(
         _probe_lines(spark, sf), customer_history(spark, sf), ["o_custkey"], "l_shipdate",
-        SPAN_DAYS, last_ship(spark, sf), counted=_log(spark, sf),
+        counted=_log(spark, sf),
     )
     return placed.select(
         "record_key", "o_custkey", F.coalesce("o_orderpriority", F.lit(UNKNOWN)).alias("priority")

@@ -9,7 +9,7 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, Str
 from plumbline.operators import facts, metrics, warehouse
 from plumbline.operators.history import assign_sk
 from plumbline.operators.reference import UNKNOWN
-from plumbline.plans.pipeline import SPAN_DAYS, customer_history, keyed_lines, last_ship
+from plumbline.plans.pipeline import customer_history, keyed_lines
 from plumbline.plans.sql import KEYED
 from plumbline.plans.sql import history as history_sql
 from plumbline.sources.tables import table
@@ -164,7 +164,7 @@ def df_03(spark: SparkSession, sf: str) -> DataFrame:
             "l_partkey": (part, "p_partkey", "part_sk"),
             "l_suppkey": (supplier, "s_suppkey", "supplier_sk"),
         },
-        SPAN_DAYS, last_ship(spark, sf), counted=table(spark, sf, "orders").select("o_custkey"),
+        counted=table(spark, sf, "orders").select("o_custkey"),
     )
     return fact.select(
         "record_key", "version_sk", "part_sk", "supplier_sk",

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from plumbline.operators import facts, govern, history, ingest, metrics, verify
+from plumbline.operators import facts, govern, history, ingest, intervals, metrics, verify
 from plumbline.sources import shared
 
 LOG = dict(key=["k"], ts="at", tie="seq", attrs=["v"])
@@ -75,8 +75,8 @@ def test_overlapping_versions_give_the_same_rows_on_both_paths(spark):
     versions += [(2, at(1 + i), at(2 + i), f"w{i}") for i in range(8)]
     hist = spark.createDataFrame(versions, "k long, valid_from timestamp_ntz, valid_to timestamp_ntz, v string")
     fact = spark.createDataFrame([(1, at(6)), (1, at(12)), (2, at(3)), (1, at(22)), (None, at(3)), (3, at(3))], "k long, ts timestamp_ntz")
-    plain = bag(history.asof(fact, hist, ["k"], "ts", hot_versions=None))
-    assert plain == bag(history.asof(fact, hist, ["k"], "ts", hot_versions=3)) and len(plain) == 7
+    plain = bag(intervals.asof(fact, hist, ["k"], "ts", dense=None))
+    assert plain == bag(intervals.asof(fact, hist, ["k"], "ts", dense=3)) and len(plain) == 7
 
 
 def test_orders_without_lines_stay(spark):

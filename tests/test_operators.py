@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.operators import classify, govern, history, ingest, metrics, reference, verify
+from plumbline.operators import classify, govern, history, ingest, intervals, metrics, reference, verify
 from plumbline.operators.classify import Rule
 from plumbline.plans import inputs
 from plumbline.plans.policy import LINE_RULES
@@ -172,7 +172,7 @@ def test_history_half_open_boundaries(spark):
     rows = [(r["valid_from"].day, r["v"], r["is_current"]) for r in hist.orderBy("valid_from").collect()]
     assert rows == [(1, "a", False), (2, "c", False), (4, None, True)]
     fact = relation(spark, "k int, at timestamp_ntz", [(1, datetime(2020, 1, 2)), (1, datetime(2019, 1, 1)), (2, datetime(2020, 1, 2))])
-    got = history.asof(fact, hist, ["k"], "at", 1).orderBy("k", "at").collect()
+    got = intervals.asof(fact, hist, ["k"], "at").orderBy("k", "at").collect()
     assert [r["v"] for r in got] == [None, "c", None]
     last = history.asof_last(fact, log, ["k"], "at", "ts", "n", ["v"]).orderBy("k", "at").collect()
     assert [r["v"] for r in last] == [None, "c", None]

@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.timeline import SLICE, Timeline
-from plumbline.operators import classify, facts, history, reference
+from plumbline.operators import classify, facts, history, intervals, reference
 from plumbline.plans.queries_classify import transitions
 from plumbline.sources.tables import table
 
@@ -103,8 +103,8 @@ def test_facts_without_a_key_have_no_version(spark, log):
         F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("o_custkey"),
     )
     for got in (
-        history.asof(facts_, hist, ["o_custkey"], "o_orderdate", 365),
-        history.asof(facts_, hist, ["o_custkey"], "o_orderdate", hot_versions=20, hot_rows=HOT),
+        intervals.asof(facts_, hist, ["o_custkey"], "o_orderdate"),
+        intervals.asof(facts_, hist, ["o_custkey"], "o_orderdate", dense=20, hot_rows=HOT),
         history.asof_last(
             facts_, log, ["o_custkey"], "o_orderdate", "o_orderdate", "o_orderkey",
             ["o_orderpriority"], HOT,
@@ -140,17 +140,19 @@ def test_asof_forms_agree_on_a_hot_key(spark, sf, log):
     probes = lines.join(log.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     hist = history.build_history(log, **ARGS, hot_rows=HOT)
     pick = ["l_orderkey", "l_linenumber", "l_shipdate", "o_orderpriority"]
-    plain = history.asof(probes, hist, ["o_custkey"], "l_shipdate", hot_versions=None).select(*pick)
+    plain = intervals.asof(probes, hist, ["o_custkey"], "l_shipdate", dense=None).select(*pick)
     assert hist.groupBy("o_custkey").count().where("count > 50").count() == 1
-    spans = history.asof(probes, hist, ["o_custkey"], "l_shipdate", 30).select(*pick)
+    tree = intervals.asof(
+        probes, hist, ["o_custkey"], "l_shipdate", dense=50, depth=2, flat_cells=0, hot_rows=HOT
+    ).select(*pick)
     last = history.asof_last(
         probes, log, ["o_custkey"], "l_shipdate", "o_orderdate", "o_orderkey",
         ["o_orderpriority"], HOT,
     ).select(*pick)
-    hot = history.asof(
-        probes, hist, ["o_custkey"], "l_shipdate", 365, hot_versions=50, hot_rows=HOT
+    hot = intervals.asof(
+        probes, hist, ["o_custkey"], "l_shipdate", dense=50, hot_rows=HOT
     ).select(*pick)
-    equal(spans, plain)
+    equal(tree, plain)
     equal(last, plain)
     equal(hot, plain)
 
