@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import classify, govern
 from plumbline.operators.govern import ALL_FAULTS, CONTROL, RUN
-from plumbline.operators.metrics import count_rows, metric
-from plumbline.operators.reference import UNKNOWN, lookup
-from plumbline.plans import arms, pipeline
+from plumbline.operators.reference import lookup
+from plumbline.operators.stages import close_over, own_divergence, rerun, run_stages
+from plumbline.plans import arms, pipeline, stages
 from plumbline.plans.policy import FAULT, FAULTS, LINE_RULES, LINE_RULES_NEXT, STATUS
 from plumbline.plans.queries_classify import M1, M2, RULED, SAID
 from plumbline.plans.sql import JOINED, RULE, rule
@@ -158,6 +160,30 @@ ORACLE["gv_05"] = f"""WITH {runs_sql(['NONE', 'ALL'])}
 SELECT record_key, CAST(first_stage AS INT) AS first_stage FROM first"""
 
 
+def gv_05_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fault at once, each stage replayed on what it should have been given: a line is traced
+    to every stage that fails it, behind whatever other fault."""
+    reviewed = stages.pipeline_stages(spark, sf)
+    run = run_stages(stages.source(spark, sf), reviewed)
+    return own_divergence(stages.pipeline_stages(spark, sf, stages.ALL), reviewed, run)
+
+
+GROUPED = f"""{PLACED}, metrics AS (SELECT region || '|' || rule_id || '|' || priority AS record_key,
+  CAST(CAST(sum(CAST(l_discount AS DECIMAL(4,2))) AS DOUBLE) / count(*) AS DECIMAL(18,9)) AS mean,
+  CAST(CAST(sum(price * CAST(l_discount AS DECIMAL(4,2))) AS DOUBLE) / CAST(sum(price) AS DOUBLE) AS DECIMAL(18,9)) AS weighted
+  FROM placed GROUP BY region, rule_id, priority)"""
+ORACLE["gv_05_replay"] = f"""WITH {GROUPED}
+SELECT record_key, 1 AS stage_ord FROM placed WHERE l_orderkey % 97 = 0 AND price <> price * 100
+UNION ALL SELECT record_key, 2 FROM placed WHERE o_orderstatus = 'P'
+UNION ALL SELECT record_key, 3 FROM placed p WHERE o_custkey % 50 = 0 OR EXISTS (SELECT 1 FROM hist h
+  WHERE h.o_custkey = p.o_custkey + CASE WHEN p.o_custkey % 50 = 0 THEN 1 ELSE 0 END AND h.valid_to = p.l_shipdate)
+UNION ALL SELECT record_key, 4 FROM placed WHERE {M1} AND {M2}
+UNION ALL SELECT record_key, 5 FROM placed JOIN (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2
+  HAVING count(*) > 1) USING (l_orderkey, l_linenumber)
+UNION ALL SELECT record_key, 6 FROM placed WHERE priority = 'UNKNOWN'
+UNION ALL SELECT record_key, 7 FROM metrics WHERE mean <> weighted"""
+
+
 def gv_06(spark: SparkSession, sf: str) -> DataFrame:
     ruled = pipeline.order_lines(spark, sf).select(
         "record_key", classify.rule_of(LINE_RULES).alias("rule_id")
@@ -214,37 +240,37 @@ ORACLE["gv_09"] = f"""WITH {DIFF}
 SELECT DISTINCT 'customer' AS level, o_custkey AS key FROM diff
 UNION ALL SELECT DISTINCT 'nation', CAST(c_nationkey AS BIGINT) FROM diff JOIN customer ON c_custkey = o_custkey"""
 
-GROUP = ["region", "rule_id", "priority"]
+def _policy_change(spark: SparkSession, sf: str) -> tuple:
+    """The recorded run under the old policy, the stages under the new one, and the lines whose rule
+    the change moves."""
+    old = stages.pipeline_stages(spark, sf)
+    run = run_stages(stages.source(spark, sf), old)
+    moved = govern.policy_diff(run.outputs[3], LINE_RULES, LINE_RULES_NEXT)
+    return run, stages.pipeline_stages(spark, sf, rules=LINE_RULES_NEXT), moved
 
 
-def _metric(df: DataFrame) -> DataFrame:
-    return metric(df, GROUP, {"n_lines": count_rows(), "amount": F.sum("price").cast("double")})
+def gv_09_recorded(spark: SparkSession, sf: str) -> DataFrame:
+    """What the policy change reaches in the stored outputs of stages 4 to 7, by recorded lineage."""
+    run, changed, moved = _policy_change(spark, sf)
+    out = None
+    for number, keys in close_over(run, changed, 4, moved).items():
+        level = keys.select(F.lit(number).alias("stage"), "record_key")
+        out = level if out is None else out.unionByName(level)
+    return out
 
 
-def _revalidation(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The metric after the policy change, recomputed selectively and in full."""
-    customers = pipeline.geography(
-        spark, sf, table(spark, sf, "customer"), "c_nationkey", ["r_name"]
-    ).select(F.col("c_custkey").alias("customer_key"), F.col("r_name").alias("region"))
-    facts = store(
-        pipeline.governed_run(spark, sf)
-        .join(customers, "customer_key", "left")
-        .select(
-            "record_key", F.coalesce("region", F.lit(UNKNOWN)).alias("region"), "rule_id",
-            "priority", "price", *arms.RULE_INPUTS,
-        ),
-        "facts",
-    )
-    stored = _metric(facts)
-    diff = govern.policy_diff(facts, LINE_RULES, LINE_RULES_NEXT)
-    moved = F.explode(F.array("old_rule", "new_rule")).alias("rule_id")
-    keys = diff.select("region", moved, "priority").distinct()
-    source = facts.withColumn("rule_id", classify.rule_of(LINE_RULES_NEXT))
-    return govern.revalidate(_metric, source, stored, keys, GROUP), _metric(source)
+ORACLE["gv_09_recorded"] = f"""WITH {PLACED}, moved AS (
+  SELECT * FROM placed WHERE rule_id <> {rule(discount='0.07')})
+SELECT stage::INT AS stage, record_key FROM moved CROSS JOIN range(4, 7) t(stage)
+UNION ALL SELECT DISTINCT 7, region || '|' || rule_id || '|' || priority FROM moved"""
 
 
 def gv_10(spark: SparkSession, sf: str) -> DataFrame:
-    return _revalidation(spark, sf)[0]
+    """The metric after the policy change, stages 4 to 7 recomputed for the lines it moves."""
+    run, changed, moved = _policy_change(spark, sf)
+    return rerun(run, changed, 4, moved).outputs[7].select(
+        "region", "rule_id", "priority", "n_lines", F.col("amount").cast("double").alias("amount")
+    )
 
 
 NEXT = PLACED.replace(RULE, rule(discount="0.07"))
@@ -253,14 +279,44 @@ ORACLE["gv_10"] = f"""WITH {NEXT} SELECT region, rule_id, priority, count(*) AS
 
 
 def gv_11(spark: SparkSession, sf: str) -> DataFrame:
-    selective, full = _revalidation(spark, sf)
-    differing = govern.same_as_full(selective, full).agg(F.count(F.lit(1)).alias("differing"))
-    groups = selective.agg(F.count(F.lit(1)).alias("groups"), F.sum("n_lines").alias("n_lines"))
-    return groups.select("groups", "n_lines", differing.scalar().alias("differing"))
-
-
-ORACLE["gv_11"] = f"""WITH {NEXT}, m AS (SELECT region, rule_id, priority, count(*) AS n FROM placed GROUP BY 1, 2, 3)
-SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS n_lines, CAST(0 AS BIGINT) AS differing FROM m"""
+    """Per stage the rows after the policy change, those by which the selective rerun differs from
+    the full one, and those by which a rerun differs that forgets what rows move out of."""
+    run, changed, moved = _policy_change(spark, sf)
+    whole = dict(run.outputs)
+    for stage in changed[3:]:
+        whole[stage.number] = store(stage.run(whole[stage.number - 1]), f"full-{stage.number}")
+    selective = rerun(run, changed, 4, moved)
+    forgetful = rerun(replace(run, edges=run.edges.limit(0)), changed, 4, moved)
+    out = None
+    for number in range(4, 8):
+        full = whole[number]
+        differing, missed = (
+            govern.same_as_full(one.outputs[number].select(*full.columns), full).agg(F.count(F.lit(1)).alias("n"))
+            for one in (selective, forgetful)
+        )
+        row = full.agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(number).alias("stage"), "rows", differing.scalar().alias("differing"), missed.scalar().alias("missed")
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _groups(rule_column: str) -> str:
+    return f"""SELECT region, {rule_column} AS rule_id, priority, count(*) AS n, sum(price) AS amount,
+    CAST(CAST(sum(price * CAST(l_discount AS DECIMAL(4,2))) AS DOUBLE) / CAST(sum(price) AS DOUBLE) AS DECIMAL(18,9)) AS discount
+  FROM both_rules GROUP BY 1, 2, 3"""
+
+
+ORACLE["gv_11"] = f"""WITH {PLACED}, both_rules AS (SELECT *, {rule(discount='0.07')} AS new_rule FROM placed),
+before AS ({_groups('rule_id')}), after AS ({_groups('new_rule')}),
+entered AS (SELECT DISTINCT region, new_rule AS rule_id, priority FROM both_rules WHERE rule_id <> new_rule),
+forgetful AS (SELECT * FROM before ANTI JOIN entered USING (region, rule_id, priority)
+  UNION ALL SELECT * FROM after SEMI JOIN entered USING (region, rule_id, priority)),
+missed AS (SELECT * FROM (SELECT * FROM forgetful EXCEPT ALL SELECT * FROM after)
+  UNION ALL SELECT * FROM (SELECT * FROM after EXCEPT ALL SELECT * FROM forgetful))
+SELECT stage::INT AS stage, (SELECT count(*) FROM both_rules) AS rows, 0::BIGINT AS differing, 0::BIGINT AS missed
+FROM range(4, 7) t(stage)
+UNION ALL SELECT 7, (SELECT count(*) FROM after), 0, (SELECT count(*) FROM missed)"""
 
 
 def gv_12(spark: SparkSession, sf: str) -> DataFrame:
