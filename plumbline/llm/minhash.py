@@ -309,7 +309,7 @@ def linked(signed: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: floa
             # little for the threshold, the document has no partner and needs no samples.
             alone = F.coalesce("alone", F.lit(0.0))
             able = stored(
-                signed.select("id", "weight", "samples").join(open_ids, "id", "left_semi")
+                signed.select("id", "weight", "samples", "bands").join(open_ids, "id", "left_semi")
                 .join(unshared(open_texts, idf), "id", "left")
                 .withColumn("common", F.col("weight") - alone).drop("alone")
                 .where(F.col("common") >= (threshold - ROUNDING) * F.col("weight")),
@@ -340,8 +340,10 @@ def merged(known: DataFrame, links: DataFrame) -> DataFrame:
 
 def crossing(still: DataFrame, profiles: DataFrame, agree: int, threshold: float) -> DataFrame:
     """Pairs of one bucket and two components that may reach the threshold and agree in at least
-    ``agree`` of the fine samples."""
+    ``agree`` of the fine samples. A pair that shares several buckets is met in the first of them."""
     least = threshold - ROUNDING
+    shared = F.zip_with("a.bands", "b.bands", lambda x, y: x == y)
+    first = F.array_position(shared, True) == F.col("a.band") + 1
     rows = stored(still.join(profiles, "id"), "open")
     a, b = rows.alias("a"), rows.alias("b")
     most = F.least("a.common", "b.common")
@@ -350,7 +352,7 @@ def crossing(still: DataFrame, profiles: DataFrame, agree: int, threshold: float
         a.join(
             b,
             (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key"))
-            & (F.col("a.component") < F.col("b.component"))
+            & (F.col("a.component") < F.col("b.component")) & first
             & (ratio >= least) & (agreeing("a.samples", "b.samples") >= LEAST_AGREE)
             & (agreeing("a.fine", "b.fine") >= agree),
         )
