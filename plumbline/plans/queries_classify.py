@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,6 @@ M1, M2 = "l_shipdate < o_orderdate", "(l_returnflag = 'R' AND l_linestatus = 'O'
 M3, M4 = "l_discount >= 0.08", "l_returnflag = 'N'"
 MATCHED = f"""concat_ws(',', CASE WHEN {M1} THEN 'R1' END, CASE WHEN {M2} THEN 'R2' END,
   CASE WHEN {M3} THEN 'R3' END, CASE WHEN {M4} THEN 'R4' END)"""
-N_MATCHED = f"(CAST({M1} AS INT) + CAST({M2} AS INT) + CAST({M3} AS INT) + CAST({M4} AS INT))"
 
 
 def _evidence_text():
@@ -68,14 +69,18 @@ def ec_03(spark: SparkSession, sf: str) -> DataFrame:
 ORACLE["ec_03"] = f"WITH {JOINED} SELECT record_key, {MATCHED} AS matched FROM joined"
 
 
+# A policy in which R1 and R2 say the same: lines that only these two match are no conflict.
+AGREEING_RULES = [replace(r, disposition="REJECT") if r.rule_id == "R2" else r for r in LINE_RULES]
+
+
 def ec_04(spark: SparkSession, sf: str) -> DataFrame:
-    return classify.conflicts(order_lines(spark, sf), LINE_RULES).select(
+    return classify.conflicts(order_lines(spark, sf), AGREEING_RULES).select(
         "record_key", F.concat_ws(",", "matched").alias("matched")
     )
 
 
 ORACLE["ec_04"] = f"""WITH {JOINED} SELECT record_key, {MATCHED} AS matched FROM joined
-WHERE {N_MATCHED} > 1"""
+WHERE CAST(({M1} OR {M2}) AS INT) + CAST({M3} AS INT) + CAST({M4} AS INT) > 1"""
 
 
 def ec_05(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plumbline.operators import classify, ingest, verify
+from plumbline.operators import classify, contracts, ingest, verify
 from plumbline.operators.govern import RUN, inject
 from plumbline.plans import inputs
 from plumbline.plans.pipeline import customer_history, keyed_lines, order_lines
@@ -92,7 +92,7 @@ ORACLE["vf_04"] = """SELECT l_suppkey, count(*) AS n FROM lineitem
 WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0) GROUP BY 1"""
 
 
-def vf_05(spark: SparkSession, sf: str) -> DataFrame:
+def valued_lines(spark: SparkSession, sf: str) -> DataFrame:
     cents, price = F.col("l_linestatus") == "F", F.col("l_extendedprice").cast("decimal(18,2)")
     # Returned lines say so when they are in cents; other filled lines carry a wrong tag.
     tagged = keyed_lines(spark, sf).select(
@@ -101,7 +101,11 @@ def vf_05(spark: SparkSession, sf: str) -> DataFrame:
         F.when(cents & (F.col("l_returnflag") == "R"), "CENT").otherwise("USD").alias("unit"),
     )
     part = table(spark, sf, "part").select("p_partkey", "p_retailprice")
-    valued = tagged.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+    return tagged.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+
+
+def vf_05(spark: SparkSession, sf: str) -> DataFrame:
+    valued = valued_lines(spark, sf)
     bad = verify.check_unit(valued, "price", "unit", "USD", F.col("p_retailprice"), 0.0, 120.0)
     return bad.select("record_key", "unit", F.col("price").cast("double").alias("price"))
 
@@ -133,19 +137,22 @@ FROM faulty_hist GROUP BY o_custkey HAVING count(*) FILTER (is_current) <> 1
 UNION ALL SELECT record_key, 'BEFORE_CAUSE' FROM joined WHERE l_shipdate < o_orderdate"""
 
 
-def vf_07(spark: SparkSession, sf: str) -> DataFrame:
+def damaged_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     said = classify.classify(order_lines(spark, sf), LINE_RULES)
     # High-tax lines lose one part of their provenance each.
     tax, empty = F.col("l_tax"), F.create_map().cast("map<string,string>")
-    damaged = said.withColumns(
+    return said.withColumns(
         {
             "rule_id": F.when(tax == 0.08, "R9").otherwise(F.col("rule_id")),
             "disposition": F.when(tax != 0.07, F.col("disposition")),
             "evidence": F.when(tax == 0.06, empty).otherwise(F.col("evidence")),
         }
     )
+
+
+def vf_07(spark: SparkSession, sf: str) -> DataFrame:
     rules = classify.rules_relation(spark, [*LINE_RULES, HOLE_RULE])
-    return verify.check_provenance(damaged, rules).select("record_key", "rule_id", "problem")
+    return verify.check_provenance(damaged_verdicts(spark, sf), rules).select("record_key", "rule_id", "problem")
 
 
 HOLE_RULE = classify.Rule(classify.HOLE, 0, 0, "false", (), classify.UNDECIDED)
@@ -156,16 +163,22 @@ SELECT record_key, CASE WHEN l_tax = 0.08 THEN 'R9' ELSE rule_id END AS rule_id,
 FROM ruled WHERE l_tax IN (0.07, 0.08) OR (l_tax = 0.06 AND rule_id <> 'HOLE')"""
 
 
-def vf_08(spark: SparkSession, sf: str) -> DataFrame:
+def lossy_parse(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Raw lines, accepted rows and quarantined rows of a stage that forgets to quarantine the lines
+    with too few fields."""
     raw = inputs.order_raw_lines(spark, sf)
     fields = ingest.split_line(raw, "line", "|", inputs.ORDER_FIELDS).drop("line")
     good, bad = ingest.split_disposition(ingest.cast_fields(fields, inputs.ORDER_SCHEMA))
-    return verify.edge_rows(raw, good, bad)
+    return raw, good, bad.where(~F.array_contains(ingest.ERRORS, "BAD:arity"))
+
+
+def vf_08(spark: SparkSession, sf: str) -> DataFrame:
+    return verify.edge_rows(*lossy_parse(spark, sf))
 
 
 ORACLE["vf_08"] = f"""WITH {ORDER_FAULTS}
 SELECT count(*) AS rows_in, count(*) FILTER (NOT bad_date AND NOT short) AS rows_accepted,
-  count(*) FILTER (bad_date OR short) AS rows_quarantined, CAST(0 AS BIGINT) AS lost FROM faulty"""
+  count(*) FILTER (bad_date AND NOT short) AS rows_quarantined, count(*) FILTER (short) AS lost FROM faulty"""
 
 
 def vf_09(spark: SparkSession, sf: str) -> DataFrame:
@@ -198,14 +211,17 @@ SELECT record_key, 'LOST' AS change FROM (SELECT record_key FROM a EXCEPT SELECT
 UNION ALL SELECT record_key, 'INVENTED' FROM (SELECT record_key FROM b EXCEPT SELECT record_key FROM a)"""
 
 
-def vf_11(spark: SparkSession, sf: str) -> DataFrame:
-    lines = keyed_lines(spark, sf).select("record_key", *LINE_PAIR)
+def fanned_lines(lines: DataFrame) -> DataFrame:
     pairs = lines.groupBy(*LINE_PAIR).agg(F.count(F.lit(1)).alias("n"))
     # What a join on the pair that looks like a key would make of the lines.
-    fanned = lines.join(pairs, LINE_PAIR).withColumn(
+    return lines.join(pairs, LINE_PAIR).withColumn(
         "copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "n"))
     )
-    return verify.edge_fanout(lines, fanned, ["record_key"])
+
+
+def vf_11(spark: SparkSession, sf: str) -> DataFrame:
+    lines = keyed_lines(spark, sf).select("record_key", *LINE_PAIR)
+    return verify.edge_fanout(lines, fanned_lines(lines), ["record_key"])
 
 
 ORACLE["vf_11"] = f"""WITH {KEYED} SELECT a.record_key, CAST(1 AS BIGINT) AS n_before, count(*) AS n_after
@@ -229,13 +245,13 @@ UNION ALL SELECT *, 'RIGHT', count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT *
 # The contracts of the clean run.
 PAIR, LINE, CUST = ("l_orderkey", "l_linenumber"), ("record_key",), ("o_custkey",)
 CONTRACTS = [
-    verify.Contract(1, "stage", "grain_pair", "grain", "lines", None, PAIR, PAIR, None, None, "C1", "REVIEW"),
-    verify.Contract(1, "stage", "grain_key", "grain", "lines", None, LINE, LINE, None, None, "C2", "REJECT"),
-    verify.Contract(2, "stage", "domain", "domain", "orders", "status", ("o_orderkey",), ("o_orderstatus", "code"), "code", None, "C3", "QUARANTINE"),
-    verify.Contract(3, "stage", "fk", "fk", "orders", "customer", ("o_orderkey",), ("o_custkey", "c_custkey"), None, None, "C4", "QUARANTINE"),
-    verify.Contract(3, "stage", "time", "time", "history", None, CUST, ("valid_from", "valid_to", "is_current"), "day", "[valid_from, valid_to)", "C5", "REJECT"),
-    verify.Contract(4, "stage", "cause", "cause", "joined", None, LINE, ("o_orderdate", "l_shipdate"), "day", "o_orderdate <= l_shipdate", "C6", "REVIEW"),
-    verify.Contract(4, "edge", "keys", "keys", "lines", "joined", LINE, LINE, None, None, "C7", "REJECT"),
+    contracts.Contract(1, "stage", "grain_pair", "grain", "lines", None, PAIR, PAIR, None, None, "C1", "REVIEW"),
+    contracts.Contract(1, "stage", "grain_key", "grain", "lines", None, LINE, LINE, None, None, "C2", "REJECT"),
+    contracts.Contract(2, "stage", "domain", "domain", "orders", "status", ("o_orderkey",), ("o_orderstatus", "code"), "code", None, "C3", "QUARANTINE"),
+    contracts.Contract(3, "stage", "fk", "fk", "orders", "customer", ("o_orderkey",), ("o_custkey", "c_custkey"), None, None, "C4", "QUARANTINE"),
+    contracts.Contract(3, "stage", "time", "time", "history", None, CUST, ("valid_from", "valid_to", "is_current"), "day", "[valid_from, valid_to)", "C5", "REJECT"),
+    contracts.Contract(4, "stage", "cause", "cause", "joined", None, LINE, ("o_orderdate", "l_shipdate"), "day", "o_orderdate <= l_shipdate", "C6", "REVIEW"),
+    contracts.Contract(4, "edge", "keys", "keys", "lines", "joined", LINE, LINE, None, None, "C7", "REJECT"),
 ]
 
 
@@ -252,18 +268,22 @@ def vf_13(spark: SparkSession, sf: str) -> DataFrame:
         "status": _status_domain(spark, STATUS),
         "history": customer_history(spark, sf),
     }
-    return verify.contract_gate(verify.contracts_relation(spark, CONTRACTS), frames)
+    return contracts.contract_gate(contracts.contracts_relation(spark, CONTRACTS), frames)
 
 
 def _text(value: str | None) -> str:
     return "CAST(NULL AS VARCHAR)" if value is None else f"'{value}'"
 
 
-CARRIED = ", ".join(
-    f"({c.stage}, '{c.scope}', '{c.check}', '{','.join(c.grain)}', {_text(c.unit)}, "
-    f"{_text(c.time_semantics)}, '{','.join(c.reads)}', '{c.rule_id}', '{c.disposition}')"
-    for c in CONTRACTS
-)
+def carried(some: list) -> str:
+    return ", ".join(
+        f"({c.stage}, '{c.scope}', '{c.check}', '{','.join(c.grain)}', {_text(c.unit)}, "
+        f"{_text(c.time_semantics)}, '{','.join(c.reads)}', '{c.rule_id}', '{c.disposition}')"
+        for c in some
+    )
+
+
+CARRIED = carried(CONTRACTS)
 
 ORACLE["vf_13"] = f"""WITH {JOINED}, {history_sql()},
 pairs AS (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1),
@@ -286,4 +306,54 @@ SELECT rows.*, violations = 0 AS passed, grain, unit, time_semantics, evidence,
 FROM rows JOIN (VALUES {CARRIED}) AS c(stage, scope, chk, grain, unit, time_semantics, evidence, rule_id, said)
   ON c.stage = rows.stage AND c.scope = rows.scope AND c.chk = rows.check"""
 
+# One contract of every kind that the clean run has none of, on runs with faults in them.
+FAULTY_CONTRACTS = [
+    contracts.Contract(1, "stage", "unit", "unit", "valued", None, LINE, ("price", "unit", "p_retailprice"), "USD", None, "K1", "REJECT", (0.0, 120.0)),
+    contracts.Contract(1, "stage", "schema", "schema", "lineitem", "target", LINE, LINE, None, None, "K2", "REJECT"),
+    contracts.Contract(1, "edge", "rows", "rows", "raw", "accepted+quarantined", (), (), None, None, "K3", "REJECT"),
+    contracts.Contract(1, "edge", "measure", "measure", "lines", "faulty", ("l_suppkey",), ("price",), "USD", None, "K4", "REJECT"),
+    contracts.Contract(1, "edge", "equal", "equal", "lines", "faulty", LINE, LINE, "USD", None, "K5", "REVIEW"),
+    contracts.Contract(4, "stage", "provenance", "provenance", "judged", "rules", LINE, ("rule_id", "disposition", "evidence"), None, None, "K6", "QUARANTINE"),
+    contracts.Contract(5, "edge", "fanout", "fanout", "keyed", "fanned", LINE, LINE, None, None, "K7", "REJECT"),
+    contracts.Contract(5, "edge", "keys", "keys", "keyed", "fanned", LINE, LINE, None, None, "K8", "REJECT"),
+    contracts.Contract(5, "stage", "grain", "grain", "fanned", None, LINE, LINE, None, None, "K9", "REJECT"),
+]
+
+
+def vf_13_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """The gate over runs with faults: unit, schema, rows, measure, equality, provenance and
+    fan-out, all from the relation."""
+    lines = priced_lines(spark, sf)
+    keyed = keyed_lines(spark, sf).select("record_key", *LINE_PAIR)
+    raw, accepted, quarantined = lossy_parse(spark, sf)
+    frames = {
+        "valued": valued_lines(spark, sf), "lineitem": table(spark, sf, "lineitem"),
+        "target": spark.createDataFrame([], OTHER_LINES), "raw": raw, "accepted": accepted,
+        "quarantined": quarantined, "lines": lines, "faulty": unit_fault(lines),
+        "judged": damaged_verdicts(spark, sf), "rules": classify.rules_relation(spark, [*LINE_RULES, HOLE_RULE]),
+        "keyed": keyed, "fanned": fanned_lines(keyed),
+    }
+    return contracts.contract_gate(contracts.contracts_relation(spark, FAULTY_CONTRACTS), frames)
+
+
+def _counted(stage: int, scope: str, check: str, sql: str, sample: str) -> str:
+    return f"SELECT {stage} AS stage, '{scope}' AS scope, '{check}' AS check, count(*) AS violations, {sample} AS sample_key FROM ({sql})"
+
+
+KEY_SAMPLE = "min(record_key)"
+ORACLE["vf_13_kinds"] = f"""WITH rows AS (
+{_counted(1, 'stage', 'unit', ORACLE['vf_05'], KEY_SAMPLE)}
+UNION ALL {_counted(1, 'stage', 'schema', ORACLE['vf_01'], 'CAST(NULL AS VARCHAR)')}
+UNION ALL SELECT 1, 'edge', 'rows', lost, 'rows' FROM ({ORACLE['vf_08']})
+UNION ALL {_counted(1, 'edge', 'measure', ORACLE['vf_09'], 'min(CAST(l_suppkey AS VARCHAR))')}
+UNION ALL {_counted(1, 'edge', 'equal', ORACLE['vf_12'], KEY_SAMPLE)}
+UNION ALL {_counted(4, 'stage', 'provenance', ORACLE['vf_07'], KEY_SAMPLE)}
+UNION ALL {_counted(5, 'edge', 'fanout', ORACLE['vf_11'], KEY_SAMPLE)}
+UNION ALL SELECT 5, 'edge', 'keys', 0, NULL
+UNION ALL {_counted(5, 'stage', 'grain', ORACLE['vf_11'], KEY_SAMPLE)})
+SELECT rows.*, violations = 0 AS passed, grain, unit, time_semantics, evidence, rule_id,
+  CASE WHEN violations = 0 THEN 'NONE' ELSE said END AS disposition
+FROM rows JOIN (VALUES {carried(FAULTY_CONTRACTS)}) AS c(stage, scope, chk, grain, unit, time_semantics, evidence, rule_id, said)
+  ON c.stage = rows.stage AND c.scope = rows.scope AND c.chk = rows.check"""
+
 QUERIES.update({n: f for n, f in list(globals().items()) if n.startswith("vf_")})

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from plumbline.operators import facts, govern, history, ingest, intervals, metrics, verify
+from plumbline.operators import contracts, facts, govern, history, ingest, intervals, metrics, verify
 from plumbline.sources import shared
 
 LOG = dict(key=["k"], ts="at", tie="seq", attrs=["v"])
@@ -161,15 +161,15 @@ def test_broadcasts_are_bounded_by_bytes(spark):
 def test_contracts_from_a_relation_name_what_failed(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, None)], "k long, code string")
     codes = spark.createDataFrame([("a",)], "legal string")
-    contract = lambda check, kind, other, grain, reads: verify.Contract(
+    contract = lambda check, kind, other, grain, reads: contracts.Contract(
         1, "stage", check, kind, "rows", other, grain, reads, "code", None, f"rule-{check}", "QUARANTINE"
     )
-    contracts = verify.contracts_relation(spark, [
+    told = contracts.contracts_relation(spark, [
         contract("grain", "grain", None, ("k",), ("k",)),
         contract("domain", "domain", "codes", ("k",), ("code", "legal")),
         contract("same", "keys", "rows", ("k",), ("k",)),
     ])
-    got = {r.check: r for r in verify.contract_gate(contracts, {"rows": rows, "codes": codes}).collect()}
+    got = {r.check: r for r in contracts.contract_gate(told, {"rows": rows, "codes": codes}).collect()}
     assert {c: (r.violations, r.passed, r.disposition) for c, r in got.items()} == {
         "grain": (1, False, "QUARANTINE"), "domain": (2, False, "QUARANTINE"), "same": (0, True, "NONE"),
     }
