@@ -7,14 +7,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StringType, StructField, StructType
+from pyspark.sql.types import DataType, DecimalType, StringType, StructField, StructType
 
 from plumbline.functions.values import compact, guarded_cast, row_digest
+from plumbline.sources.scan import CORRUPT, write_stage
 
 ERRORS = "errors"
 DISPOSITION = "disposition"
 ACCEPTED, QUARANTINED = "ACCEPTED", "QUARANTINED"
 UNROUTED = "UNROUTED"
+RECORD_TYPE = "record_type"
 ARITY_OK = "arity_ok"
 CORRUPT_RECORD = "_corrupt_record"
 
@@ -43,16 +45,27 @@ class Slot:
 def cut_fixed(df: DataFrame, col: str, layout: Sequence[Slot]) -> DataFrame:
     """IN-04. Cut fixed-width records. A blank field is NULL; a value that does not parse is NULL
     and leaves an error code in ``errors``."""
-    def text(slot: Slot) -> Column:
-        return F.nullif(F.trim(F.substring(F.col(col), slot.start, slot.width)), F.lit(""))
+    fields = [slot_value(col, slot).alias(slot.name) for slot in layout]
+    return df.select("*", *fields, slot_errors(col, layout).alias(ERRORS))
 
-    def field(slot: Slot) -> Column:
-        return text(slot) if slot.kind.simpleString() == "string" else guarded_cast(text(slot), slot.kind)
 
-    codes = [
-        F.when(text(slot).isNotNull() & field(slot).isNull(), F.lit(f"BAD:{slot.name}")) for slot in layout
-    ]
-    return df.select("*", *[field(slot).alias(slot.name) for slot in layout], compact(codes).alias(ERRORS))
+def slot_text(col: str, slot: Slot) -> Column:
+    return F.nullif(F.trim(F.substring(F.col(col), slot.start, slot.width)), F.lit(""))
+
+
+def slot_value(col: str, slot: Slot) -> Column:
+    text = slot_text(col, slot)
+    return text if slot.kind.simpleString() == "string" else guarded_cast(text, slot.kind)
+
+
+def slot_errors(col: str, layout: Sequence[Slot]) -> Column:
+    """Error codes of fields that are there but do not parse."""
+    return compact(
+        [
+            F.when(slot_text(col, s).isNotNull() & slot_value(col, s).isNull(), F.lit(f"BAD:{s.name}"))
+            for s in layout
+        ]
+    )
 
 
 def route_records(
@@ -68,13 +81,43 @@ def route_records(
     return routed | {UNROUTED: df.where(~known).withColumn(ERRORS, F.array(F.lit("BAD:tag")))}
 
 
+def tag_records(
+    df: DataFrame, col: str, tag: Column, layouts: Mapping[str, Sequence[Slot]]
+) -> DataFrame:
+    """IN-05 in one pass. ``record_type`` (``UNROUTED`` where none is declared), ``errors``, and for
+    each type a struct of its fields, NULL on records of other types. A record is parsed once, by its
+    own layout."""
+    known = {name: F.coalesce(tag == name, F.lit(False)) for name in layouts}
+    kind, codes, fields = F.lit(UNROUTED), F.array(F.lit("BAD:tag")), []
+    for name, layout in layouts.items():
+        kind, codes = F.when(known[name], name).otherwise(kind), F.when(known[name], slot_errors(col, layout)).otherwise(codes)
+        cut = F.struct(*[slot_value(col, slot).alias(slot.name) for slot in layout])
+        fields.append(F.when(known[name], cut).alias(name))
+    return df.select("*", kind.alias(RECORD_TYPE), codes.alias(ERRORS), *fields)
+
+
+def route_once(
+    df: DataFrame, col: str, tag: Column, layouts: Mapping[str, Sequence[Slot]], path: str
+) -> dict[str, DataFrame]:
+    """IN-05 at rest: the file is scanned and parsed once and written by record type below ``path``;
+    each relation of the result reads its own partition only. The raw record stays with the
+    records that no layout or not all of it fits."""
+    tagged = tag_records(df, col, tag, layouts)
+    kept = tagged.withColumn(col, F.when(F.size(ERRORS) > 0, F.col(col)))
+    routed = write_stage(kept, path, [RECORD_TYPE])
+    of = lambda name: routed.where(F.col(RECORD_TYPE) == name)
+    out = {name: of(name).select(col, f"{name}.*", ERRORS) for name in layouts}
+    return out | {UNROUTED: of(UNROUTED).select(col, ERRORS)}
+
+
 def flatten_record(
     df: DataFrame, col: str, schema: StructType | str, each: str | None = None
 ) -> DataFrame:
     """IN-06. Parse a nested JSON record and flatten it: struct fields become columns and,
     with ``each``, that array field becomes one row per element (a row with an empty array
-    is kept). Records read by ``format('xml')`` arrive as structs and skip the parse. A record
-    that is absent or does not parse leaves an error code in ``errors``."""
+    is kept). Records read by ``format('xml')`` arrive as structs and skip the parse; what the scan put
+    in ``_corrupt`` (IN-02) marks those that did not fit. A record that is absent or does not parse
+    leaves an error code in ``errors``."""
     parsed = df.schema[col].dataType
     wrong = F.when(F.col(col).isNull(), F.lit(f"MISSING:{col}"))
     record = F.col(col)
@@ -83,6 +126,8 @@ def flatten_record(
         wanted = StructType([*wanted.fields, StructField(CORRUPT_RECORD, StringType())])
         record = F.from_json(record, wanted, {"columnNameOfCorruptRecord": CORRUPT_RECORD})
         wrong = wrong.when(F.col(f"_record.{CORRUPT_RECORD}").isNotNull(), F.lit(f"BAD:{col}"))
+    elif CORRUPT in df.columns:
+        wrong = F.when(F.col(CORRUPT).isNotNull(), F.lit(f"BAD:{col}")).otherwise(wrong)
     flat = (
         df.withColumn("_record", record)
         .withColumn(ERRORS, compact([wrong]))
@@ -140,19 +185,31 @@ def normalize_text(df: DataFrame, rules: Sequence[TextRule]) -> DataFrame:
 
 def normalize_units(df: DataFrame, units: DataFrame, measure: str, unit: str = "unit") -> DataFrame:
     """IN-09. Bring ``measure`` to the contract's unit by an exact decimal factor. ``units``
-    holds ``(unit, to_unit, factor)``. The product is exact to eight decimals of either side and
-    rounded once. An unknown unit gives NULL, not a guess."""
-    factors = units.select(
-        F.col("unit").alias(unit), F.col("to_unit"), F.col("factor").cast("decimal(16,8)")
-    )
+    holds ``(unit, to_unit, factor)``. Decimals keep the scale they have, other types get eight
+    decimals (the factor nine); the product is exact where the two precisions add up to 37 digits
+    at most, and rounded once. An unknown unit gives NULL, not a guess, and so does a value that does
+    not fit; both leave an error code in ``errors``, and no row fails the job."""
+    def exact(column: Column, kind: DataType, otherwise: str) -> Column:
+        return column if isinstance(kind, DecimalType) else column.try_cast(otherwise)
+
+    factor = exact(F.col("factor"), units.schema["factor"].dataType, "decimal(15,9)")
+    factors = units.select(F.col("unit").alias(unit), "to_unit", factor.alias("factor"))
+    value = exact(F.col(measure), df.schema[measure].dataType, "decimal(22,8)")
+    product = F.try_multiply(value, F.col("factor")).try_cast("decimal(18,2)")
+    codes = [
+        F.when(F.col("to_unit").isNull(), F.lit(f"BAD:{unit}")),
+        F.when(
+            F.col("to_unit").isNotNull() & F.col(measure).isNotNull() & F.col("_product").isNull(),
+            F.lit(f"BAD:{measure}"),
+        ),
+    ]
+    before = F.col(ERRORS) if ERRORS in df.columns else F.array().cast("array<string>")
     return (
         df.join(factors, unit, "left")
-        .withColumn(
-            measure,
-            (F.col(measure).cast("decimal(22,8)") * F.col("factor")).cast("decimal(18,2)"),
-        )
-        .withColumn(unit, F.col("to_unit"))
-        .drop("to_unit", "factor")
+        .withColumn("_product", product)
+        .withColumn(ERRORS, F.concat(before, compact(codes)))
+        .withColumns({measure: F.col("_product"), unit: F.col("to_unit")})
+        .drop("to_unit", "factor", "_product")
     )
 
 

@@ -6,7 +6,7 @@ rows carry the defect.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,29 +58,51 @@ LAYOUTS = {
 }
 
 
-def mixed_records(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers, suppliers and parts as fixed-width lines of one mixed file."""
-    def line(df: DataFrame, tag: str, key: str, name: str, amount: str | None) -> DataFrame:
-        parts = [F.lit(tag), F.lpad(F.col(key).cast("string"), 12, " "), F.rpad(name, 30, " ")]
+def mixed_records(spark: SparkSession, sf: str, faulty: bool = False) -> DataFrame:
+    """Customers, suppliers and parts as fixed-width lines of one mixed file. With ``faulty``,
+    overdrawn suppliers have a tag that nobody declared, large parts none, and overdrawn customers
+    no number for an amount."""
+    def line(df: DataFrame, tag: Column, key: str, name: str, amount: Column | None) -> DataFrame:
+        parts = [tag, F.lpad(F.col(key).cast("string"), 12, " "), F.rpad(name, 30, " ")]
         if amount is not None:
-            parts.append(F.lpad(F.col(amount).cast("decimal(18,2)").cast("string"), 14, " "))
+            parts.append(F.lpad(amount, 14, " "))
         return df.select(F.concat(*parts).alias("line"))
 
+    def named(tag: str, condition: Column, otherwise: str) -> Column:
+        return F.when(condition & F.lit(faulty), otherwise).otherwise(tag)
+
+    money = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
+    owed = F.when((F.col("c_acctbal") < 0) & F.lit(faulty), "n/a").otherwise(money("c_acctbal"))
     return (
-        line(table(spark, sf, "customer"), "CUS", "c_custkey", "c_name", "c_acctbal")
-        .unionByName(line(table(spark, sf, "supplier"), "SUP", "s_suppkey", "s_name", "s_acctbal"))
-        .unionByName(line(table(spark, sf, "part"), "PRT", "p_partkey", "p_name", None))
+        line(table(spark, sf, "customer"), F.lit("CUS"), "c_custkey", "c_name", owed)
+        .unionByName(
+            line(table(spark, sf, "supplier"), named("SUP", F.col("s_acctbal") < 0, "SPX"), "s_suppkey", "s_name", money("s_acctbal"))
+        )
+        .unionByName(line(table(spark, sf, "part"), named("PRT", F.col("p_size") > 45, "   "), "p_partkey", "p_name", None))
     )
 
 
 def nested_actions(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as nested JSON actions with two payload items each."""
+    """Events as nested JSON actions with two payload items each; those of signups are cut off."""
+    record = F.concat(
+        F.lit('{"action":"'), "event_type", F.lit('","items":['), "props",
+        F.lit(',{"k":'), F.col("user_id").cast("string"), F.lit("}]}"),
+    )
+    cut = F.col("event_type") == "signup"
+    return table(spark, sf, "events").select(
+        "event_id", F.when(cut, F.substring(record, 1, 20)).otherwise(record).alias("record")
+    )
+
+
+ACTION_SCHEMA = "_id bigint, body struct<action: string, items: array<struct<k: bigint>>>"
+
+
+def xml_actions(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as nested XML actions, ready for an XML writer; one item of an error is no number."""
+    bad = F.when(F.col("event_type") == "error", "none").otherwise(F.col("user_id").cast("string"))
+    items = F.array(F.struct(F.get_json_object("props", "$.k").alias("k")), F.struct(bad.alias("k")))
     return table(spark, sf, "events").select(
-        "event_id",
-        F.concat(
-            F.lit('{"action":"'), "event_type", F.lit('","items":['), "props",
-            F.lit(',{"k":'), F.col("user_id").cast("string"), F.lit("}]}"),
-        ).alias("record"),
+        F.col("event_id").alias("_id"), F.struct(F.col("event_type").alias("action"), items.alias("items")).alias("body")
     )
 
 

@@ -6,6 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plumbline.functions.values import open_end
 from plumbline.operators import ingest, reference
@@ -15,7 +16,7 @@ from plumbline.plans.pipeline import geography, keyed_lines
 from plumbline.plans.policy import BANDS, STATUS
 from plumbline.plans.sql import KEYED, LINE_KEY
 from plumbline.sources.relations import relation
-from plumbline.sources.scan import CORRUPT, scan, scan_delimited, write_stage
+from plumbline.sources.scan import CORRUPT, scan, scan_delimited, scan_xml, write_stage
 from plumbline.sources.shared import fresh_path
 from plumbline.sources.tables import LINE_CASTS, LINE_COLUMNS, SCHEMAS, table
 
@@ -85,32 +86,57 @@ ORACLE["in_04"] = """SELECT c_custkey AS key, c_name AS name,
 
 
 def in_05(spark: SparkSession, sf: str) -> DataFrame:
-    routed = ingest.route_records(
-        inputs.mixed_records(spark, sf), "line", F.substring("line", 1, 3), inputs.LAYOUTS
+    routed = ingest.route_once(
+        inputs.mixed_records(spark, sf, faulty=True), "line", F.substring("line", 1, 3), inputs.LAYOUTS,
+        fresh_path(spark, "routed"),
     )
-    typed = {tag: df.drop("line", "errors") for tag, df in routed.items() if tag != ingest.UNROUTED}
-    return unify(typed, "tag").withColumn("amount", F.col("amount").cast("double"))
+    return unify(routed, "tag").select(
+        "tag", "key", "name", F.col("amount").cast("double").alias("amount"),
+        F.concat_ws(",", "errors").alias("errors"), "line",
+    )
+
+
+def _fixed(tag: str, key: str, name: str, amount: str = "''") -> str:
+    return f"{tag} || lpad(CAST({key} AS VARCHAR), 12, ' ') || rpad({name}, 30, ' ') || {amount}"
 
 
-ORACLE["in_05"] = """SELECT 'CUS' AS tag, c_custkey AS key, c_name AS name,
-  CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS amount FROM customer
-UNION ALL SELECT 'SUP', s_suppkey, s_name, CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS DOUBLE)
-  FROM supplier
-UNION ALL SELECT 'PRT', p_partkey, p_name, NULL FROM part"""
+_MONEY = "CAST(CAST({c} AS DECIMAL(18,2)) AS DOUBLE)"
+_PADDED = "lpad(CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS VARCHAR), 14, ' ')"
+ORACLE["in_05"] = f"""SELECT 'CUS' AS tag, c_custkey AS key, c_name AS name,
+  CASE WHEN c_acctbal >= 0 THEN {_MONEY.format(c='c_acctbal')} END AS amount,
+  CASE WHEN c_acctbal < 0 THEN 'BAD:amount' ELSE '' END AS errors,
+  CASE WHEN c_acctbal < 0 THEN {_fixed("'CUS'", 'c_custkey', 'c_name', "lpad('n/a', 14, ' ')")} END AS line FROM customer
+UNION ALL SELECT 'SUP', s_suppkey, s_name, {_MONEY.format(c='s_acctbal')}, '', NULL FROM supplier WHERE s_acctbal >= 0
+UNION ALL SELECT 'UNROUTED', NULL, NULL, NULL, 'BAD:tag', {_fixed("'SPX'", 's_suppkey', 's_name', _PADDED)}
+  FROM supplier WHERE s_acctbal < 0
+UNION ALL SELECT 'PRT', p_partkey, p_name, NULL, '', NULL FROM part WHERE p_size <= 45
+UNION ALL SELECT 'UNROUTED', NULL, NULL, NULL, 'BAD:tag', {_fixed("'   '", 'p_partkey', 'p_name')} FROM part WHERE p_size > 45"""
 
 
 def in_06(spark: SparkSession, sf: str) -> DataFrame:
-    return ingest.flatten_record(
-        inputs.nested_actions(spark, sf),
-        "record",
-        "action string, items array<struct<k: bigint>>",
-        each="items",
-    ).drop("record").withColumn("errors", F.concat_ws(",", "errors"))
+    """The same events as JSON texts, some cut off, and as XML files, some with a bad value."""
+    from_json = ingest.flatten_record(
+        inputs.nested_actions(spark, sf), "record", "action string, items array<struct<k: bigint>>", each="items"
+    ).select(F.lit("json").alias("source"), "event_id", "action", "k", "errors")
+    path = fresh_path(spark, "actions")
+    inputs.xml_actions(spark, sf).write.format("xml").option("rootTag", "acts").option("rowTag", "act").save(path)
+    records = scan_xml(spark, path, inputs.ACTION_SCHEMA, "act")
+    flat = ingest.flatten_record(records, "body", inputs.ACTION_SCHEMA, each="items")
+    flat = flat.select(F.col("_id").alias("event_id"), "action", "k", F.col("errors").alias("_shape"))
+    typed = ingest.cast_fields(flat, StructType.fromDDL("event_id bigint, action string, k bigint"))
+    from_xml = typed.select(
+        F.lit("xml").alias("source"), "event_id", "action", "k", F.concat("_shape", "errors").alias("errors")
+    )
+    return from_json.unionByName(from_xml).withColumn("errors", F.concat_ws(",", "errors"))
 
 
-ORACLE["in_06"] = """SELECT event_id, event_type AS action,
-  CAST(json_extract(props, '$.k') AS BIGINT) AS k, '' AS errors FROM events
-UNION ALL SELECT event_id, event_type, user_id, '' FROM events"""
+ORACLE["in_06"] = """SELECT 'json' AS source, event_id, event_type AS action,
+  CAST(json_extract(props, '$.k') AS BIGINT) AS k, '' AS errors FROM events WHERE event_type <> 'signup'
+UNION ALL SELECT 'json', event_id, event_type, user_id, '' FROM events WHERE event_type <> 'signup'
+UNION ALL SELECT 'json', event_id, NULL, NULL, 'BAD:record' FROM events WHERE event_type = 'signup'
+UNION ALL SELECT 'xml', event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT), '' FROM events
+UNION ALL SELECT 'xml', event_id, event_type, CASE WHEN event_type <> 'error' THEN user_id END,
+  CASE WHEN event_type = 'error' THEN 'BAD:k' ELSE '' END FROM events"""
 
 
 def _parsed_orders(spark: SparkSession, sf: str) -> DataFrame:
@@ -152,24 +178,30 @@ FROM customer"""
 
 
 def in_09(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices in four units: large money under a factor of one, tiny units under a small factor, and
+    a unit that nobody declared."""
     units = relation(
         spark,
-        "unit string, to_unit string, factor decimal(18,6)",
-        [("USD", "USD", Decimal(1)), ("CENT", "USD", Decimal("0.01"))],
+        "unit string, to_unit string, factor decimal(18,12)",
+        [("USD", "USD", Decimal(1)), ("CENT", "USD", Decimal("0.01")), ("NANO", "USD", Decimal("0.000000001"))],
     )
-    cents = F.col("l_linestatus") == "F"
     price = F.col("l_extendedprice").cast("decimal(18,2)")
+    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
+    scale = F.when(status == "F", 100).when(flag == "A", 1_000_000_000).when(flag == "R", 10_000_000_000).otherwise(1)
+    unit = F.when(status == "F", "CENT").when(flag == "A", "NANO").when(flag == "N", "POINT").otherwise("USD")
     tagged = keyed_lines(spark, sf).select(
-        "record_key",
-        F.when(cents, price * 100).otherwise(price).cast("decimal(18,2)").alias("price"),
-        F.when(cents, "CENT").otherwise("USD").alias("unit"),
+        "record_key", (price * scale.cast("decimal(12,0)")).cast("decimal(18,2)").alias("price"), unit.alias("unit")
     )
     out = ingest.normalize_units(tagged, units, "price")
-    return out.select("record_key", F.col("price").cast("double").alias("price"), "unit")
+    return out.select(
+        "record_key", F.col("price").cast("double").alias("price"), "unit", F.concat_ws(",", "errors").alias("errors")
+    )
 
 
-ORACLE["in_09"] = f"""SELECT {LINE_KEY} AS record_key,
-  CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS price, 'USD' AS unit FROM lineitem"""
+ORACLE["in_09"] = f"""WITH tagged AS (SELECT {LINE_KEY} AS record_key, CAST(l_extendedprice AS DECIMAL(18,2)) AS price,
+  l_linestatus <> 'F' AND l_returnflag = 'R' AS large, l_linestatus <> 'F' AND l_returnflag = 'N' AS unknown FROM lineitem)
+SELECT record_key, CASE WHEN NOT unknown THEN CAST(CASE WHEN large THEN CAST(price AS DECIMAL(30,2)) * 10000000000 ELSE price END AS DOUBLE) END AS price,
+  CASE WHEN NOT unknown THEN 'USD' END AS unit, CASE WHEN unknown THEN 'BAD:unit' ELSE '' END AS errors FROM tagged"""
 
 
 def in_10(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
 CORRUPT = "_corrupt"
 
@@ -35,6 +35,26 @@ def scan_delimited(
     )
 
 
+def as_text(kind: DataType) -> DataType:
+    """The same shape with text at every leaf."""
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, as_text(f.dataType)) for f in kind.fields])
+    return ArrayType(as_text(kind.elementType)) if isinstance(kind, ArrayType) else StringType()
+
+
+def scan_xml(spark: SparkSession, path: str, schema: StructType | str, row_tag: str) -> DataFrame:
+    """IN-06. Scan nested XML records of the shape of ``schema``. Values are read as text, to be cast
+    with error codes (IN-07): a value that is no number then spoils its own field alone, and the
+    reader, which keeps the text of the whole file for a record that it cannot fit, need not. Records
+    that are broken as XML carry that text in ``_corrupt``; no record is lost."""
+    wanted = as_text(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+    with_corrupt = StructType([*wanted.fields, StructField(CORRUPT, StringType())])
+    return (
+        spark.read.schema(with_corrupt).format("xml").option("rowTag", row_tag)
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).load(path)
+    )
+
+
 def write_stage(df: DataFrame, path: str, parts: Sequence[str]) -> DataFrame:
     """IN-13. Write a stage output; only the partitions present in ``df`` are replaced, so
     repeating a write changes nothing. Returns the stored relation.

@@ -1,6 +1,7 @@
 """Cases the given tables do not hold: NULL keys, malformed records, overlaps, missing periods."""
 
 import datetime as dt
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,6 +124,29 @@ def test_fixed_width_errors_and_unrouted_records(spark):
     assert bag(routed[ingest.UNROUTED].select("line")) == [("XXX   1",), (None,)]
 
 
+def test_single_pass_routing_prunes_and_keeps_what_does_not_fit(spark, tmp_path):
+    layouts = {"CUS": [ingest.Slot("n", 4, 4, LongType())], "SUP": [ingest.Slot("m", 4, 2, LongType())]}
+    lines = spark.createDataFrame([("CUSx2y4",), ("CUS  42",), ("SUP 7",), ("XXX   1",), (None,)], "line string")
+    routed = ingest.route_once(lines, "line", F.substring("line", 1, 3), layouts, str(tmp_path / "routed"))
+    assert bag(routed["CUS"].select("line", "n", F.concat_ws(",", "errors"))) == [("CUSx2y4", None, "BAD:n"), (None, 42, "")]
+    assert bag(routed["SUP"].select("line", "m")) == [(None, 7)]
+    assert bag(routed[ingest.UNROUTED].select("line", F.concat_ws(",", "errors"))) == [("XXX   1", "BAD:tag"), (None, "BAD:tag")]
+    plan = routed["CUS"]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(record_type" in plan and "SUP" not in plan
+    tagged = ingest.tag_records(lines, "line", F.substring("line", 1, 3), layouts)
+    assert tagged._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 1
+
+
+def test_units_of_any_size_do_not_fail_the_job(spark):
+    units = spark.createDataFrame(
+        [("USD", "USD", Decimal(1)), ("N", "USD", Decimal("0.000000001")), ("M", "USD", Decimal(10**6))], "unit string, to_unit string, factor decimal(18,10)"
+    )
+    rows = [("USD", Decimal(2 * 10**14)), ("N", Decimal(10**9)), ("M", Decimal(10**15)), ("?", Decimal(1)), ("N", None)]
+    df = spark.createDataFrame(rows, "unit string, m decimal(18,2)")
+    got = bag(ingest.normalize_units(df, units, "m").select("m", F.concat_ws(",", "errors")))
+    assert got == sorted([(Decimal("200000000000000.00"), ""), (Decimal("1.00"), ""), (None, "BAD:m"), (None, "BAD:unit"), (None, "")], key=repr)
+
+
 def test_malformed_nested_records_carry_an_error(spark):
     rows = spark.createDataFrame([('{"a": 1}',), ("{nope",), (None,)], "r string")
     got = ingest.flatten_record(rows, "r", "a long")
