@@ -12,6 +12,7 @@ from plumbline.functions.values import join_null_safe
 from plumbline.operators.history import build_history, latest, number_rows
 from plumbline.operators.intervals import asof
 from plumbline.operators.warehouse import UNKNOWN_SK, resolve_fk
+from plumbline.sources.shared import store
 
 
 def dim_type1(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -123,8 +124,14 @@ def fact_holding(
     )
 
 
+# A cell of DF-07 with more instants than this is a burst, and slices follow the density instead.
+BURST = 1_000_000
+# Instants to a slice.
+SLICE = 512
+
+
 def fact_trailing(
-    df: DataFrame, key: str, ts: str, value: str, span_seconds: int, parts: int
+    df: DataFrame, key: str, ts: str, value: str, span_seconds: int, parts: int, burst: int = BURST
 ) -> DataFrame:
     """DF-07. Highest and lowest ``value`` of the key over ``[t - span, t]`` for every row.
 
@@ -132,6 +139,9 @@ def fact_trailing(
     into cells of ``span / parts``, and the span behind ``t`` is the sum of three pieces: the
     end of the cell that holds ``t - span``, the whole cells between, and the start of the own
     cell. No task holds more than one cell of one key; only one row per cell crosses cells.
+
+    Where a cell holds more than ``burst`` instants (they are counted first), slices of equally many
+    instants take the place of cells, so a burst of any size is spread; results are the same.
     """
     if span_seconds % parts:
         raise ValueError("parts must divide the span")
@@ -144,6 +154,94 @@ def fact_trailing(
         .agg(F.max(value).alias("_hi"), F.min(value).alias("_lo"))
         .withColumn("_cell", F.floor(F.col("_t") / width))
     )
+    rows = df.select(key, F.floor(micros(ts) / width).alias("_cell")).groupBy(key, "_cell").count()
+    if not rows.where(F.col("count") > burst).isEmpty():
+        extremes = trailing_by_density(points.drop("_cell"), key, span)
+    else:
+        extremes = _trailing_by_cells(points, key, span, parts)
+    return join_null_safe(df.withColumn("_t", micros(ts)), extremes, [key, "_t"], "left").drop("_t")
+
+
+def trailing_by_density(
+    points: DataFrame, key: str, span: int, size: int = SLICE, hot_rows: int | None = HOT_ROWS
+) -> DataFrame:
+    """Trailing extremes of ``points (key, _t, _hi, _lo)``, one per key and instant.
+
+    Points are numbered by key and instant, and ``size`` of them make a slice. A point's span begins
+    at the first number at or after ``_t - span``, found on a timeline. Its extremes are those of three
+    pieces: the end of the slice it begins in, the whole slices between, and its own slice up to the
+    point, a range window over ``size`` rows at most. Whole slices are looked up in a table of
+    extremes over 1, 2, 4, … slices, of which two cover any number of them; pairs of first and last
+    slice are few, about two per slice.
+    """
+    numbered = store(
+        number_rows(points, [key, "_t"], "_n").withColumn("_slice", F.floor(F.col("_n") / size)), "points"
+    )
+    asks = numbered.select(key, (F.col("_t") - span).alias("_t"), F.lit(0).alias("_kind"), F.col("_n").alias("_for"))
+    marks = numbered.select(key, "_t", F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_for"), "_n")
+    line = Timeline(
+        asks.withColumn("_n", F.lit(None).cast("bigint")).unionByName(marks), [key], ["_t", "_kind"], hot_rows
+    ).last_known(F.col("_n"), "_before")
+    # Before its first point a key has none: its span begins with that.
+    first = numbered.groupBy(key).agg(F.min("_n").alias("_least"))
+    begins = join_null_safe(line.rows().where("_kind = 0").select(key, "_for", "_before"), first, [key], "left").select(
+        F.col("_for").alias("_n"), F.coalesce(F.col("_before") + 1, F.col("_least")).alias("_from")
+    )
+    near = Window.partitionBy(key, "_slice").orderBy("_t").rangeBetween(-span, 0)
+    to_end = Window.partitionBy("_slice").orderBy(F.desc("_n"))
+    placed = store(
+        numbered.withColumns(
+            {
+                "_own_hi": F.max("_hi").over(near), "_own_lo": F.min("_lo").over(near),
+                "_end_hi": F.max("_hi").over(to_end), "_end_lo": F.min("_lo").over(to_end),
+            }
+        ).join(begins, "_n").withColumn("_from_slice", F.floor(F.col("_from") / size)),
+        "placed",
+    )
+    across = placed.where(F.col("_from_slice") < F.col("_slice"))
+    tails = placed.select(F.col("_n").alias("_from"), F.col("_end_hi").alias("_tail_hi"), F.col("_end_lo").alias("_tail_lo"))
+    pairs = across.where(F.col("_slice") - F.col("_from_slice") > 1).select("_from_slice", "_slice").distinct()
+    whole = between_slices(numbered, store(pairs, "pairs"))
+    pieces = (
+        across.select("_n", "_from", "_from_slice", "_slice").join(tails, "_from")
+        .join(whole, ["_from_slice", "_slice"], "left")
+        .select("_n", "_tail_hi", "_tail_lo", "_mid_hi", "_mid_lo")
+    )
+    return placed.join(pieces, "_n", "left").select(
+        key, "_t",
+        F.greatest("_own_hi", "_tail_hi", "_mid_hi").alias("trailing_high"),
+        F.least("_own_lo", "_tail_lo", "_mid_lo").alias("trailing_low"),
+    )
+
+
+def between_slices(numbered: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``_mid_hi, _mid_lo`` of the slices strictly between those of each pair."""
+    length = F.col("_slice") - F.col("_from_slice") - 1
+    most = pairs.agg(F.max(length)).first()[0] or 0
+    level = store(
+        numbered.groupBy(F.col("_slice").alias("_s")).agg(F.max("_hi").alias("_mid_hi"), F.min("_lo").alias("_mid_lo")), "level"
+    )
+    table, reach = level.withColumn("_reach", F.lit(1).cast("bigint")), 1
+    while 2 * reach <= most:
+        onward = level.select((F.col("_s") - reach).alias("_s"), F.col("_mid_hi").alias("_h"), F.col("_mid_lo").alias("_l"))
+        level = store(
+            level.join(onward, "_s").select(
+                "_s", F.greatest("_mid_hi", "_h").alias("_mid_hi"), F.least("_mid_lo", "_l").alias("_mid_lo")
+            ),
+            "level",
+        )
+        reach *= 2
+        table = table.unionByName(level.withColumn("_reach", F.lit(reach).cast("bigint")))
+    # The largest power of two within the length, from both ends.
+    half = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.floor(F.log2(length)).cast("int"))
+    ends = F.explode(F.array(F.col("_from_slice") + 1, F.col("_slice") - F.col("_reach"))).alias("_s")
+    return (
+        pairs.withColumn("_reach", half).select("_from_slice", "_slice", "_reach", ends).join(table, ["_reach", "_s"])
+        .groupBy("_from_slice", "_slice").agg(F.max("_mid_hi").alias("_mid_hi"), F.min("_mid_lo").alias("_mid_lo"))
+    )
+
+
+def _trailing_by_cells(points: DataFrame, key: str, span: int, parts: int) -> DataFrame:
     begin = Window.partitionBy(key, "_cell").orderBy("_t")
     own = points.select(
         key,
@@ -175,7 +273,7 @@ def fact_trailing(
         .where("_ask")
         .select(key, (F.col("_t") + span).alias("_t"), "_tail_hi", "_tail_lo")
     )
-    extremes = (
+    return (
         join_null_safe(join_null_safe(own, whole, [key, "_cell"], "left"), tails, [key, "_t"], "left")
         .select(
             key,
@@ -184,7 +282,6 @@ def fact_trailing(
             F.least("_own_lo", "_mid_lo", "_tail_lo").alias("trailing_low"),
         )
     )
-    return join_null_safe(df.withColumn("_t", micros(ts)), extremes, [key, "_t"], "left").drop("_t")
 
 
 def micros(ts: str) -> Column:
