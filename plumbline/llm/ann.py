@@ -11,7 +11,8 @@ so equal vectors tie exactly. Each shard returns k rows per query, which are mer
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and
 null ids, take no part; queries only meet vectors of their own length; a query never meets its
 own id, though it does meet equal vectors of other ids; fewer candidates than k give all of them;
-repeated rows of an id are candidates each and one query; an empty table gives an empty result.
+repeated rows of an id are candidates each and one query; an id on several vectors asks with the
+least of them, compared entry by entry; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import stored
-from plumbline.llm.vectors import unit, usable
+from plumbline.llm.vectors import scaled, unit, usable
 
 SHARD_ROWS = 2048
 QUERY_BLOCK = 8192
@@ -38,6 +39,7 @@ class Tree:
     """Nodes are ``(vantage, radius, inner, outer)`` over unit vectors, leaves arrays of rows."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        vectors = scaled(vectors) if len(vectors) else vectors
         self.ids, self.vectors, self.unit = ids, vectors, unit(vectors)
         self.length = np.sqrt((vectors * vectors).sum(axis=1))
         self.root = self._split(np.arange(len(ids)))
@@ -55,6 +57,7 @@ class Tree:
 
     def nearest(self, ids: np.ndarray, vectors: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the ``k`` best per query (-1: none), and their scores, best first."""
+        vectors = scaled(vectors)
         self.q_ids, self.q, self.q_unit = ids, vectors, unit(vectors)
         self.q_length = np.sqrt((vectors * vectors).sum(axis=1))
         self.best = np.full((len(ids), k), -1)
@@ -128,8 +131,9 @@ def nearest(
         "dim", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"),
         every(blocks, "block"), "id", "vector",
     )
-    queries = rows.where("is_query").select(
-        F.col("dim").alias("q_dim"),
+    asking = rows.where("is_query").groupBy("id").agg(F.min("vector").alias("vector"))
+    queries = asking.select(
+        F.size("vector").alias("q_dim"),
         F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks)).cast("int").alias("q_block"),
         every(shards, "q_shard"), F.col("id").alias("q_id"), F.col("vector").alias("q_vector"),
     )
@@ -137,7 +141,7 @@ def nearest(
     def meet(shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(shard) or not len(block):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        shard, block = shard.sort_values("id"), block.drop_duplicates("q_id")
+        shard = shard.sort_values("id")
         tree = Tree(shard["id"].to_numpy(np.int64), np.array(shard["vector"].tolist(), dtype=float))
         ids = block["q_id"].to_numpy(np.int64)
         best, score = tree.nearest(ids, np.array(block["q_vector"].tolist(), dtype=float), k, factor)

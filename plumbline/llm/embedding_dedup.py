@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import components, stored
 from plumbline.llm.hnsw import Graph
 from plumbline.llm.vectors import unit, usable
+from plumbline.operators.history import number_rows
 
 THRESHOLD = 0.98
 SHARD_ROWS = 8192
@@ -194,25 +195,25 @@ def dedup_vectors(
     )
     rows = stored(marked, "vectors")
     same = [*GROUP, "h1", "h2"]
-    classes = stored(
-        rows.where("part").groupBy(*same).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("weight")),
-        "classes",
-    )
+    firsts = rows.where("part").groupBy(*same).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("weight"))
+    # A node is one vector, numbered in the order of its smallest id, as one id may stand on several.
+    classes = stored(number_rows(firsts, ["first", *same], "node"), "classes")
     nodes = (
         given.where(takes_part)
         .select("id", "label", F.size("vector").alias("dim"), "vector", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2"))
         .join(classes, same).where(F.col("id") == F.col("first"))
-        .dropDuplicates(["id", *same])
-        .select("id", *GROUP, "vector", "weight")
+        .dropDuplicates(["node"])
+        .select(F.col("node").alias("id"), *GROUP, "vector", "weight")
     )
     found = find_links(nodes, threshold, shard_rows, beam)
-    counts = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("first")).agg(F.sum("n").alias("n"))
-    groups = components(found.where(F.col("b").isNotNull()).select("a", "b")).withColumnRenamed("node", "first")
+    counts = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    names = classes.select(F.col("node").alias("component"), F.col("first").alias("name"))
+    groups = components(found.where(F.col("b").isNotNull()).select("a", "b")).join(names, "component")
     judged = (
-        classes.join(counts, "first", "left").join(groups, "first", "left")
+        classes.join(counts, "node", "left").join(groups, "node", "left")
         .select(
             *same, (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-            F.coalesce("component", "first").alias("component_id"),
+            F.coalesce("name", "first").alias("component_id"),
         )
     )
     linked = rows.where("part").join(judged, same).select("id", "n_links", "component_id")

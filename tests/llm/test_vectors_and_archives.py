@@ -137,6 +137,25 @@ def test_nearest_equals_brute_force(spark, shard_rows, block):
     assert nearest(table(spark, []), F.lit(True), 5).count() == 0
 
 
+def test_shared_ids_and_any_magnitude(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    near_a, near_b = [1.0, 0.01, 0.0], [0.01, 1.0, 0.0]
+    schema = "vec_id long, embedding array<double>, label int"
+    rows = [(1, a, 0), (1, b, 0), (2, near_a, 0), (3, near_b, 0), (0, near_b, 1)]
+    got = sorted(map(tuple, dedup_vectors(spark.createDataFrame(rows, schema)).collect()))
+    # Both vectors of id 1 have one link each; their components stay apart but for the name.
+    assert got == [(0, 0, 0, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+    sizes = [1e200, 1e308, 1e-200, 5e-324, 1.0]
+    vectors = [(i * 20, [s, s, 0.0], 0) for i, s in enumerate(sizes)] + [(7, [0.0, 0.0, 1.0], 0)]
+    found = nearest(spark.createDataFrame(vectors, schema), F.col("vec_id") % 20 == 0, 5).collect()
+    assert all(r.score == pytest.approx(1.0) for r in found if r.vec_id != 7) and len(found) == 25
+    twice = [(0, b, 0), (0, a, 0), (5, near_a, 0), (6, near_b, 0)]
+    for order in (twice, twice[::-1]):
+        rows = nearest(spark.createDataFrame(order, schema).repartition(3), F.col("vec_id") == 0, 2, shard_rows=1).collect()
+        # The lesser of the two vectors asks.
+        assert [(r.rank, r.vec_id) for r in sorted(rows)] == [(1, 6), (2, 5)]
+
+
 def test_relaxed_pruning_keeps_most(spark):
     vectors = clustered(d=4).astype(float)
     ids = np.arange(len(vectors))
