@@ -37,10 +37,10 @@ def order_key(salt: str, column: str) -> Column:
     return F.md5(F.concat(F.lit(f"{salt}:"), text))
 
 
-def slice_digits(rows: int) -> int:
+def slice_digits(rows: int, least: int = LEAST_SLICE_DIGITS) -> int:
     """Leading digits of an order key that cut ``rows`` rows into slices of SLICE_ROWS."""
     slices = max(1, rows / SLICE_ROWS)
-    return max(LEAST_SLICE_DIGITS, math.ceil(math.log(slices, 16)))
+    return max(least, math.ceil(math.log(slices, 16)))
 
 
 def total_before(
@@ -52,16 +52,18 @@ def total_before(
     name: str,
     rows: int,
     measured: DataFrame | None = None,
+    least_digits: int = LEAST_SLICE_DIGITS,
 ) -> DataFrame:
     """Add ``name``: the sum of ``value`` over the rows of the same group that come before this
     one in the order of ``key`` (an ``order_key``), then ``ties``.
 
     The key is uniform, so its leading digits are ranges of equal share: each range of a group
     is summed in a window of its own, and the ranges before it are added from one small table.
-    A group of any size is spread over all tasks. ``group`` columns must not be null.
+    A group of any size is spread over all tasks; ``rows`` are those of the largest. ``group`` columns
+    must not be null.
     ``measured`` is a cheaper relation with the same groups, keys and values, where there is one.
     """
-    digits = slice_digits(rows)
+    digits = slice_digits(rows, least_digits)
     cut = F.substring(F.col(key), 1, digits)
     source = df if measured is None else measured
     sums = (

@@ -100,7 +100,7 @@ def shard_rows(
     )
     ranked = total_before(
         rows, ["_pl_cell"], "_pl_key", ["doc_id", "size", "text_crc32"],
-        F.lit(1).cast("bigint"), "_pl_rank", sum(counts.values()) // CELLS,
+        F.lit(1).cast("bigint"), "_pl_rank", max(counts.values(), default=0), least_digits=0,
     )
     inside = (F.col("_pl_rank") >= F.col("_pl_first")) & (F.col("_pl_rank") < F.col("_pl_last"))
     return (
