@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.sources.shared import checked_keys
+
 TRAIN_ROWS = 40_000
 FOLDS = 5
 BINS = 64
@@ -193,11 +195,15 @@ def held_out(doc_id: str) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Additive:
-    """Fit on labelled documents outside the held-out fold."""
+    """Fit on labelled documents outside the held-out fold, ``train_rows`` of them at most in
+    expectation: labels are cut by a hash of their id, then documents (an id may stand on any number)
+    by a hash of id and text; equal rows count once."""
     usable = labels.where(F.col("quality").isin(0, 1) & ~held_out("doc_id")).select("doc_id", "quality")
     share = min(1.0, train_rows / max(1, usable.count()))
     place = F.conv(F.substring(F.md5(F.concat(F.lit("fit:"), F.col("doc_id").cast("string"))), 1, 8), 16, 10)
-    chosen = usable.where(place.cast("double") < share * 2.0**32)
+    chosen = checked_keys(usable.where(place.cast("double") < share * 2.0**32))
+    standing = docs.select("doc_id").join(chosen, "doc_id").count()
+    row = F.pmod(F.xxhash64(F.lit("fit"), "doc_id", "text"), F.lit(1 << 32)) / F.lit(2.0**32)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -205,7 +211,9 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> A
             yield pd.DataFrame({"quality": batch["quality"].astype("int32"), "x": values})
 
     rows = (
-        docs.select("doc_id", "text").join(chosen, "doc_id").select("quality", "text")
+        docs.select("doc_id", "text").join(chosen, "doc_id")
+        .where(row < min(1.0, train_rows / max(1, standing)))
+        .dropDuplicates(["doc_id", "text", "quality"]).select("quality", "text")
         .mapInPandas(measure, "quality int, x array<double>")
         .toPandas()
     )
