@@ -11,7 +11,7 @@ Only DataFrame functions are used. A source with a third of all rows is spread o
 (``total_before``); the driver sees one pair of sums per round of re-sharing.
 
 Defined results: a null text has size 0; a null source is one source, numbered last; rows that
-repeat a ``doc_id`` are documents of their own, ordered by size; documents without words are
+repeat a ``doc_id`` are documents of their own, ordered by their texts' hashes; documents without words are
 never taken; an empty table gives an empty result. Other columns pass through.
 """
 
@@ -64,7 +64,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """All rows and columns of ``docs`` with ``_pl_size``, ``_pl_source_size``, ``_pl_target``,
     ``_pl_taken`` (words taken, repeats counted) and ``_pl_copies`` (times the document is
     begun)."""
-    keyed = docs.withColumn("_pl_size", words(text)).withColumn("_pl_key", order_key("mix", doc_id))
+    # The text takes part, so that one id on very many texts is no hot slice, and reruns agree.
+    named = F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    keyed = docs.withColumn("_pl_size", words(text)).withColumn("_pl_name", named)
+    keyed = keyed.withColumn("_pl_key", order_key("mix", "_pl_name")).drop("_pl_name")
     small = stored(keyed.select(source, "_pl_size", "_pl_key"), "sizes")
     targets = source_targets(small, source, "_pl_size").withColumnRenamed(source, "_pl_name")
 

@@ -134,7 +134,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = rf"""
 WITH sized AS (
-  SELECT doc_id, source, md5('mix:' || doc_id) AS h,
+  SELECT doc_id, source, md5('mix:' || doc_id || ':' || md5(coalesce(text, ''))) AS h,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents
 ), src AS (

@@ -54,16 +54,16 @@ def targets(sizes: dict) -> dict:
 def taken(docs: list[tuple]) -> list[tuple]:
     """(doc_id, size, source_size, target, taken) of (doc_id, text, source)."""
     sizes = defaultdict(int)
-    rows = [(d, len(WORD.findall(t or "")), s) for d, t, s in docs]
-    for _, n, s in rows:
+    rows = [(d, len(WORD.findall(t or "")), s, hashlib.md5((t or "").encode()).hexdigest()) for d, t, s in docs]
+    for _, n, s, _ in rows:
         sizes[s] += n
     goal, out = targets(sizes), []
     for source in sizes:
         budget = math.floor(goal[source] + 0.5)
         rounds, rest = divmod(budget, sizes[source]) if sizes[source] else (0, 0)
         own = [r for r in rows if r[2] == source]
-        own.sort(key=lambda r: (hashlib.md5(f"mix:{'null' if r[0] is None else r[0]}".encode()).hexdigest(), r[1]))
-        for doc_id, n, _ in own:
+        own.sort(key=lambda r: (hashlib.md5(f"mix:{'null' if r[0] is None else r[0]}:{r[3]}".encode()).hexdigest(), r[1]))
+        for doc_id, n, _, _ in own:
             out.append((doc_id, n, sizes[source], goal[source], rounds * n + max(0, min(rest, n))))
             rest -= n
     return out
