@@ -2,7 +2,7 @@
 
 A contract is a row of a relation. The gate does not run one query per contract. Each relation is
 scanned once, whatever the number of contracts on it, and every row gives *entries*
-``(slot, key, side, amount, shown)``:
+``(slot, key, side, amount)``:
 
 - a check of the row alone (``cause``, ``unit``, ``provenance``) gives an entry only where it fails;
 - a check of keys gives an entry per row: ``grain`` on one side; ``domain``, ``fk``, ``keys``, ``fanout``,
@@ -21,6 +21,7 @@ from dataclasses import astuple, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from plumbline.functions.values import NULL_MARK, row_fingerprint
 from plumbline.operators.verify import check_schema, check_time
@@ -73,12 +74,15 @@ def read_contracts(contracts: DataFrame) -> list[Contract]:
     return [Contract(*[tuple(v) if isinstance(v, list) else v for v in r]) for r in rows]
 
 
-def named(columns: Sequence[str]) -> Column:
+def named(df: DataFrame, columns: Sequence[str]) -> Column:
     """Columns as one text; NULL is a value."""
-    parts = [
-        F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit(NULL_MARK)) for c in columns
-    ]
-    return F.concat_ws("|", *parts)
+    parts = []
+    for c in columns:
+        text = F.col(c).cast("string")
+        if isinstance(df.schema[c].dataType, StringType) and len(columns) > 1:
+            text = F.replace(text, F.lit("|"), F.lit("\\|"))
+        parts.append(F.coalesce(text, F.lit(NULL_MARK)))
+    return parts[0] if len(parts) == 1 else F.concat_ws("|", *parts)
 
 
 def fingerprint(columns: Sequence[str]) -> Column:
@@ -97,36 +101,40 @@ class Gate:
         self.apart: dict[int, DataFrame] = {}
         self.known: dict[int, int] = {}
 
+    def named(self, frame: str, columns: Sequence[str]) -> Column:
+        return named(self.frames[frame], columns)
+
     def slot(self, name: tuple) -> tuple[int, bool]:
         """Its number, and whether it is new."""
         fresh = name not in self.slots
         return self.slots.setdefault(name, len(self.slots)), fresh
 
     def give(
-        self, frame: str, slot: int, side: int, key: Column, shown: Column | None = None,
-        amount: Column | None = None, when: Column | None = None,
+        self, frame: str, slot: int, side: int, key: Column, amount: Column | None = None, when: Column | None = None
     ) -> None:
         entry = F.struct(
             F.lit(slot).alias("slot"), key.alias("key"), F.lit(side).alias("side"),
             (F.lit(None) if amount is None else amount).try_cast(AMOUNT).alias("amount"),
-            (key if shown is None else shown).alias("shown"),
         )
         self.entries.setdefault(frame, []).append(entry if when is None else F.when(when, entry))
 
-    def test(self, no: int, slot: int, condition: Column, weight: Column | None = None) -> None:
+    def test(
+        self, no: int, slot: int, condition: Column, weight: Column | None = None, shown: Column | None = None
+    ) -> None:
         """Contract ``no`` is violated by the keys of a slot for which ``condition`` holds."""
+        sample = F.col("key") if shown is None else shown
         count = (F.lit(1) if weight is None else weight).cast("bigint")
         self.tests.append(
             F.when(
                 (F.col("slot") == slot) & condition,
-                F.struct(F.lit(no).alias("no"), count.alias("n"), F.col("shown")),
+                F.struct(F.lit(no).alias("no"), count.alias("n"), sample.alias("shown")),
             )
         )
 
     def row(self, no: int, c: Contract, bad: Column) -> None:
         """A check of single rows: those that fail count each."""
         slot, _ = self.slot(("row", no))
-        self.give(c.relation, slot, 0, named(c.grain), when=F.coalesce(bad, F.lit(False)))
+        self.give(c.relation, slot, 0, self.named(c.relation, c.grain), when=F.coalesce(bad, F.lit(False)))
         self.test(no, slot, F.lit(True), F.col("n0"))
 
     def edge(self, c: Contract, left: Sequence[str], right: Sequence[str], measure: str | None = None) -> int:
@@ -134,7 +142,7 @@ class Gate:
         slot, fresh = self.slot(("edge", c.relation, c.other, tuple(left), tuple(right), measure))
         if fresh:
             for side, frame, key in ((0, c.relation, left), (1, c.other, right)):
-                self.give(frame, slot, side, named(key), amount=None if measure is None else F.col(measure))
+                self.give(frame, slot, side, self.named(frame, key), amount=None if measure is None else F.col(measure))
         return slot
 
     def values(self, no: int, c: Contract, null_is_legal: bool) -> None:
@@ -143,8 +151,8 @@ class Gate:
         slot, fresh = self.slot(("values", c.relation, c.other, own, legal, null_is_legal))
         if fresh:
             when = F.col(own).isNotNull() if null_is_legal else None
-            self.give(c.relation, slot, 0, named([own]), when=when)
-            self.give(c.other, slot, 1, named([legal]), when=F.col(legal).isNotNull())
+            self.give(c.relation, slot, 0, self.named(c.relation, [own]), when=when)
+            self.give(c.other, slot, 1, self.named(c.other, [legal]), when=F.col(legal).isNotNull())
         self.test(no, slot, (F.col("n0") > 0) & (F.col("n1") == 0))
 
     def grain(self, no: int, c: Contract) -> None:
@@ -155,7 +163,7 @@ class Gate:
                 return self.test(no, slot, F.col("n1") > 1)
         slot, fresh = self.slot(("grain", c.relation, c.grain))
         if fresh:
-            self.give(c.relation, slot, 0, named(c.grain))
+            self.give(c.relation, slot, 0, self.named(c.relation, c.grain))
         return self.test(no, slot, F.col("n0") > 1)
 
     def add(self, no: int, c: Contract) -> None:
@@ -188,11 +196,11 @@ class Gate:
             slot, _ = self.slot(("equal", no))
             columns = self.frames[c.relation].columns
             for side, frame in ((0, c.relation), (1, c.other)):
-                self.give(frame, slot, side, fingerprint(columns), named(c.grain))
-            self.test(no, slot, n0 != n1)
+                self.give(frame, slot, side, F.concat_ws("#", fingerprint(columns), self.named(frame, c.grain)))
+            self.test(no, slot, n0 != n1, shown=F.expr("substring(key, instr(key, '#') + 1)"))
         elif c.kind == "time":
             faults = check_time(self.frames[c.relation], list(c.grain))
-            self.apart[no] = faults.select(F.lit(no).alias("no"), F.lit(1).cast("bigint").alias("n"), named([*c.grain, "fault"]).alias("shown"))
+            self.apart[no] = faults.select(F.lit(no).alias("no"), F.lit(1).cast("bigint").alias("n"), named(faults, [*c.grain, "fault"]).alias("shown"))
         elif c.kind == "schema":
             self.known[no] = check_schema(self.frames[c.relation], self.frames[c.other].schema).count()
         else:
@@ -222,7 +230,6 @@ class Gate:
             counted = out.groupBy("slot", "key").agg(
                 F.count_if(side(0)).alias("n0"), F.count_if(side(1)).alias("n1"),
                 F.sum(F.when(side(0), F.col("amount"))).alias("a0"), F.sum(F.when(side(1), F.col("amount"))).alias("a1"),
-                F.min("shown").alias("shown"),
             )
             out = counted.select(F.explode(F.array_compact(F.array(*self.tests))).alias("e")).select("e.*")
         for part in self.apart.values():

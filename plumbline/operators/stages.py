@@ -15,7 +15,7 @@ key with itself, and is not written.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -42,11 +42,13 @@ class Stage:
 
 @dataclass(frozen=True)
 class Run:
-    """What a run left: the source (as stage 0) and every stage's output, by number, and the
-    edges relation; after a rerun also the keys that it touched, by number."""
+    """What a run left: the source (as stage 0) and every stage's output, by number, the edges
+    relation, and the stages whose outputs are stored; after a rerun also the keys that it touched,
+    by number."""
 
     outputs: Mapping[int, DataFrame]
     edges: DataFrame | None
+    keep: frozenset[int]
     touched: Mapping[int, DataFrame] = field(default_factory=dict)
 
 
@@ -56,16 +58,20 @@ def edge_rows_of(stage: Stage, given: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def run_stages(source: DataFrame, stages: Sequence[Stage]) -> Run:
-    """Run all stages in order, each from the stored output of the one before."""
+def run_stages(source: DataFrame, stages: Sequence[Stage], keep: Collection[int] | None = None) -> Run:
+    """Run all stages in order, each from the output of the one before. All outputs are stored, or
+    those of ``keep``: a stage that is cheap and looks at single rows may be left out, and is computed
+    again from the last stored output wherever its own is asked for."""
+    kept = frozenset(s.number for s in stages) if keep is None else frozenset(keep)
     outputs, edges, path = {0: source}, None, None
     for stage in stages:
         given = outputs[stage.number - 1]
-        outputs[stage.number] = store(stage.run(given), f"stage-{stage.number}")
+        out = stage.run(given)
+        outputs[stage.number] = store(out, f"stage-{stage.number}") if stage.number in kept else out
         if stage.to_key is not None:
             path = path or fresh_path(source.sparkSession, "edges")
             edges = write_stage(edge_rows_of(stage, given), path, ["edge"])
-    return Run(outputs, edges)
+    return Run(outputs, edges, kept)
 
 
 def fingerprints(stage: Stage, rows: DataFrame) -> DataFrame:
@@ -132,7 +138,9 @@ def rerun(run: Run, stages: Sequence[Stage], start: int, keys: DataFrame) -> Run
             # Groups are whole only with all their rows, those that did not change among them.
             groups = after.withColumnRenamed(KEY, "_group")
             source = given.join(groups, stage.to_key == F.col("_group"), "left_semi")
-        redone = store(stage.run(source), f"again-{stage.number}")
+        redone = stage.run(source)
+        if stage.number in run.keep:
+            redone = store(redone, f"again-{stage.number}")
         outputs[stage.number] = run.outputs[stage.number].join(after, KEY, "left_anti").unionByName(redone)
         touched[stage.number] = at = after
     return replace(run, outputs=outputs, touched=touched)

@@ -164,7 +164,7 @@ def gv_05_replay(spark: SparkSession, sf: str) -> DataFrame:
     """Every fault at once, each stage replayed on what it should have been given: a line is traced
     to every stage that fails it, behind whatever other fault."""
     reviewed = stages.pipeline_stages(spark, sf)
-    run = run_stages(stages.source(spark, sf), reviewed)
+    run = run_stages(stages.source(spark, sf), reviewed, stages.KEPT)
     return own_divergence(stages.pipeline_stages(spark, sf, stages.ALL), reviewed, run)
 
 
@@ -244,7 +244,7 @@ def _policy_change(spark: SparkSession, sf: str) -> tuple:
     """The recorded run under the old policy, the stages under the new one, and the lines whose rule
     the change moves."""
     old = stages.pipeline_stages(spark, sf)
-    run = run_stages(stages.source(spark, sf), old)
+    run = run_stages(stages.source(spark, sf), old, stages.KEPT)
     moved = govern.policy_diff(run.outputs[3], LINE_RULES, LINE_RULES_NEXT)
     return run, stages.pipeline_stages(spark, sf, rules=LINE_RULES_NEXT), moved
 
@@ -284,7 +284,8 @@ def gv_11(spark: SparkSession, sf: str) -> DataFrame:
     run, changed, moved = _policy_change(spark, sf)
     whole = dict(run.outputs)
     for stage in changed[3:]:
-        whole[stage.number] = store(stage.run(whole[stage.number - 1]), f"full-{stage.number}")
+        out = stage.run(whole[stage.number - 1])
+        whole[stage.number] = store(out, f"full-{stage.number}") if stage.number in run.keep else out
     selective = rerun(run, changed, 4, moved)
     forgetful = rerun(replace(run, edges=run.edges.limit(0)), changed, 4, moved)
     out = None

@@ -19,6 +19,8 @@ from plumbline.plans.policy import FAULT, FAULTS, LINE_RULES, LINE_RULES_SWAPPED
 from plumbline.sources.tables import table
 
 ALL = tuple(f.fault_id for f in FAULTS)
+# Stages with joins or aggregates; the others look at single rows and are not stored.
+KEPT = (3, 6, 7)
 METRIC_COLUMNS = ("n_lines", "amount", "discount")
 
 
