@@ -11,7 +11,7 @@ from plumbline.operators import classify, govern
 from plumbline.operators.govern import ALL_FAULTS, CONTROL, RUN
 from plumbline.operators.reference import lookup
 from plumbline.operators.stages import close_over, own_divergence, rerun, run_stages
-from plumbline.plans import arms, pipeline, stages
+from plumbline.plans import arms, pipeline, raw_run, stages
 from plumbline.plans.policy import FAULT, FAULTS, LINE_RULES, LINE_RULES_NEXT, STATUS
 from plumbline.plans.queries_classify import M1, M2, RULED, SAID
 from plumbline.plans.sql import JOINED, RULE, rule
@@ -34,6 +34,9 @@ ORACLE["flagship"] = f"""WITH {PLACED} SELECT region, rule_id, priority, count(*
   CAST(sum(price) AS DOUBLE) AS amount FROM placed GROUP BY 1, 2, 3"""
 
 
+QUERIES["raw_run"], ORACLE["raw_run"] = raw_run.raw_run, raw_run.RAW_RUN_SQL
+
+
 def gv_01(spark: SparkSession, sf: str) -> DataFrame:
     parsed = pipeline.order_lines(spark, sf).withColumns(
         {"rule_id": F.lit("PARSE"), "disposition": F.lit("ACCEPTED")}
