@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import classify
+from plumbline.operators.rule_index import classify_indexed
 from plumbline.plans.pipeline import keyed_lines, order_lines
 from plumbline.plans.policy import EVENT_TYPES, LINE_RULES
 from plumbline.plans.sql import JOINED, KEYED, RULE
@@ -53,6 +54,41 @@ CASE rule_id WHEN 'R1' THEN 'l_shipdate=' || strftime(l_shipdate, '%Y-%m-%d %H:%
   WHEN 'R4' THEN 'l_returnflag=' || l_returnflag ELSE '' END AS evidence FROM ruled"""
 
 
+def part_policy(spark: SparkSession, sf: str) -> DataFrame:
+    """A policy of one rule per part and one per supplier: small quantities of a part, of parts of odd
+    size only where the line was returned; then whatever else a supplier got back."""
+    odd = F.when(F.col("p_size") % 2 == 1, F.array(F.lit("returned"))).otherwise(F.array().cast("array<string>"))
+    text = lambda c: F.col(c).cast("string")
+    parts = table(spark, sf, "part").select(
+        F.concat(F.lit("P"), "p_partkey").alias("rule_id"), F.col("p_partkey").alias("ord"), F.lit("SMALL").alias("disposition"),
+        F.create_map(F.lit("l_partkey"), text("p_partkey")).alias("equals"), F.lit("l_quantity").alias("ranged"),
+        F.lit(0.0).alias("lo"), F.col("p_size").cast("double").alias("hi"), odd.alias("tests"),
+    )
+    back = F.create_map(F.lit("l_suppkey"), text("s_suppkey"), F.lit("l_returnflag"), F.lit("R"))
+    nothing = F.lit(None).cast("double")
+    suppliers = table(spark, sf, "supplier").select(
+        F.concat(F.lit("S"), "s_suppkey").alias("rule_id"), (F.col("s_suppkey") + (1 << 40)).alias("ord"),
+        F.lit("BACK").alias("disposition"), back.alias("equals"), F.lit(None).cast("string").alias("ranged"),
+        nothing.alias("lo"), nothing.alias("hi"), F.array().cast("array<string>").alias("tests"),
+    )
+    return parts.unionByName(suppliers)
+
+
+def ec_01_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """A policy too long for one expression."""
+    lines = keyed_lines(spark, sf).select("record_key", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
+    judged = classify_indexed(lines, ["record_key"], part_policy(spark, sf), {"returned": "l_returnflag = 'R'"})
+    return judged.select("record_key", "rule_id", "disposition", F.size("evidence").alias("n_evidence"))
+
+
+ORACLE["ec_01_indexed"] = f"""WITH {KEYED}, judged AS (SELECT record_key, CASE
+    WHEN l_quantity >= 0 AND l_quantity < p_size AND (p_size % 2 = 0 OR l_returnflag = 'R') THEN 'P' || l_partkey
+    WHEN l_returnflag = 'R' THEN 'S' || l_suppkey ELSE 'HOLE' END AS rule_id
+  FROM keyed JOIN part ON p_partkey = l_partkey)
+SELECT record_key, rule_id, CASE left(rule_id, 1) WHEN 'P' THEN 'SMALL' WHEN 'S' THEN 'BACK' ELSE 'UNDECIDED' END AS disposition,
+  CASE WHEN rule_id = 'HOLE' THEN 0 ELSE 2 END AS n_evidence FROM judged"""
+
+
 def ec_02(spark: SparkSession, sf: str) -> DataFrame:
     return classify.holes(order_lines(spark, sf), LINE_RULES).select("record_key", "rule_id")
 

@@ -17,7 +17,7 @@ FAMILIES = {
 
 def test_every_operator_is_registered():
     ids = {f"{f}_{i:02d}" for f, n in FAMILIES.items() for i in range(1, n + 1)}
-    assert set(QUERIES) == ids | {"flagship", "gv_05_replay", "gv_09_recorded", "vf_13_kinds", "raw_run"}
+    assert set(QUERIES) == ids | {"flagship", "gv_05_replay", "gv_09_recorded", "vf_13_kinds", "raw_run", "ec_01_indexed"}
     assert set(QUERIES) == set(ORACLE)
     assert len(ids) == 86
 
