@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.classify import HOLE, rule_of
 from plumbline.operators.govern import (
-    CONTROL, RUN, accepted, active, first_run_divergence, run_divergence,
+    CONTROL, RUN, accepted, active, row_digests, run_divergence, stage_digests,
 )
 from plumbline.operators.reference import lookup
 from plumbline.plans.pipeline import (
-    governed_run, line_digests, metric_digests, metric_stage, order_lines, present,
+    LABEL, SIGN, STAGE_COLUMNS, governed_run, metric_digests, metric_sums, metrics_of, order_lines, present,
 )
 from plumbline.plans.policy import FAULTS, LINE_RULES, LINE_RULES_SWAPPED, STATUS
 from plumbline.sources.relations import relation
@@ -96,17 +96,21 @@ def _long(df: DataFrame, counts: Mapping[tuple[str, int, str], Column]) -> DataF
 
 
 def findings(spark: SparkSession, sf: str) -> DataFrame:
-    """``run, arm, stage, check, violations`` for the control run and every fault."""
+    """``run, arm, stage, check, violations`` for the control run and every fault. The control run
+    is stored once, and of every other run the lines that its fault reaches; their counts are the
+    control run's plus the difference that those lines make."""
     faults = [f.fault_id for f in FAULTS]
     runs = [CONTROL, *faults]
     kept = [
-        RUN, "record_key", "l_orderkey", "l_linenumber", "o_orderdate", "l_shipdate", "price",
+        LABEL, SIGN, "record_key", "l_orderkey", "l_linenumber", "o_orderdate", "l_shipdate", "price",
         "quantity", "discount", "status_meaning", "customer_key", "priority", "rule_id",
         "customer_sk", "extra", "copy", "dropped", "raw_price", "o_orderstatus", "o_custkey",
     ]
-    run = store(governed_run(spark, sf, runs).select(*kept), "runs")
+    signed = governed_run(spark, sf, runs, signed=True).select(*kept).withColumnRenamed(LABEL, RUN)
+    run = store(signed, "runs")
     p = present()
     each_run = F.explode(F.array(*[F.lit(r) for r in runs]))
+    count = lambda test: F.sum(F.when(test, F.col(SIGN)).otherwise(0))
 
     ids = [r.rule_id for r in LINE_RULES] + [HOLE]
     null = F.col("price").isNull() | F.col("quantity").isNull() | F.col("l_shipdate").isNull()
@@ -114,25 +118,26 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
     by_row = _long(
         run,
         {
-            ("native", 1, "not_null"): F.count_if(p[1] & null),
-            ("native", 2, "accepted_values"): F.count_if(p[2] & alien),
-            ("native", 6, "relationship"): F.count_if(p[6] & (F.col("customer_sk") == -1)),
-            ("stage", 1, "unit"): F.count_if(p[1] & (F.col("price") > HIGHEST_PRICE)),
-            ("stage", 2, "domain"): F.count_if(p[2] & alien),
-            ("stage", 3, "time"): F.count_if(p[3] & F.col("extra")),
-            ("stage", 4, "cause"): F.count_if(p[1] & (F.col("l_shipdate") < F.col("o_orderdate"))),
-            ("stage", 4, "provenance"): F.count_if(p[4] & ~F.col("rule_id").isin(*ids)),
-            ("composed", 1, "source_price"): F.count_if(p[1] & (F.col("price") != F.col("raw_price"))),
-            ("composed", 2, "source_meaning"): F.count_if(
+            ("native", 1, "not_null"): count(p[1] & null),
+            ("native", 2, "accepted_values"): count(p[2] & alien),
+            ("native", 6, "relationship"): count(p[6] & (F.col("customer_sk") == -1)),
+            ("stage", 1, "unit"): count(p[1] & (F.col("price") > HIGHEST_PRICE)),
+            ("stage", 2, "domain"): count(p[2] & alien),
+            ("stage", 3, "time"): count(p[3] & F.col("extra")),
+            ("stage", 4, "cause"): count(p[1] & (F.col("l_shipdate") < F.col("o_orderdate"))),
+            ("stage", 4, "provenance"): count(p[4] & ~F.col("rule_id").isin(*ids)),
+            ("composed", 1, "source_price"): count(p[1] & (F.col("price") != F.col("raw_price"))),
+            ("composed", 2, "source_meaning"): count(
                 p[2] & (F.col("status_meaning") != lookup(STATUS, "o_orderstatus"))
             ),
-            ("composed", 3, "source_key"): F.count_if(p[1] & (F.col("customer_key") != F.col("o_custkey"))),
+            ("composed", 3, "source_key"): count(p[1] & (F.col("customer_key") != F.col("o_custkey"))),
         },
     )
-    keys = run.groupBy(RUN, "record_key").agg(
+    # A fault reaches all rows of a line or none, so keys are whole on both sides.
+    keys = run.groupBy(RUN, SIGN, "record_key").agg(
         *[F.count_if(p[s]).alias(f"n{s}") for s in (3, 5, 6)]
     )
-    repeated = {s: F.count_if(F.col(f"n{s}") > 1) for s in (3, 5, 6)}
+    repeated = {s: count(F.col(f"n{s}") > 1) for s in (3, 5, 6)}
     by_key = _long(
         keys,
         {
@@ -142,14 +147,29 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
             ("stage", 5, "grain"): repeated[5],
             ("stage", 6, "grain"): repeated[6],
             ("composed", 3, "fanout"): repeated[3],
-            ("composed", 5, "fanout"): F.count_if(F.col("n5") > F.col("n3")),
-            ("composed", 6, "lost"): F.count_if(F.col("n6") < F.col("n5")),
+            ("composed", 5, "fanout"): count(F.col("n5") > F.col("n3")),
+            ("composed", 6, "lost"): count(F.col("n6") < F.col("n5")),
         },
     )
-    pairs = run.groupBy(RUN, "l_orderkey", "l_linenumber").agg(F.count_if(p[5]).alias("n"))
-    by_pair = _long(pairs, {("native", 5, "unique_pair"): F.count_if(F.col("n") > 1)})
+    # Pairs are shared by lines, so what a fault adds to a pair meets the control run's count.
+    pair = ["l_orderkey", "l_linenumber"]
+    base = run.where(F.col(RUN) == CONTROL).groupBy(*pair).agg(F.count_if(p[5]).alias("_n"))
+    more = run.where(F.col(RUN) != CONTROL).groupBy(RUN, *pair).agg(count(p[5]).alias("_more")).where(F.col("_more") != 0)
+    twice = lambda n: (n > 1).cast("int")
+    turned = more.join(base, pair).select(RUN, (twice(F.col("_n") + F.col("_more")) - twice(F.col("_n"))).alias("_v"))
+    pairs = base.select(F.lit(CONTROL).alias(RUN), twice(F.col("_n")).alias("_v")).unionByName(turned)
+    by_pair = _long(pairs, {("native", 5, "unique_pair"): F.sum("_v")})
+    differences = by_row.unionByName(by_key).unionByName(by_pair)
+    level = differences.where(F.col(RUN) == CONTROL).select("arm", "stage", "check", F.col("violations").alias("_base"))
+
+    sums = store(metric_sums(spark, sf, run), "sums")
+    amounts = ["n_lines", "amount", "_product", "_rates"]
+    expected = sums.where(F.col(RUN) == CONTROL).withColumn(RUN, each_run)
+    own = expected.unionByName(sums.where(F.col(RUN) != CONTROL)).groupBy(RUN, "region", "rule_id", "priority").agg(
+        *[F.sum(c).alias(c) for c in amounts]
+    )
     by_group = _long(
-        metric_stage(spark, sf, run),
+        metrics_of(own),
         {
             ("stage", 7, "range"): F.count_if(~F.col("discount").between(0, HIGHEST_DISCOUNT)),
             ("composed", 7, "definition"): F.count_if(
@@ -172,21 +192,26 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
             for arm in ("stage", "composed")
         },
     )
-    ideal = _ideal(spark, sf, run, faults, each_run)
-    out = by_row
-    for part in (by_key, by_pair, by_group, by_example, ideal):
-        out = out.unionByName(part)
-    # A run that lost every row reports nothing; each check then counts zero.
+    whole = by_group.unionByName(by_example).unionByName(_ideal(spark, run, expected, faults))
+    # A run that a check has nothing to say about differs by zero.
+    out = differences.unionByName(whole)
     every = out.select("arm", "stage", "check").distinct().withColumn(RUN, each_run)
-    return every.join(out, [RUN, "arm", "stage", "check"], "left").fillna(0, "violations")
+    counted = every.join(out, [RUN, "arm", "stage", "check"], "left").join(level, ["arm", "stage", "check"], "left")
+    base_count = F.when(F.col(RUN) != CONTROL, F.coalesce("_base", F.lit(0))).otherwise(0)
+    return counted.withColumn("violations", F.coalesce("violations", F.lit(0)) + base_count).drop("_base")
 
 
-def _ideal(
-    spark: SparkSession, sf: str, run: DataFrame, faults: list[str], each_run: Column
-) -> DataFrame:
-    first = first_run_divergence(line_digests(run), ["record_key"], faults)
-    facts = run.where(F.col(RUN) == CONTROL).withColumn(RUN, each_run)
-    groups = metric_digests(metric_stage(spark, sf, facts))
+def _ideal(spark: SparkSession, run: DataFrame, expected: DataFrame, faults: list[str]) -> DataFrame:
+    """First divergences from the control run, read off the signed rows: what does not cancel
+    differs. ``expected`` are the control run's sums under the name of every run."""
+    rows = run.where(F.col(RUN) != CONTROL)
+    digests = stage_digests(row_digests(rows, [RUN, SIGN, "record_key"], STAGE_COLUMNS, present()), [RUN, SIGN, "record_key"])
+    first = (
+        digests.groupBy(RUN, "record_key", "stage_ord", "digest").agg(F.sum(SIGN).alias("_left"))
+        .where(F.col("_left") != 0)
+        .groupBy(RUN, "record_key").agg(F.min("stage_ord").alias("first_stage"))
+    )
+    groups = metric_digests(metrics_of(expected))
     own = run_divergence(groups, ["record_key"], faults).withColumnRenamed("stage_ord", "first_stage")
     wrong = (
         first.unionByName(own).groupBy(RUN, "first_stage").agg(F.count(F.lit(1)).alias("n"))

@@ -101,7 +101,12 @@ STAGE_COLUMNS = {
 }
 
 
-def governed_run(spark: SparkSession, sf: str, runs: Sequence[str] = (CONTROL,)) -> DataFrame:
+LABEL, SIGN = "label", "sign"
+
+
+def governed_run(
+    spark: SparkSession, sf: str, runs: Sequence[str] = (CONTROL,), signed: bool = False
+) -> DataFrame:
     """Stages 1 to 6 for every named run in one plan. A run is a column, so all runs share
     each scan and shuffle, and a fault is a condition on that column. Rows are repeated per run
     after the as-of join, not before it.
@@ -109,6 +114,11 @@ def governed_run(spark: SparkSession, sf: str, runs: Sequence[str] = (CONTROL,))
     A row is one row of stage 5 and carries the outputs of all stages. ``extra`` marks a
     second version of one line (rows from stage 3 on), ``copy`` numbers the repeats a fan-out
     makes at stage 5, and ``dropped`` marks rows stage 6 loses. ``present`` reads them.
+
+    With ``signed`` (for runs of one fault each) the control run is there whole, and of a faulty run
+    only the lines that its fault can reach: each once as the fault makes it, with ``sign`` 1, and
+    once as the control run has it, with ``sign`` -1. ``label`` names the run that a row is for. What
+    a run counts is what the control run counts plus its signed rows.
     """
     has = set(runs)
     wants = lambda fault: bool(has & {fault, "ALL"})
@@ -156,8 +166,13 @@ def governed_run(spark: SparkSession, sf: str, runs: Sequence[str] = (CONTROL,))
         .otherwise(named(runs))
     )
     # 1: parsing and normalization
-    one = known.select(
-        F.explode(own_runs).alias(RUN),
+    if signed:
+        started = known.withColumn("_run", F.explode(signed_runs(runs, original_hit)))
+        started = started.select("*", "_run.*")
+    else:
+        started = known.withColumn(RUN, F.explode(own_runs))
+    one = started.select(
+        RUN, *([LABEL, SIGN] if signed else []),
         "customer_key", "version", "valid_from", *(["_ended"] if wants("F4") else []),
         "record_key", "l_orderkey", "l_linenumber", "_pairs", "l_shipdate", "o_orderdate",
         "l_returnflag", "l_linestatus", "l_discount", "o_orderstatus", "o_custkey",
@@ -196,6 +211,28 @@ def governed_run(spark: SparkSession, sf: str, runs: Sequence[str] = (CONTROL,))
     )
 
 
+def signed_runs(runs: Sequence[str], moved: Column) -> Column:
+    """The ``(label, run, sign)`` of a line: the control run, and both sides of every run whose fault
+    can reach the line. A line looked up under another key is that fault's alone."""
+    reach = {
+        "F1": F.expr(FAULT["F1"].condition), "F2": F.expr(FAULT["F2"].condition), "F3": moved,
+        "F4": F.col("_ended").isNotNull() & (F.col("valid_from") == F.col("l_shipdate")),
+        "F5": rule_of(LINE_RULES) != rule_of(LINE_RULES_SWAPPED), "F6": F.col("_pairs") > 1,
+        "F7": F.col("version").isNull(), "F8": F.lit(False),
+    }
+
+    def entry(label: str, run: str, sign: int) -> Column:
+        return F.struct(F.lit(label).alias(LABEL), F.lit(run).alias(RUN), F.lit(sign).alias(SIGN))
+
+    own = [entry(CONTROL, CONTROL, 1)]
+    for fault in (r for r in runs if r != CONTROL):
+        hit = F.coalesce(reach[fault], F.lit(False))
+        own.append(F.when(hit, entry(fault, CONTROL, -1)))
+        if fault != "F3":
+            own.append(F.when(hit, entry(fault, fault, 1)))
+    return F.when(F.col("_moved"), F.array(entry("F3", "F3", 1))).otherwise(F.array_compact(F.array(*own)))
+
+
 def present() -> dict[int, Column]:
     """For each stage, whether a row of ``governed_run`` is one of that stage's rows."""
     first_copy = F.col("copy") == 1
@@ -207,30 +244,30 @@ def line_digests(run: DataFrame) -> DataFrame:
     return row_digests(run, [RUN, "record_key"], STAGE_COLUMNS, present())
 
 
-def metric_stage(spark: SparkSession, sf: str, facts: DataFrame) -> DataFrame:
-    """Stage 7: count, amount and price-weighted discount by run, region, rule and priority.
-    Under F8 the discount is a plain mean; ``weighted`` is what its contract asks for."""
+def metric_sums(spark: SparkSession, sf: str, facts: DataFrame) -> DataFrame:
+    """What stage 7 adds up by run, region, rule and priority, over signed rows."""
     customers = geography(
         spark, sf, table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", ["r_name"]
     ).select(F.col("c_custkey").alias("customer_key"), F.col("r_name").alias("region"))
-    weighted = F.try_divide(
-        F.sum(F.col("price") * F.col("discount")).cast("double"), F.sum("price").cast("double")
-    )
-    mean = F.sum("discount").cast("double") / F.count(F.lit(1))
+    signed = {"n_lines": F.lit(1), "amount": F.col("price"), "_product": F.col("price") * F.col("discount"), "_rates": F.col("discount")}
     return (
         facts.where(~F.col("dropped"))
         .join(customers, "customer_key", "left")
         .groupBy(RUN, F.coalesce("region", F.lit(UNKNOWN)).alias("region"), "rule_id", "priority")
-        .agg(
-            F.count(F.lit(1)).alias("n_lines"),
-            F.sum("price").alias("amount"),
-            weighted.alias("_weighted"),
-            mean.alias("_mean"),
-        )
-        .withColumn(
-            "discount", F.when(active("F8"), F.col("_mean")).otherwise(F.col("_weighted"))
-        )
-        .withColumnRenamed("_weighted", "weighted").drop("_mean")
+        .agg(*[F.sum(F.when(F.col(SIGN) > 0, v).otherwise(-v)).alias(name) for name, v in signed.items()])
+    )
+
+
+def metrics_of(sums: DataFrame) -> DataFrame:
+    """Stage 7: count, amount and price-weighted discount of each group that has lines. Under F8 the
+    discount is a plain mean; ``weighted`` is what its contract asks for."""
+    weighted = F.try_divide(F.col("_product").cast("double"), F.col("amount").cast("double"))
+    mean = F.col("_rates").cast("double") / F.col("n_lines")
+    return (
+        sums.where(F.col("n_lines") > 0)
+        .withColumn("weighted", weighted)
+        .withColumn("discount", F.when(active("F8"), mean).otherwise(F.col("weighted")))
+        .drop("_product", "_rates")
     )
 
 
