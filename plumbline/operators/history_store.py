@@ -16,7 +16,6 @@ already ahead comes from the log. Only the numbers of touched buckets reach the
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession

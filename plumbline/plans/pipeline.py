@@ -15,7 +15,7 @@ from plumbline.operators.ingest import record_key
 from plumbline.operators.intervals import asof
 from plumbline.operators.reference import UNKNOWN, decode_hierarchy, lookup
 from plumbline.operators.warehouse import resolve_fk
-from plumbline.plans.policy import FAULT, LINE_RULES, LINE_RULES_SWAPPED, STATUS
+from plumbline.plans.policy import FAULT, LINE_RULES, LINE_RULES_SWAPPED, STATUS, line_policy
 from plumbline.sources.tables import LINE_CASTS, LINE_COLUMNS, table
 
 
@@ -73,7 +73,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     )
     judged = (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .withColumn("rule_id", rule_of(LINE_RULES))
+        .withColumn("rule_id", rule_of(line_policy(spark)))
         .select("o_custkey", "l_shipdate", "price", "rule_id", "r_name")
     )
     placed = asof(

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import astuple, replace
 
-from plumbline.operators.classify import Rule
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.operators.classify import RULE_SCHEMA, Rule, read_rules
 from plumbline.operators.govern import Fault
+from plumbline.sources.relations import relation
 
 # The line policy. Order decides; a line none of them covers is a hole.
 LINE_RULES = [
@@ -28,6 +32,20 @@ LINE_RULES_SWAPPED = [
     replace(r, ord={"R1": 2, "R2": 1}.get(r.rule_id, r.ord)) for r in LINE_RULES
 ]
 
+VERSIONS = {"current": LINE_RULES, "next": LINE_RULES_NEXT, "swapped": LINE_RULES_SWAPPED}
+
+
+def policy_relation(spark: SparkSession) -> DataFrame:
+    """All versions of the line policy as one relation of rules."""
+    rows = [(name, *astuple(r)[:4], list(r.reads), r.disposition) for name, rules in VERSIONS.items() for r in rules]
+    return relation(spark, f"version string, {RULE_SCHEMA}", rows)
+
+
+def line_policy(spark: SparkSession, version: str = "current") -> list[Rule]:
+    """A version of the line policy as queries get it: read from the relation."""
+    return read_rules(policy_relation(spark).where(F.col("version") == version))
+
+
 # The event policy.
 EVENT_RULES = [
     Rule("E1", 1, 1, "event_type = 'error'", ("event_type",), "FAILED"),

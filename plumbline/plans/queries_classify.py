@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import classify
 from plumbline.operators.rule_index import classify_indexed
 from plumbline.plans.pipeline import keyed_lines, order_lines
-from plumbline.plans.policy import EVENT_TYPES, LINE_RULES
+from plumbline.plans.policy import EVENT_TYPES, line_policy
 from plumbline.plans.sql import JOINED, KEYED, RULE
 from plumbline.sources.relations import relation
 from plumbline.sources.tables import table
@@ -35,11 +35,6 @@ def _evidence_text():
     ).alias("evidence")
 
 
-def line_policy(spark: SparkSession) -> list[classify.Rule]:
-    """The line policy as a query gets it: read from a relation of rules."""
-    return classify.read_rules(classify.rules_relation(spark, LINE_RULES))
-
-
 def ec_01(spark: SparkSession, sf: str) -> DataFrame:
     return classify.classify(order_lines(spark, sf), line_policy(spark)).select(
         "record_key", "rule_id", "disposition", _evidence_text()
@@ -90,14 +85,14 @@ SELECT record_key, rule_id, CASE left(rule_id, 1) WHEN 'P' THEN 'SMALL' WHEN 'S'
 
 
 def ec_02(spark: SparkSession, sf: str) -> DataFrame:
-    return classify.holes(order_lines(spark, sf), LINE_RULES).select("record_key", "rule_id")
+    return classify.holes(order_lines(spark, sf), line_policy(spark)).select("record_key", "rule_id")
 
 
 ORACLE["ec_02"] = f"WITH {RULED} SELECT record_key, rule_id FROM ruled WHERE rule_id = 'HOLE'"
 
 
 def ec_03(spark: SparkSession, sf: str) -> DataFrame:
-    return classify.matches(order_lines(spark, sf), LINE_RULES).select(
+    return classify.matches(order_lines(spark, sf), line_policy(spark)).select(
         "record_key", F.concat_ws(",", "matched").alias("matched")
     )
 
@@ -106,11 +101,12 @@ ORACLE["ec_03"] = f"WITH {JOINED} SELECT record_key, {MATCHED} AS matched FROM j
 
 
 # A policy in which R1 and R2 say the same: lines that only these two match are no conflict.
-AGREEING_RULES = [replace(r, disposition="REJECT") if r.rule_id == "R2" else r for r in LINE_RULES]
+def agreeing(rules: list[classify.Rule]) -> list[classify.Rule]:
+    return [replace(r, disposition="REJECT") if r.rule_id == "R2" else r for r in rules]
 
 
 def ec_04(spark: SparkSession, sf: str) -> DataFrame:
-    return classify.conflicts(order_lines(spark, sf), AGREEING_RULES).select(
+    return classify.conflicts(order_lines(spark, sf), agreeing(line_policy(spark))).select(
         "record_key", F.concat_ws(",", "matched").alias("matched")
     )
 
@@ -120,7 +116,7 @@ WHERE CAST(({M1} OR {M2}) AS INT) + CAST({M3} AS INT) + CAST({M4} AS INT) > 1"""
 
 
 def ec_05(spark: SparkSession, sf: str) -> DataFrame:
-    return classify.coverage(order_lines(spark, sf), LINE_RULES)
+    return classify.coverage(order_lines(spark, sf), line_policy(spark))
 
 
 ORACLE["ec_05"] = f"""WITH {RULED}, seen AS (
@@ -134,7 +130,7 @@ FROM seen LEFT JOIN won USING (rule_id)"""
 
 
 def ec_06(spark: SparkSession, sf: str) -> DataFrame:
-    return classify.classify_by_authority(order_lines(spark, sf), LINE_RULES).select(
+    return classify.classify_by_authority(order_lines(spark, sf), line_policy(spark)).select(
         "record_key", "rule_id", "disposition"
     )
 
@@ -208,7 +204,7 @@ SELECT *, CASE rule_id WHEN 'T0' THEN 'LEGAL' WHEN 'HOLE' THEN 'UNDECIDED' ELSE
 
 def ec_09(spark: SparkSession, sf: str) -> DataFrame:
     dims = ["l_returnflag", "l_linestatus", "o_orderstatus", "o_orderpriority"]
-    return classify.hole_profile(order_lines(spark, sf), LINE_RULES, dims, k=10)
+    return classify.hole_profile(order_lines(spark, sf), line_policy(spark), dims, k=10)
 
 
 ORACLE["ec_09"] = f"""WITH {RULED}

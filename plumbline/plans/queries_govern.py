@@ -12,7 +12,7 @@ from plumbline.operators.govern import ALL_FAULTS, CONTROL, RUN
 from plumbline.operators.reference import lookup
 from plumbline.operators.stages import close_over, own_divergence, rerun, run_stages
 from plumbline.plans import arms, pipeline, raw_run, stages
-from plumbline.plans.policy import FAULT, FAULTS, LINE_RULES, LINE_RULES_NEXT, STATUS
+from plumbline.plans.policy import FAULT, FAULTS, STATUS, line_policy
 from plumbline.plans.queries_classify import M1, M2, RULED, SAID
 from plumbline.plans.sql import JOINED, RULE, rule
 from plumbline.plans.sql import history as history_sql
@@ -42,7 +42,7 @@ def gv_01(spark: SparkSession, sf: str) -> DataFrame:
         {"rule_id": F.lit("PARSE"), "disposition": F.lit("ACCEPTED")}
     )
     trailed = govern.with_provenance(parsed, "parse")
-    judged = classify.classify(trailed.drop("rule_id", "disposition"), LINE_RULES)
+    judged = classify.classify(trailed.drop("rule_id", "disposition"), line_policy(spark))
     trail = F.transform(
         govern.TRAIL, lambda s: F.concat_ws(":", s["stage"], s["rule_id"], s["disposition"])
     )
@@ -73,7 +73,7 @@ cex AS (
 
 def gv_02(spark: SparkSession, sf: str) -> DataFrame:
     cex = arms.counterexamples(spark, sf)
-    return govern.replay(cex, LINE_RULES_NEXT).select(
+    return govern.replay(cex, line_policy(spark, "next")).select(
         "cex_id", "boundary_id", "record_key", "expected_rule_id", "rule_id", "passed"
     )
 
@@ -189,7 +189,7 @@ UNION ALL SELECT record_key, 7 FROM metrics WHERE mean <> weighted"""
 
 def gv_06(spark: SparkSession, sf: str) -> DataFrame:
     ruled = pipeline.order_lines(spark, sf).select(
-        "record_key", classify.rule_of(LINE_RULES).alias("rule_id")
+        "record_key", classify.rule_of(line_policy(spark)).alias("rule_id")
     )
     return govern.blame(_all_faults(spark, sf).join(ruled, "record_key"))
 
@@ -200,7 +200,7 @@ FROM first JOIN ruled USING (record_key) GROUP BY 1, 2"""
 
 
 def gv_07(spark: SparkSession, sf: str) -> DataFrame:
-    diff = govern.policy_diff(pipeline.order_lines(spark, sf), LINE_RULES, LINE_RULES_NEXT)
+    diff = govern.policy_diff(pipeline.order_lines(spark, sf), line_policy(spark), line_policy(spark, "next"))
     return diff.select("record_key", "old_rule", "new_rule")
 
 
@@ -210,7 +210,7 @@ ORACLE["gv_07"] = f"WITH {DIFF} SELECT record_key, old_rule, new_rule FROM diff"
 
 
 def gv_08(spark: SparkSession, sf: str) -> DataFrame:
-    diff = govern.policy_diff(pipeline.order_lines(spark, sf), LINE_RULES, LINE_RULES_NEXT)
+    diff = govern.policy_diff(pipeline.order_lines(spark, sf), line_policy(spark), line_policy(spark, "next"))
     # The change was authorized to fill the hole, and nothing else.
     scope = (F.col("old_rule") == classify.HOLE) & (F.col("new_rule") == "R3")
     return govern.collateral(diff, scope).select("record_key", "old_rule", "new_rule")
@@ -221,7 +221,7 @@ WHERE NOT (old_rule = 'HOLE' AND new_rule = 'R3')"""
 
 
 def gv_09(spark: SparkSession, sf: str) -> DataFrame:
-    diff = govern.policy_diff(pipeline.order_lines(spark, sf), LINE_RULES, LINE_RULES_NEXT)
+    diff = govern.policy_diff(pipeline.order_lines(spark, sf), line_policy(spark), line_policy(spark, "next"))
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     reached = govern.affected(
@@ -246,10 +246,10 @@ UNION ALL SELECT DISTINCT 'nation', CAST(c_nationkey AS BIGINT) FROM diff JOIN c
 def _policy_change(spark: SparkSession, sf: str) -> tuple:
     """The recorded run under the old policy, the stages under the new one, and the lines whose rule
     the change moves."""
-    old = stages.pipeline_stages(spark, sf)
-    run = run_stages(stages.source(spark, sf), old, stages.KEPT)
-    moved = govern.policy_diff(run.outputs[3], LINE_RULES, LINE_RULES_NEXT)
-    return run, stages.pipeline_stages(spark, sf, rules=LINE_RULES_NEXT), moved
+    before, after = line_policy(spark), line_policy(spark, "next")
+    run = run_stages(stages.source(spark, sf), stages.pipeline_stages(spark, sf, rules=before), stages.KEPT)
+    moved = govern.policy_diff(run.outputs[3], before, after)
+    return run, stages.pipeline_stages(spark, sf, rules=after), moved
 
 
 def gv_09_recorded(spark: SparkSession, sf: str) -> DataFrame:

@@ -199,7 +199,8 @@ FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o
 def df_05(spark: SparkSession, sf: str) -> DataFrame:
     members = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"))
     dates = table(spark, sf, "orders")
-    bounds = [dates.agg(f("o_orderdate").alias("at")).scalar() for f in (F.min, F.max)]
+    ends = dates.agg(F.struct(F.min("o_orderdate").alias("lo"), F.max("o_orderdate").alias("hi")).alias("at")).scalar()
+    bounds = [ends["lo"], ends["hi"]]
     snap = facts.fact_snapshot(
         customer_history(spark, sf), members, "o_custkey", "o_orderpriority", *bounds, UNKNOWN
     )
