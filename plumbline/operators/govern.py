@@ -145,6 +145,18 @@ def run_divergence(
     )
 
 
+def surplus_divergence(changes: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``divergence`` of rows that carry a ``surplus``, what the actual run has of them more than the
+    expected one."""
+    return (
+        changes.groupBy(*key, "stage_ord", "digest")
+        .agg(F.sum("surplus").alias("_left"))
+        .where(F.col("_left") != 0)
+        .select(*key, "stage_ord")
+        .distinct()
+    )
+
+
 def first_run_divergence(rows: DataFrame, key: Sequence[str], runs: Sequence[str]) -> DataFrame:
     """GV-05 for several runs at once."""
     return (

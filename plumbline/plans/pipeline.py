@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.timeline import Timeline
+from plumbline.functions.values import row_fingerprint
 from plumbline.operators.classify import rule_of
 from plumbline.operators.govern import CONTROL, RUN, active, inject, row_digests
 from plumbline.operators.history import assign_sk, build_history
@@ -105,7 +106,7 @@ LABEL, SIGN = "label", "sign"
 
 
 def governed_run(
-    spark: SparkSession, sf: str, runs: Sequence[str] = (CONTROL,), signed: bool = False
+    spark: SparkSession, sf: str, runs: Sequence[str] = (CONTROL,), signed: bool = False, paired: bool = False
 ) -> DataFrame:
     """Stages 1 to 6 for every named run in one plan. A run is a column, so all runs share
     each scan and shuffle, and a fault is a condition on that column. Rows are repeated per run
@@ -119,6 +120,10 @@ def governed_run(
     only the lines that its fault can reach: each once as the fault makes it, with ``sign`` 1, and
     once as the control run has it, with ``sign`` -1. ``label`` names the run that a row is for. What
     a run counts is what the control run counts plus its signed rows.
+
+    With ``paired`` (for one run) a line is there once, as that run has it: what the control run has
+    follows from the same row. Only a line that the identity fault looks up under another key is
+    there twice, also under the control run. ``line_changes`` reads such rows.
     """
     has = set(runs)
     wants = lambda fault: bool(has & {fault, "ALL"})
@@ -160,9 +165,10 @@ def governed_run(
     moving = [r for r in runs if r in (moved.fault_id, "ALL")]
     named = lambda some: F.array(*[F.lit(r) for r in some]).cast("array<string>")
     original_hit = F.coalesce(F.expr(moved.condition.replace("customer_key", "o_custkey")), F.lit(False))
+    left = named([CONTROL] if paired else [r for r in runs if r not in moving])
     own_runs = (
         F.when(F.col("_moved"), named(moving))
-        .when(original_hit, named([r for r in runs if r not in moving]))
+        .when(original_hit if moving else F.lit(False), left)
         .otherwise(named(runs))
     )
     # 1: parsing and normalization
@@ -244,6 +250,37 @@ def line_digests(run: DataFrame) -> DataFrame:
     return row_digests(run, [RUN, "record_key"], STAGE_COLUMNS, present())
 
 
+def line_changes(run: DataFrame) -> DataFrame:
+    """``record_key, stage_ord, digest, surplus``: what the rows of a ``paired`` run add to the control
+    run and take from it. Where a row and the control run's, which it is set against, have the same
+    outputs for a stage, they cancel on the spot, so only what a fault changed is handed on."""
+    control = {
+        "price": F.col("raw_price"), "status_meaning": lookup(STATUS, "o_orderstatus"),
+        "customer_key": F.col("o_custkey"), "rule_id": rule_of(LINE_RULES),
+    }
+    wide = run.withColumns({f"_c_{name}": value for name, value in control.items()})
+    is_control = F.col(RUN) == CONTROL
+    # A row under another key has its control row apart, and so have repeats of a row.
+    alone = is_control | ~F.col("customer_key").eqNullSafe(F.col("o_custkey"))
+    source = ~F.col("extra") & (F.col("copy") == 1)
+    there = present()
+
+    def entry(stage: int, digest: str, sign: int) -> Column:
+        return F.struct(
+            F.lit(stage).alias("stage_ord"), F.col(digest).alias("digest"), F.lit(sign).cast("bigint").alias("surplus")
+        )
+
+    entries = []
+    for stage, columns in STAGE_COLUMNS.items():
+        own = [f"_c_{c}" if c in control else c for c in columns]
+        wide = wide.withColumns({f"_d{stage}": row_fingerprint(columns), f"_c{stage}": row_fingerprint(own)})
+        same = ~alone & source & there[stage] & (F.col(f"_d{stage}") == F.col(f"_c{stage}"))
+        entries.append(F.when(~is_control & there[stage] & ~same, entry(stage, f"_d{stage}", 1)))
+        entries.append(F.when(is_control | (~alone & source & ~same), entry(stage, f"_c{stage}", -1)))
+    changed = wide.select("record_key", F.explode(F.array_compact(F.array(*entries))).alias("_e"))
+    return changed.select("record_key", "_e.*")
+
+
 def metric_sums(spark: SparkSession, sf: str, facts: DataFrame) -> DataFrame:
     """What stage 7 adds up by run, region, rule and priority, over signed rows."""
     customers = geography(

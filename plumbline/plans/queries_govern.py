@@ -150,8 +150,11 @@ first AS (SELECT run, record_key, min(stage) AS first_stage
 
 
 def _all_faults(spark: SparkSession, sf: str) -> DataFrame:
-    digests = pipeline.line_digests(pipeline.governed_run(spark, sf, [CONTROL, ALL_FAULTS]))
-    return govern.first_run_divergence(digests, ["record_key"], [ALL_FAULTS]).drop(RUN)
+    changes = pipeline.line_changes(pipeline.governed_run(spark, sf, [ALL_FAULTS], paired=True))
+    changes = changes.withColumn("record_key", F.unhex("record_key"))
+    wrong = govern.surplus_divergence(changes, ["record_key"])
+    first = wrong.groupBy("record_key").agg(F.min("stage_ord").alias("first_stage"))
+    return first.withColumn("record_key", F.lower(F.hex("record_key")))
 
 
 def gv_05(spark: SparkSession, sf: str) -> DataFrame:
