@@ -250,16 +250,17 @@ def line_digests(run: DataFrame) -> DataFrame:
     return row_digests(run, [RUN, "record_key"], STAGE_COLUMNS, present())
 
 
-def line_changes(run: DataFrame) -> DataFrame:
-    """``record_key, stage_ord, digest, surplus``: what the rows of a ``paired`` run add to the control
-    run and take from it. Where a row and the control run's, which it is set against, have the same
-    outputs for a stage, they cancel on the spot, so only what a fault changed is handed on."""
+def line_changes(run: DataFrame, key: Sequence[str] = ("record_key",), is_control: Column | None = None) -> DataFrame:
+    """``key, stage_ord, digest, surplus``: what the rows of a ``paired`` run add to the control run and
+    take from it. Where a row and the control run's, which it is set against, have the same outputs
+    for a stage, they cancel on the spot, so only what a fault changed is handed on. ``is_control``
+    marks the control rows of lines that are looked up under another key."""
     control = {
         "price": F.col("raw_price"), "status_meaning": lookup(STATUS, "o_orderstatus"),
         "customer_key": F.col("o_custkey"), "rule_id": rule_of(LINE_RULES),
     }
     wide = run.withColumns({f"_c_{name}": value for name, value in control.items()})
-    is_control = F.col(RUN) == CONTROL
+    is_control = F.col(RUN) == CONTROL if is_control is None else is_control
     # A row under another key has its control row apart, and so have repeats of a row.
     alone = is_control | ~F.col("customer_key").eqNullSafe(F.col("o_custkey"))
     source = ~F.col("extra") & (F.col("copy") == 1)
@@ -277,8 +278,8 @@ def line_changes(run: DataFrame) -> DataFrame:
         same = ~alone & source & there[stage] & (F.col(f"_d{stage}") == F.col(f"_c{stage}"))
         entries.append(F.when(~is_control & there[stage] & ~same, entry(stage, f"_d{stage}", 1)))
         entries.append(F.when(is_control | (~alone & source & ~same), entry(stage, f"_c{stage}", -1)))
-    changed = wide.select("record_key", F.explode(F.array_compact(F.array(*entries))).alias("_e"))
-    return changed.select("record_key", "_e.*")
+    changed = wide.select(*key, F.explode(F.array_compact(F.array(*entries))).alias("_e"))
+    return changed.select(*key, "_e.*")
 
 
 def metric_sums(spark: SparkSession, sf: str, facts: DataFrame) -> DataFrame:
