@@ -224,6 +224,26 @@ def same_as_full(sel: DataFrame, full: DataFrame) -> DataFrame:
     return edge_equal(sel, full)
 
 
+def count_differences(full: DataFrame, others: Mapping[str, DataFrame]) -> DataFrame:
+    """GV-11 in numbers. One row: the ``rows`` of ``full``, and under each name how many distinct rows
+    there are of which that relation has more or fewer copies. One pass over every relation; rows
+    travel as fingerprints."""
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+
+    def side(df: DataFrame, rows: Column, counts: Mapping[str, Column]) -> DataFrame:
+        fingerprint = row_fingerprint(full.columns)
+        named = [counts.get(n, none).alias(n) for n in others]
+        return df.select(fingerprint["a"].alias("_a"), fingerprint["b"].alias("_b"), rows.alias("rows"), *named)
+
+    sides = side(full, one, {n: -one for n in others})
+    for name, df in others.items():
+        sides = sides.unionByName(side(df.select(*full.columns), none, {name: one}))
+    counted = sides.groupBy("_a", "_b").agg(*[F.sum(c).alias(c) for c in ("rows", *others)])
+    return counted.agg(
+        F.coalesce(F.sum("rows"), none).alias("rows"), *[F.count_if(F.col(n) != 0).alias(n) for n in others]
+    )
+
+
 @dataclass(frozen=True)
 class Fault:
     """A named change to one stage. A value fault sets ``column`` to ``value`` on the rows of

@@ -296,14 +296,8 @@ def gv_11(spark: SparkSession, sf: str) -> DataFrame:
     forgetful = rerun(replace(run, edges=run.edges.limit(0)), changed, 4, moved)
     out = None
     for number in range(4, 8):
-        full = whole[number]
-        differing, missed = (
-            govern.same_as_full(one.outputs[number].select(*full.columns), full).agg(F.count(F.lit(1)).alias("n"))
-            for one in (selective, forgetful)
-        )
-        row = full.agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(number).alias("stage"), "rows", differing.scalar().alias("differing"), missed.scalar().alias("missed")
-        )
+        others = {"differing": selective.outputs[number], "missed": forgetful.outputs[number]}
+        row = govern.count_differences(whole[number], others).select(F.lit(number).alias("stage"), "rows", *others)
         out = row if out is None else out.unionByName(row)
     return out
 

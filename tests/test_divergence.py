@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plumbline.operators.govern import ALL_FAULTS, surplus_divergence
+from plumbline.operators.govern import ALL_FAULTS, count_differences, surplus_divergence
 from plumbline.plans import arms, pipeline
 from plumbline.plans.registry import QUERIES
 from tests.test_queries import plan
@@ -40,3 +40,14 @@ def test_rows_of_one_key_that_trade_outputs_do_not_diverge(spark):
     changes = spark.createDataFrame(rows, "record_key string, stage_ord int, digest string, surplus long")
     got = surplus_divergence(changes, ["record_key"]).orderBy(F.col("record_key"))
     assert [tuple(r) for r in got.collect()] == [("b", 2), ("c", 3)]
+
+
+def test_differences_are_counted_in_one_pass(spark, sf):
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, v long")
+    full = rows(("a", 1), ("a", 1), ("b", None), ("c", 3))
+    others = {"same": rows(("c", 3), ("b", None), ("a", 1), ("a", 1)), "other": rows(("a", 1), ("b", None), ("d", 4))}
+    assert tuple(count_differences(full, others).first()) == (4, 0, 3)
+    assert tuple(count_differences(full.limit(0), {"other": full}).first()) == (0, 3)
+    # gv_11: rows travel as fingerprints, and the full run is counted once for both reruns.
+    text = plan(QUERIES["gv_11"](spark, sf))
+    assert "_a#" in text and "_r_record_key" not in text and text.count("Subquery") == 0
