@@ -164,9 +164,11 @@ def first_run_divergence(rows: DataFrame, key: Sequence[str], runs: Sequence[str
     )
 
 
-def blame(div: DataFrame, by: Sequence[str] = ("first_stage", "rule_id")) -> DataFrame:
-    """GV-06. First-wrong counts per stage and rule."""
-    return div.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+def blame(
+    div: DataFrame, by: Sequence[str] = ("first_stage", "rule_id"), weight: Column | None = None
+) -> DataFrame:
+    """GV-06. First-wrong counts per stage and rule. A row counts once, or ``weight`` times."""
+    return div.groupBy(*by).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
 
 
 def policy_diff(df: DataFrame, old: Sequence[Rule], new: Sequence[Rule]) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import classify, govern
@@ -149,17 +150,14 @@ first AS (SELECT run, record_key, min(stage) AS first_stage
   WHERE a.d IS DISTINCT FROM b.d GROUP BY 1, 2)"""
 
 
-def _all_faults(spark: SparkSession, sf: str) -> DataFrame:
-    changes = pipeline.line_changes(pipeline.governed_run(spark, sf, [ALL_FAULTS], paired=True))
-    changes = changes.withColumn("record_key", F.unhex("record_key"))
-    wrong = govern.surplus_divergence(changes, ["record_key"])
-    first = wrong.groupBy("record_key").agg(F.min("stage_ord").alias("first_stage"))
-    return first.withColumn("record_key", F.lower(F.hex("record_key")))
+def _all_faults(spark: SparkSession, sf: str, rule: Column | None = None, rules: Sequence[str] = ()) -> DataFrame:
+    run = pipeline.governed_run(spark, sf, [ALL_FAULTS], paired=True, short=True)
+    return pipeline.line_sums(run, rule, rules).where(F.col("first_stage").isNotNull())
 
 
 def gv_05(spark: SparkSession, sf: str) -> DataFrame:
     """Every line-grain fault at once: each line is traced to the earliest."""
-    return _all_faults(spark, sf)
+    return pipeline.long_keys(_all_faults(spark, sf))
 
 
 ORACLE["gv_05"] = f"""WITH {runs_sql(['NONE', 'ALL'])}
@@ -191,10 +189,13 @@ UNION ALL SELECT record_key, 7 FROM metrics WHERE mean <> weighted"""
 
 
 def gv_06(spark: SparkSession, sf: str) -> DataFrame:
-    ruled = pipeline.order_lines(spark, sf).select(
-        "record_key", classify.rule_of(line_policy(spark)).alias("rule_id")
-    )
-    return govern.blame(_all_faults(spark, sf).join(ruled, "record_key"))
+    """The rule of a line travels with what is compared of it: each key counts its lines by rule."""
+    rules = line_policy(spark)
+    names = [*dict.fromkeys([*[r.rule_id for r in rules], classify.HOLE])]
+    wrong = _all_faults(spark, sf, classify.rule_of(rules), names)
+    by_rule = [F.struct(F.lit(r).alias("rule_id"), F.col(f"lines_{n}").alias("n")) for n, r in enumerate(names)]
+    entries = wrong.select("first_stage", F.inline(F.array(*by_rule))).where(F.col("n") > 0)
+    return govern.blame(entries, weight=F.col("n"))
 
 
 ORACLE["gv_06"] = f"""WITH {runs_sql(['NONE', 'ALL'])}, ruled AS (SELECT record_key, {RULE} AS rule_id FROM joined)

@@ -24,6 +24,29 @@ def test_blame_compares_changed_outputs_only(spark, sf):
     assert "digests" not in plan(QUERIES["gv_06"](spark, sf))
 
 
+def test_blame_carries_the_rule_with_the_line(spark, sf):
+    """gv_06: lines are joined with orders once, under keys of 16 bytes, and each key is summed in one row."""
+    text = plan(QUERIES["gv_06"](spark, sf))
+    assert text.count("unhex") > 0 and "stage_ord" not in text
+    run = pipeline.governed_run(spark, sf, [ALL_FAULTS], paired=True, short=True)
+    # One row for a line, but for repeats and second versions; not one for each of its changed outputs.
+    sums = pipeline.line_sums(run, F.lit("R"), ["R"])
+    assert sums.count() == sums.agg(F.sum("lines_0")).first()[0] == pipeline.order_lines(spark, sf).count()
+
+
+def test_sums_tell_bags_apart(spark, sf):
+    """A key whose rows trade outputs has the same bag; one with a row more or less has not."""
+    run = pipeline.governed_run(spark, sf, [ALL_FAULTS], paired=True)
+    row = run.where("customer_key = o_custkey AND copy = 1 AND NOT extra AND priority <> 'UNKNOWN' AND price = raw_price"
+                    " AND o_orderstatus <> 'P' AND NOT (l_returnflag = 'R' AND l_linestatus = 'O') AND _pairs = 1").limit(1)
+    kept = spark.createDataFrame(row.collect(), run.schema)
+    again = kept.withColumns({"price": F.col("price") * 2, "raw_price": F.col("raw_price")})
+    other = kept.withColumns({"raw_price": F.col("raw_price") * 2})
+    first = lambda df: [r.first_stage for r in pipeline.line_sums(df).collect()]
+    assert first(kept) == first(again.unionByName(other)) == [None]
+    assert first(again) == [1] and first(kept.unionByName(kept.withColumn("copy", F.lit(2).cast("bigint")))) == [5]
+
+
 def test_arms_group_lines_by_short_keys(spark, sf, monkeypatch):
     """gv_12: the runs are stored with keys of 16 bytes, and each line's sides cancel before the shuffle."""
     stored, handed = {}, []
