@@ -251,3 +251,15 @@ def test_stream_classifies_each_file_once(spark, sf):
     big = table(spark, sf, "orders").where("o_totalprice >= 250000").count()
     assert judged.where("rule_id = 'BIG'").count() == big > 0
     assert judged.where("parse_disposition = 'QUARANTINED'").count() > 0
+
+
+def test_conditions_on_errors_do_not_repeat_the_parse(spark, sf):
+    """in_11, vf_08: accepted and quarantined rows parse each field once, however often it is mentioned."""
+    from plumbline.plans.queries_ingest import _parsed_orders
+
+    good, bad = ingest.split_disposition(_parsed_orders(spark, sf))
+    for side in (good, bad):
+        optimized = side._jdf.queryExecution().optimizedPlan().toString()
+        # A shape check and a cast for each of four fields that are no text, and no more.
+        assert optimized.count("RLIKE") == 4
+    assert good.count() + bad.count() == inputs.order_raw_lines(spark, sf).count()
