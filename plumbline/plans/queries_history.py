@@ -11,7 +11,7 @@ from plumbline.operators import history, intervals
 from plumbline.operators.history_store import HistoryStore
 from plumbline.operators.reference import UNKNOWN
 from plumbline.plans import inputs
-from plumbline.plans.pipeline import customer_history, keyed_lines
+from plumbline.plans.pipeline import customer_history, keyed_lines, long_keys, short_keys
 from plumbline.plans.sql import HISTORY_OUT, KEYED, OPEN_END
 from plumbline.plans.sql import history as history_sql
 from plumbline.sources.shared import fresh_path
@@ -153,7 +153,7 @@ ORACLE["ih_09"] = FULL_HISTORY
 
 def _probe_lines(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    lines = keyed_lines(spark, sf)
+    lines = short_keys(keyed_lines(spark, sf))
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         "record_key", "o_custkey", "l_shipdate"
     )
@@ -164,7 +164,7 @@ def ih_10(spark: SparkSession, sf: str) -> DataFrame:
         _probe_lines(spark, sf), customer_history(spark, sf), ["o_custkey"], "l_shipdate",
         counted=_log(spark, sf),
     )
-    return placed.select(
+    return long_keys(placed).select(
         "record_key", "o_custkey", F.coalesce("o_orderpriority", F.lit(UNKNOWN)).alias("priority")
     )
 
@@ -181,7 +181,7 @@ def ih_11(spark: SparkSession, sf: str) -> DataFrame:
         _probe_lines(spark, sf), _log(spark, sf), ["o_custkey"], "l_shipdate",
         "o_orderdate", "o_orderkey", ["o_orderpriority"],
     )
-    return placed.select(
+    return long_keys(placed).select(
         "record_key", "o_custkey", F.coalesce("o_orderpriority", F.lit(UNKNOWN)).alias("priority")
     )
 
