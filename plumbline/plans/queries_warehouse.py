@@ -9,7 +9,7 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, Str
 from plumbline.operators import facts, metrics, warehouse
 from plumbline.operators.history import assign_sk
 from plumbline.operators.reference import UNKNOWN
-from plumbline.plans.pipeline import customer_history, keyed_lines
+from plumbline.plans.pipeline import customer_history, keyed_lines, long_keys, short_keys
 from plumbline.plans.sql import KEYED
 from plumbline.plans.sql import history as history_sql
 from plumbline.sources.tables import table
@@ -155,7 +155,7 @@ ORACLE["df_02"] = f"""WITH {history_sql()} SELECT {VERSION_SK} AS sk, o_custkey,
 
 def df_03(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    lines = keyed_lines(spark, sf).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = short_keys(keyed_lines(spark, sf)).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     part = assign_sk(table(spark, sf, "part"), ["p_partkey"])
     supplier = assign_sk(table(spark, sf, "supplier"), ["s_suppkey"])
     fact = facts.fact_line(
@@ -166,7 +166,7 @@ def df_03(spark: SparkSession, sf: str) -> DataFrame:
         },
         counted=table(spark, sf, "orders").select("o_custkey"),
     )
-    return fact.select(
+    return long_keys(fact).select(
         "record_key", "version_sk", "part_sk", "supplier_sk",
         F.col("l_quantity").cast("decimal(18,2)").cast("double").alias("quantity"),
         F.col("l_extendedprice").cast("decimal(18,2)").cast("double").alias("amount"),
