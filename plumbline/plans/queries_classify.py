@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import classify
 from plumbline.operators.rule_index import classify_indexed
-from plumbline.plans.pipeline import keyed_lines, order_lines
+from plumbline.plans.pipeline import keyed_lines, long_keys, order_lines, short_keys
 from plumbline.plans.policy import EVENT_TYPES, line_policy
 from plumbline.plans.sql import JOINED, KEYED, RULE
 from plumbline.sources.relations import relation
@@ -71,9 +71,9 @@ def part_policy(spark: SparkSession, sf: str) -> DataFrame:
 
 def ec_01_indexed(spark: SparkSession, sf: str) -> DataFrame:
     """A policy too long for one expression."""
-    lines = keyed_lines(spark, sf).select("record_key", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
+    lines = short_keys(keyed_lines(spark, sf)).select("record_key", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
     judged = classify_indexed(lines, ["record_key"], part_policy(spark, sf), {"returned": "l_returnflag = 'R'"})
-    return judged.select("record_key", "rule_id", "disposition", F.size("evidence").alias("n_evidence"))
+    return long_keys(judged).select("record_key", "rule_id", "disposition", F.size("evidence").alias("n_evidence"))
 
 
 ORACLE["ec_01_indexed"] = f"""WITH {KEYED}, judged AS (SELECT record_key, CASE

@@ -57,3 +57,8 @@ def test_entry(spark):
     assert len(entry_module.entry(spark).collect()) == 130
     assert set(entry_module.queries()) >= set(QUERIES)
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+@pytest.mark.parametrize("name", ["df_03", "ec_01_indexed", "ih_10", "ih_11"])
+def test_lines_are_shuffled_under_short_keys(spark, sf, name):
+    assert "unhex(md5(" in plan(QUERIES[name](spark, sf))
