@@ -171,6 +171,11 @@ def blame(
     return div.groupBy(*by).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
 
 
+def rule_moves(old: Sequence[Rule], new: Sequence[Rule]) -> Column:
+    """Whether two policies give a row different rules."""
+    return ~rule_of(old).eqNullSafe(rule_of(new))
+
+
 def policy_diff(df: DataFrame, old: Sequence[Rule], new: Sequence[Rule]) -> DataFrame:
     """GV-07. Rows whose rule changes between two policies; both are evaluated in one scan."""
     return df.withColumns({"old_rule": rule_of(old), "new_rule": rule_of(new)}).where(

@@ -7,6 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from plumbline.operators import classify, govern
 from plumbline.operators.govern import ALL_FAULTS, CONTROL, RUN
@@ -248,12 +249,11 @@ SELECT DISTINCT 'customer' AS level, o_custkey AS key FROM diff
 UNION ALL SELECT DISTINCT 'nation', CAST(c_nationkey AS BIGINT) FROM diff JOIN customer ON c_custkey = o_custkey"""
 
 def _policy_change(spark: SparkSession, sf: str) -> tuple:
-    """The recorded run under the old policy, the stages under the new one, and the lines whose rule
-    the change moves."""
+    """The recorded run under the old policy, the stages under the new one, and the condition on the lines
+    whose rule the change moves."""
     before, after = line_policy(spark), line_policy(spark, "next")
     run = run_stages(stages.source(spark, sf), stages.pipeline_stages(spark, sf, rules=before), stages.KEPT)
-    moved = govern.policy_diff(run.outputs[3], before, after)
-    return run, stages.pipeline_stages(spark, sf, rules=after), moved
+    return run, stages.pipeline_stages(spark, sf, rules=after), govern.rule_moves(before, after)
 
 
 def gv_09_recorded(spark: SparkSession, sf: str) -> DataFrame:
@@ -261,6 +261,7 @@ def gv_09_recorded(spark: SparkSession, sf: str) -> DataFrame:
     run, changed, moved = _policy_change(spark, sf)
     out = None
     for number, keys in close_over(run, changed, 4, moved).items():
+        keys = pipeline.long_keys(keys) if isinstance(keys.schema["record_key"].dataType, BinaryType) else keys
         level = keys.select(F.lit(number).alias("stage"), "record_key")
         out = level if out is None else out.unionByName(level)
     return out
@@ -294,7 +295,7 @@ def gv_11(spark: SparkSession, sf: str) -> DataFrame:
         out = stage.run(whole[stage.number - 1])
         whole[stage.number] = store(out, f"full-{stage.number}") if stage.number in run.keep else out
     selective = rerun(run, changed, 4, moved)
-    forgetful = rerun(replace(run, edges=run.edges.limit(0)), changed, 4, moved)
+    forgetful = rerun(replace(run, lineage={n: rows.limit(0) for n, rows in run.lineage.items()}), changed, 4, moved)
     out = None
     for number in range(4, 8):
         others = {"differing": selective.outputs[number], "missed": forgetful.outputs[number]}
