@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import astuple, dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,6 +100,8 @@ class Gate:
         self.slots: dict[tuple, int] = {}
         self.entries: dict[str, list[Column]] = {}
         self.tests: list[Column] = []
+        self.found: list[Column] = []
+        self.measured = False
         self.apart: dict[int, DataFrame] = {}
         self.known: dict[int, int] = {}
 
@@ -112,6 +116,7 @@ class Gate:
     def give(
         self, frame: str, slot: int, side: int, key: Column, amount: Column | None = None, when: Column | None = None
     ) -> None:
+        self.measured = self.measured or amount is not None
         entry = F.struct(
             F.lit(slot).alias("slot"), key.alias("key"), F.lit(side).alias("side"),
             (F.lit(None) if amount is None else amount).try_cast(AMOUNT).alias("amount"),
@@ -124,12 +129,9 @@ class Gate:
         """Contract ``no`` is violated by the keys of a slot for which ``condition`` holds."""
         sample = F.col("key") if shown is None else shown
         count = (F.lit(1) if weight is None else weight).cast("bigint")
-        self.tests.append(
-            F.when(
-                (F.col("slot") == slot) & condition,
-                F.struct(F.lit(no).alias("no"), count.alias("n"), sample.alias("shown")),
-            )
-        )
+        found = (F.col("slot") == slot) & condition
+        self.found.append(F.coalesce(found, F.lit(False)))
+        self.tests.append(F.when(found, F.struct(F.lit(no).alias("no"), count.alias("n"), sample.alias("shown"))))
 
     def row(self, no: int, c: Contract, bad: Column) -> None:
         """A check of single rows: those that fail count each."""
@@ -220,18 +222,22 @@ class Gate:
         return absent | reads.isNull() | (F.coalesce(F.size("evidence"), F.lit(0)) < reads)
 
     def violations(self) -> DataFrame | None:
-        """``no, n, shown`` per violation."""
+        """``no, n, shown`` per violation. Entries that are absent are dropped once they are rows, and
+        only keys that violate a contract are opened: a higher-order filter on arrays would take the
+        expressions that make entries out of generated code."""
         out = None
         for frame, entries in self.entries.items():
-            part = self.frames[frame].select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
+            part = self.frames[frame].select(F.explode(F.array(*entries)).alias("e")).where("e IS NOT NULL").select("e.*")
             out = part if out is None else out.unionByName(part)
         if out is not None:
             side = lambda n: F.col("side") == n
-            counted = out.groupBy("slot", "key").agg(
-                F.count_if(side(0)).alias("n0"), F.count_if(side(1)).alias("n1"),
-                F.sum(F.when(side(0), F.col("amount"))).alias("a0"), F.sum(F.when(side(1), F.col("amount"))).alias("a1"),
-            )
-            out = counted.select(F.explode(F.array_compact(F.array(*self.tests))).alias("e")).select("e.*")
+            counts = {f"n{n}": F.count_if(side(n)) for n in (0, 1)}
+            # Amounts are summed only where a contract compares them.
+            if self.measured:
+                counts |= {f"a{n}": F.sum(F.when(side(n), F.col("amount"))) for n in (0, 1)}
+            counted = out.groupBy("slot", "key").agg(*[c.alias(name) for name, c in counts.items()])
+            wrong = counted.where(reduce(or_, self.found))
+            out = wrong.select(F.explode(F.array(*self.tests)).alias("e")).where("e IS NOT NULL").select("e.*")
         for part in self.apart.values():
             out = part if out is None else out.unionByName(part)
         return out

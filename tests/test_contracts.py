@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import contracts, verify
 from plumbline.operators.contracts import Contract
+from plumbline.plans.registry import QUERIES
 
 
 def contract(check, kind, frame, other=None, grain=("k",), reads=("k",), unit=None, limits=()):
@@ -85,6 +86,23 @@ def test_each_relation_is_scanned_once(spark, frames):
     assert sorted("legal" in s for s in scans) == [False, False, True]
 
 
+def test_entries_stay_in_generated_code_and_unused_amounts_are_not_summed(spark, frames):
+    def plan(kinds):
+        gate = contracts.Gate(frames)
+        for no, c in enumerate(c for c in some() if c.kind in kinds):
+            gate.add(no, c)
+        return gate.violations()._jdf.queryExecution().optimizedPlan().toString()
+
+    told = plan(["grain", "domain", "fk", "cause", "keys", "fanout"])
+    assert "lambda" not in told and "sum(" not in told
+    assert "lambda" not in plan(["measure"]) and "sum(" in plan(["measure"])
+
+
+def test_the_gate_builds_the_history_once(spark, sf):
+    plan = QUERIES["vf_13"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "max_by" not in plan
+
+
 def test_a_clean_run_passes_and_an_unknown_kind_is_refused(spark, frames):
     told = contracts.contracts_relation(spark, [contract("same", "equal", "rows", "rows"), contract("kept", "keys", "rows", "rows")])
     got = contracts.contract_gate(told, frames).collect()
