@@ -45,9 +45,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet below the shared folder and read back. Unlike a checkpoint
-    it keeps columns apart, so each later step reads only those it needs."""
+    it keeps columns apart, so each later step reads only those it needs. Zstandard codes the digests
+    and amounts of a row, which do not repeat, where the default of Spark leaves them almost as they are."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
