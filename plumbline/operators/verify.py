@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 from plumbline.operators.history import interval_faults
 from plumbline.sources.relations import relation
+from plumbline.sources.shared import checked_keys
 
 
 def check_schema(df: DataFrame, target: StructType) -> DataFrame:
@@ -34,6 +35,15 @@ def check_grain(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
+def repeated_keys(df: DataFrame, key: str) -> DataFrame:
+    """The values of ``key`` that more than one row has. Rows are shuffled as hashes of 8 bytes; only keys
+    whose hash repeats, which are stored or looked at once more, are compared in full."""
+    hashed = df.select(F.xxhash64(key).alias("_hash"), key)
+    again = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash")
+    same = hashed.join(checked_keys(again), "_hash", "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return same.where("_n > 1").select(key)
+
+
 def check_domain(df: DataFrame, col: str, allowed: DataFrame, allowed_col: str) -> DataFrame:
     """VF-03. Values that are NULL or outside the domain, with their count. Rows are counted
     per value first, so only distinct values meet the domain table."""
