@@ -43,6 +43,18 @@ def order_lines(spark: SparkSession, sf: str, short: bool = False) -> DataFrame:
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
+def repeated_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """``o_orderkey, _repeats``: of an order the line numbers that are there more than once, and how often."""
+    return (
+        table(spark, sf, "lineitem")
+        .groupBy("l_orderkey", "l_linenumber")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where("_n > 1 AND l_linenumber IS NOT NULL")
+        .groupBy(F.col("l_orderkey").alias("o_orderkey"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("l_linenumber", "_n"))).alias("_repeats"))
+    )
+
+
 def customer_history(spark: SparkSession, sf: str) -> DataFrame:
     """Order priority per customer as type-2 history."""
     return build_history(
@@ -146,15 +158,7 @@ def governed_run(
     # orders it hits are there twice.
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     if wants("F6"):
-        pairs = (
-            table(spark, sf, "lineitem")
-            .groupBy("l_orderkey", "l_linenumber")
-            .agg(F.count(F.lit(1)).alias("_n"))
-            .where("_n > 1 AND l_linenumber IS NOT NULL")
-            .groupBy(F.col("l_orderkey").alias("o_orderkey"))
-            .agg(F.map_from_entries(F.collect_list(F.struct("l_linenumber", "_n"))).alias("_repeats"))
-        )
-        orders = orders.join(pairs, "o_orderkey", "left")
+        orders = orders.join(repeated_numbers(spark, sf), "o_orderkey", "left")
     moved = FAULT["F3"]
     hit = F.coalesce(F.expr(moved.condition), F.lit(False))
     orders = orders.withColumns({"customer_key": F.col("o_custkey"), "_moved": F.lit(False)})

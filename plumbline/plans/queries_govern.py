@@ -168,9 +168,9 @@ SELECT record_key, CAST(first_stage AS INT) AS first_stage FROM first"""
 def gv_05_replay(spark: SparkSession, sf: str) -> DataFrame:
     """Every fault at once, each stage replayed on what it should have been given: a line is traced
     to every stage that fails it, behind whatever other fault."""
-    reviewed = stages.pipeline_stages(spark, sf)
-    run = run_stages(stages.source(spark, sf), reviewed, stages.KEPT)
-    return own_divergence(stages.pipeline_stages(spark, sf, stages.ALL), reviewed, run)
+    reviewed = stages.pipeline_stages(spark, sf, paired=True)
+    run = run_stages(stages.source(spark, sf, paired=True), reviewed, stages.KEPT)
+    return own_divergence(stages.pipeline_stages(spark, sf, stages.ALL, paired=True), reviewed, run)
 
 
 GROUPED = f"""{PLACED}, metrics AS (SELECT region || '|' || rule_id || '|' || priority AS record_key,

@@ -1,12 +1,15 @@
 """What the large runs write and shuffle: lines once, keys as 16 bytes, nothing for edges that agree."""
 
+from dataclasses import replace
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import contracts, history, intervals
+from plumbline.operators import contracts, history, intervals, stages
 from plumbline.operators.contracts import Contract
 from plumbline.plans import arms, raw_run
+from plumbline.plans import stages as worked
 from plumbline.plans.registry import ORACLE, QUERIES
 from plumbline.sources.tables import table
 from tests.compare import difference
@@ -112,3 +115,43 @@ def test_arms_of_lines_that_share_their_key(spark, sf, tmp_path):
     assert difference(got, other, ORACLE["gv_06"].replace("AS sk FROM customer)", "AS sk FROM (SELECT DISTINCT c_custkey FROM customer))")) is None
     sql = ORACLE["gv_12"].replace("AS sk FROM customer)", "AS sk FROM (SELECT DISTINCT c_custkey FROM customer))")
     assert difference(QUERIES["gv_12"](spark, str(tmp_path)), other, sql) is None
+
+
+def test_replayed_stages_meet_what_is_stored_in_the_row(spark, sf, monkeypatch):
+    """gv_05_replay: of the stages only identity and metrics hand rows on to be gathered by key, and neither
+    stage 5 nor 6 joins lines again."""
+    handed, runs = [], {n: 0 for n in range(1, 8)}
+    real = stages.surplus_divergence
+    monkeypatch.setattr(stages, "surplus_divergence", lambda rows, key: handed.append(rows) or real(rows, key))
+    reviewed = worked.pipeline_stages(spark, sf, paired=True)
+    run = stages.run_stages(worked.source(spark, sf, paired=True), reviewed, worked.KEPT)
+
+    def counted(stage):
+        def go(df):
+            runs[stage.number] += 1
+            return stage.run(df)
+        return replace(stage, run=go)
+
+    wrong = [counted(s) for s in worked.pipeline_stages(spark, sf, worked.ALL, paired=True)]
+    got = stages.own_divergence(wrong, reviewed, run)
+    assert got.count() == got.distinct().count() == QUERIES["gv_05_replay"](spark, sf).count()
+    assert runs == {1: 0, 2: 0, 3: 0, 4: 1, 5: 0, 6: 0, 7: 1}
+    assert {r.stage_ord for r in handed[0].select("stage_ord").distinct().collect()} == {3, 7}
+    # A stage tells of its rows what running it does.
+    for n in (5, 6):
+        rows = wrong[n - 1].run(run.outputs[n - 1])
+        times = run.outputs[n].select(wrong[n - 1].times.alias("n"))
+        assert rows.count() == times.agg(F.sum("n")).first()[0] != run.outputs[n].count()
+
+
+@pytest.mark.parametrize("times", ["1", "2", "v % 3"])
+def test_rows_of_one_key_that_a_fault_repeats_or_drops(spark, times):
+    rows = [("a", 1), ("b", 2), ("b", 2), ("c", 3), ("d", 4), ("d", 6), ("e", 5)]
+    source = spark.createDataFrame(rows, "record_key string, v long")
+    add = lambda df: df.withColumn("w", F.col("v") * 2)
+    again = lambda df: add(df).withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.expr(f"int({times})")))).drop("_n")
+    good = [stages.Stage(1, "add", add, ("w",), adds=True)]
+    run = stages.run_stages(source, good)
+    plain = stages.own_divergence([stages.Stage(1, "again", again, ("w",))], good, run)
+    told = stages.own_divergence([stages.Stage(1, "again", again, ("w",), times=F.expr(f"bigint({times})"))], good, run)
+    assert bag(told) == bag(plain)
