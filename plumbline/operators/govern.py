@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from plumbline.operators.verify import edge_equal
 from plumbline.sources.shared import checked_keys
 
 TRAIL = "trail"
+# Relations are compared by so many sums first.
+BUCKETS = 1024
 RUN = "run"
 CONTROL, ALL_FAULTS = "NONE", "ALL"
 
@@ -233,24 +237,54 @@ def same_as_full(sel: DataFrame, full: DataFrame) -> DataFrame:
 
 def count_differences(full: DataFrame, others: Mapping[str, DataFrame]) -> DataFrame:
     """GV-11 in numbers. One row: the ``rows`` of ``full``, and under each name how many distinct rows
-    there are of which that relation has more or fewer copies. One pass over every relation; rows
-    travel as fingerprints."""
+    there are of which that relation has more or fewer copies. Rows travel as fingerprints, and only those
+    of buckets whose sums differ (``differing_buckets``), so relations that agree are not shuffled."""
+    rows, buckets = differing_buckets(full, others)
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-
-    def side(df: DataFrame, rows: Column, counts: Mapping[str, Column]) -> DataFrame:
-        fingerprint = row_fingerprint(full.columns)
-        named = [counts.get(n, none).alias(n) for n in others]
-        return df.select(fingerprint["a"].alias("_a"), fingerprint["b"].alias("_b"), rows.alias("rows"), *named)
-
-    sides = side(full, one, {n: -one for n in others})
-    for name, df in others.items():
-        sides = sides.unionByName(side(df.select(*full.columns), none, {name: one}))
-    counted = sides.groupBy("_a", "_b").agg(*[F.sum(c).alias(c) for c in ("rows", *others)])
-    return counted.agg(
-        F.coalesce(F.sum("rows"), none).alias("rows"), *[F.count_if(F.col(n) != 0).alias(n) for n in others]
+    fingerprint = row_fingerprint(full.columns)
+
+    def side(df: DataFrame, own: Sequence[int], counts: Mapping[str, Column]) -> DataFrame:
+        named = [counts.get(n, none).alias(n) for n in buckets]
+        part = df.select(fingerprint["a"].alias("_a"), fingerprint["b"].alias("_b"))
+        part = part.where(F.pmod("_a", F.lit(BUCKETS)).isin(list(own))) if len(own) < BUCKETS else part
+        return part.select("_a", "_b", *named)
+
+    total = F.lit(rows).cast("bigint").alias("rows")
+    if not buckets:
+        return full.sparkSession.range(1).select(total, *[none.alias(n) for n in others])
+    opened = {bucket for own in buckets.values() for bucket in own}
+    sides = side(full, sorted(opened), {n: -one for n in buckets})
+    for name in buckets:
+        sides = sides.unionByName(side(others[name].select(*full.columns), sorted(opened), {name: one}))
+    counted = sides.groupBy("_a", "_b").agg(*[F.sum(n).alias(n) for n in buckets])
+    return counted.agg(*[F.count_if(F.col(n) != 0).alias(n) for n in buckets]).select(
+        total, *[F.col(n) if n in buckets else none.alias(n) for n in others]
     )
 
 
+def differing_buckets(full: DataFrame, others: Mapping[str, DataFrame]) -> tuple[int, dict[str, list[int]]]:
+    """The rows of ``full``, and for each relation that differs from it as a bag the buckets that do. A bucket
+    is known by the number of its rows and the sum of their fingerprints, in four parts of 32 bits that
+    cannot overflow. One pass over each relation and one job, of which each task sends its sums alone."""
+    frames = [full, *[df.select(*full.columns) for df in others.values()]]
+    fingerprint, out = row_fingerprint(full.columns), None
+    low = lambda half: F.col(half).bitwiseAND(F.lit(0xFFFFFFFF))
+    parts = [F.lit(1), *[part for half in ("_a", "_b") for part in (low(half), F.shiftrightunsigned(half, 32))]]
+    for which, df in enumerate(frames):
+        part = df.select(F.lit(which).alias("_which"), fingerprint["a"].alias("_a"), fingerprint["b"].alias("_b"))
+        out = part if out is None else out.unionByName(part)
+
+    def differs(which: int) -> Column:
+        sign = F.when(F.col("_which") == which, 1).when(F.col("_which") == 0, -1).otherwise(0).cast("bigint")
+        return reduce(or_, [F.sum(sign * part) != 0 for part in parts])
+
+    summed = out.groupBy(F.pmod("_a", F.lit(BUCKETS)).alias("bucket")).agg(
+        F.count_if(F.col("_which") == 0).alias("rows"), *[differs(n).alias(name) for n, name in enumerate(others, 1)]
+    ).collect()
+    found = {name: sorted(r["bucket"] for r in summed if r[name]) for name in others}
+    return sum(r["rows"] for r in summed), {name: own for name, own in found.items() if own}
+
+
 @dataclass(frozen=True)
 class Fault:
     """A named change to one stage. A value fault sets ``column`` to ``value`` on the rows of

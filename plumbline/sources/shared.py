@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,24 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 32 << 20
 
 
+# Spark otherwise keeps the files of a finished shuffle until the driver collects its garbage.
+CLEARED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleared_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go as soon as the query that wrote them ends: what it stored is read instead."""
+    before = spark.conf.get(CLEARED, None)
+    spark.conf.set(CLEARED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEARED)
+        else:
+            spark.conf.set(CLEARED, before)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The cluster's shared folder, from ``spark.checkpoint.dir``. Only a session with a local
     master may name none: a temporary folder is then set in its place. On a cluster each
@@ -48,7 +68,8 @@ def store(df: DataFrame, name: str) -> DataFrame:
     it keeps columns apart, so each later step reads only those it needs. Zstandard codes the digests
     and amounts of a row, which do not repeat, where the default of Spark leaves them almost as they are."""
     path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with cleared_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import contracts, history, intervals, stages
+from plumbline.operators import contracts, govern, history, intervals, stages
 from plumbline.operators.contracts import Contract
 from plumbline.plans import arms, raw_run
 from plumbline.plans import stages as worked
@@ -155,3 +155,18 @@ def test_rows_of_one_key_that_a_fault_repeats_or_drops(spark, times):
     plain = stages.own_divergence([stages.Stage(1, "again", again, ("w",))], good, run)
     told = stages.own_divergence([stages.Stage(1, "again", again, ("w",), times=F.expr(f"bigint({times})"))], good, run)
     assert bag(told) == bag(plain)
+
+
+def test_relations_that_agree_are_counted_without_a_shuffle_of_rows(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_tax")
+    other = lines.repartition(3)
+    assert govern.differing_buckets(lines, {"same": other}) == (6000, {})
+    same = govern.count_differences(lines, {"same": other})
+    assert tuple(same.first()) == (6000, 0) and "parquet" not in plan(same).lower()
+    # One row more and one less are in two buckets at most, and only those are opened.
+    row = lines.orderBy("l_orderkey", "l_linenumber", "l_tax").limit(1)
+    changed = lines.exceptAll(row).unionByName(row.withColumn("l_tax", F.lit(7.0)))
+    rows, buckets = govern.differing_buckets(lines, {"same": other, "changed": changed, "twice": lines.unionByName(lines)})
+    assert rows == 6000 and set(buckets) == {"changed", "twice"} and 1 <= len(buckets["changed"]) <= 2
+    got = govern.count_differences(lines, {"changed": changed, "same": other, "twice": lines.unionByName(lines)})
+    assert tuple(got.first()) == (6000, 2, 0, lines.distinct().count())
