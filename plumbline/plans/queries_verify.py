@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 from plumbline.operators import classify, contracts, ingest, verify
 from plumbline.operators.govern import RUN, inject
 from plumbline.plans import inputs
-from plumbline.plans.pipeline import customer_history, keyed_lines, order_lines
+from plumbline.plans.pipeline import customer_history, keyed_lines, order_lines, short_keys
 from plumbline.plans.policy import FAULT, LINE_RULES, STATUS
 from plumbline.plans.queries_classify import RULED
 from plumbline.plans.queries_history import FAULTY_SQL
@@ -25,8 +25,13 @@ QUERIES, ORACLE = {}, {}
 LINE_PAIR = ["l_orderkey", "l_linenumber"]
 
 
-def priced_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return keyed_lines(spark, sf).select(
+def some_lines(spark: SparkSession, sf: str, short: bool) -> DataFrame:
+    """Keyed lines; with ``short`` under keys of 16 bytes."""
+    return short_keys(keyed_lines(spark, sf)) if short else keyed_lines(spark, sf)
+
+
+def priced_lines(spark: SparkSession, sf: str, short: bool = False) -> DataFrame:
+    return some_lines(spark, sf, short).select(
         "record_key", "l_orderkey", "l_suppkey",
         F.col("l_extendedprice").cast("decimal(18,2)").alias("price"),
     )
@@ -92,10 +97,10 @@ ORACLE["vf_04"] = """SELECT l_suppkey, count(*) AS n FROM lineitem
 WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0) GROUP BY 1"""
 
 
-def valued_lines(spark: SparkSession, sf: str) -> DataFrame:
+def valued_lines(spark: SparkSession, sf: str, short: bool = False) -> DataFrame:
     cents, price = F.col("l_linestatus") == "F", F.col("l_extendedprice").cast("decimal(18,2)")
     # Returned lines say so when they are in cents; other filled lines carry a wrong tag.
-    tagged = keyed_lines(spark, sf).select(
+    tagged = some_lines(spark, sf, short).select(
         "record_key", "l_partkey",
         F.when(cents, price * 100).otherwise(price).alias("price"),
         F.when(cents & (F.col("l_returnflag") == "R"), "CENT").otherwise("USD").alias("unit"),
@@ -137,8 +142,8 @@ FROM faulty_hist GROUP BY o_custkey HAVING count(*) FILTER (is_current) <> 1
 UNION ALL SELECT record_key, 'BEFORE_CAUSE' FROM joined WHERE l_shipdate < o_orderdate"""
 
 
-def damaged_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    said = classify.classify(order_lines(spark, sf), LINE_RULES)
+def damaged_verdicts(spark: SparkSession, sf: str, short: bool = False) -> DataFrame:
+    said = classify.classify(order_lines(spark, sf, short), LINE_RULES)
     # High-tax lines lose one part of their provenance each.
     tax, empty = F.col("l_tax"), F.create_map().cast("map<string,string>")
     return said.withColumns(
@@ -322,15 +327,15 @@ FAULTY_CONTRACTS = [
 
 def vf_13_kinds(spark: SparkSession, sf: str) -> DataFrame:
     """The gate over runs with faults: unit, schema, rows, measure, equality, provenance and
-    fan-out, all from the relation."""
-    lines = priced_lines(spark, sf)
-    keyed = keyed_lines(spark, sf).select("record_key", *LINE_PAIR)
+    fan-out, all from the relation. Lines are joined and counted under keys of 16 bytes."""
+    lines = priced_lines(spark, sf, short=True)
+    keyed = some_lines(spark, sf, short=True).select("record_key", *LINE_PAIR)
     raw, accepted, quarantined = lossy_parse(spark, sf)
     frames = {
-        "valued": valued_lines(spark, sf), "lineitem": table(spark, sf, "lineitem"),
+        "valued": valued_lines(spark, sf, short=True), "lineitem": table(spark, sf, "lineitem"),
         "target": spark.createDataFrame([], OTHER_LINES), "raw": raw, "accepted": accepted,
         "quarantined": quarantined, "lines": lines, "faulty": unit_fault(lines),
-        "judged": damaged_verdicts(spark, sf), "rules": classify.rules_relation(spark, [*LINE_RULES, HOLE_RULE]),
+        "judged": damaged_verdicts(spark, sf, short=True), "rules": classify.rules_relation(spark, [*LINE_RULES, HOLE_RULE]),
         "keyed": keyed, "fanned": fanned_lines(keyed),
     }
     return contracts.contract_gate(contracts.contracts_relation(spark, FAULTY_CONTRACTS), frames)

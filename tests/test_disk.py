@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import contracts, govern, history, intervals, stages
+from plumbline.operators import contracts, govern, history, intervals, stages, verify
 from plumbline.operators.contracts import Contract
 from plumbline.plans import arms, raw_run
 from plumbline.plans import stages as worked
@@ -170,3 +170,26 @@ def test_relations_that_agree_are_counted_without_a_shuffle_of_rows(spark, sf):
     assert rows == 6000 and set(buckets) == {"changed", "twice"} and 1 <= len(buckets["changed"]) <= 2
     got = govern.count_differences(lines, {"changed": changed, "same": other, "twice": lines.unionByName(lines)})
     assert tuple(got.first()) == (6000, 2, 0, lines.distinct().count())
+
+
+def test_the_faulty_gate_joins_short_keys_and_counts_failing_rows_where_they_are(spark, sf, frames):  # noqa: F811
+    text = QUERIES["vf_13_kinds"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    # Three relations of lines are joined, and none under 32 letters.
+    assert text.count("unhex(md5(") >= 3 and "Project [md5(" not in text
+    alone = [contract("proof", "provenance", "said", "rules", reads=("rule_id", "disposition", "evidence"))]
+    gate = contracts.Gate(frames)
+    gate.add(0, alone[0])
+    keyed = gate.violations()._jdf.queryExecution().optimizedPlan().toString()
+    gate.set_apart(every=False)
+    assert "Aggregate [slot" in keyed and not gate.entries
+    assert "Aggregate [slot" not in gate.violations()._jdf.queryExecution().optimizedPlan().toString()
+    assert run_gate(spark, alone, frames, False) == {"proof": (4, "1")}
+
+
+def test_equal_rows_are_told_within_their_key(spark):
+    rows = spark.range(50).select(F.md5(F.col("id").cast("string")).alias("k"), (F.col("id") % 5).alias("v"))
+    other = rows.withColumn("v", F.when(F.col("v") == 3, 4).otherwise(F.col("v")))
+    for key in (("k",), ("v",)):
+        told = contract("same", "equal", "a", "b", grain=key)
+        violations = run_gate(spark, [told], {"a": rows, "b": other}, False)["same"][0]
+        assert violations == verify.edge_equal(rows, other).count() == 20
